@@ -60,12 +60,13 @@ RATE_PLAN_BUCKETS = (
     "MEMBER_OR_CARD_OFFER",
 )
 BUNDLE_ANCHOR = r"(?:\+|\bincludes?\b|\bincl\.?|\bwith)\s*(?:\d+\s+)?"
+# (pattern after the anchor, name, words of which a matching label holds one)
 BUNDLE_WORDS = (
-    (r"(?:parking|valet)\b", "parking"),
-    (r"(?:wi[\s-]?fi|internet)\b", "wifi"),
-    (r"breakfast\b", "breakfast"),
-    (r"(?:resort|dining|f\s*&\s*b)\s+credit\b", "credit"),
-    (r"(?:transfer|airport\s+shuttle)\b", "transfer"),
+    (r"(?:parking|valet)\b", "parking", ("parking", "valet")),
+    (r"(?:wi[\s-]?fi|internet)\b", "wifi", ("fi", "internet")),
+    (r"breakfast\b", "breakfast", ("breakfast",)),
+    (r"(?:resort|dining|f\s*&\s*b)\s+credit\b", "credit", ("credit",)),
+    (r"(?:transfer|airport\s+shuttle)\b", "transfer", ("transfer", "shuttle")),
 )
 
 # Reservation-system rate metadata

@@ -10,7 +10,7 @@ from tariffa.functions.text import case, col, contains_any, strip, text
 
 def refundability(phrase, label) -> Column:
     """REFUNDABLE, NON_REFUNDABLE or UNKNOWN. The phrase speaks before the label."""
-    p, l = F.lower(strip(text(phrase))), F.lower(strip(text(label)))
+    p, l = F.lower(text(phrase)), F.lower(text(label))
     return case([
         (contains_any(p, fv.NON_REFUNDABLE_PHRASES), fv.NON_REFUNDABLE),
         (contains_any(p, fv.REFUNDABLE_PHRASES), fv.REFUNDABLE),
@@ -29,12 +29,16 @@ def refundable_flag(phrase, flag) -> Column:
 
 
 def bundle(label) -> Column:
-    """Sorted comma list of inclusions named in the label, null when there are none."""
+    """Sorted comma list of inclusions named in the label, null when there are none.
+
+    A pattern only runs on labels that hold its bare word.
+    """
     low = F.lower(text(label))
-    found = F.array_compact(F.array(*[
-        F.when(low.rlike(fv.BUNDLE_ANCHOR + word), F.lit(name)) for word, name in fv.BUNDLE_WORDS
-    ]))
-    return F.nullif(F.array_join(F.array_sort(found), ","), F.lit(""))
+    names = [
+        F.when(contains_any(low, hints) & low.rlike(fv.BUNDLE_ANCHOR + word), F.lit(name))
+        for word, name, hints in sorted(fv.BUNDLE_WORDS, key=lambda w: w[1])
+    ]
+    return F.nullif(F.concat_ws(",", *names), F.lit(""))
 
 
 def is_bare(bundles) -> Column:
@@ -50,27 +54,21 @@ def has_rate(rate) -> Column:
     return F.coalesce(col(rate) > 0, F.lit(False)) & ~F.isnan(col(rate).cast("double"))
 
 
-def pickable(state: str, rate, label, phrase, member_flag, bundles=None) -> Column:
-    """Can this plan be picked as the canonical price of its room for `state`?"""
-    inside = bundle(label) if bundles is None else col(bundles)
-    return (
-        has_rate(rate) & is_bare(inside)
-        & (refundability(phrase, label) == state) & ~is_fenced(label, member_flag)
-    )
+def fits(wanted: str, rate, state, inside, fenced) -> Column:
+    """Can a plan be picked for `wanted`, given its state, inclusions and fence?"""
+    return has_rate(rate) & is_bare(inside) & (col(state) == wanted) & ~col(fenced)
 
 
-def plan_bucket(rate, label, phrase, member_flag, bundles=None) -> Column:
+def bucket(rate, state, inside, fenced) -> Column:
     """Bucket of one plan: member or card, then parking bundles, then bare, else null."""
-    inside = bundle(label) if bundles is None else col(bundles)
-    state = refundability(phrase, label)
-    parking = F.lower(text(inside)).contains("parking")
-    by_state = lambda off, on: case([(state == fv.NON_REFUNDABLE, off), (state == fv.REFUNDABLE, on)])
+    by_state = lambda off, on: case([
+        (col(state) == fv.NON_REFUNDABLE, off), (col(state) == fv.REFUNDABLE, on)], F.lit(None).cast("string"))
     return case([
-        (~has_rate(rate), F.lit(None)),
-        (is_fenced(label, member_flag), "MEMBER_OR_CARD_OFFER"),
-        (parking, by_state("BUNDLED_PARKING_NON_REF", "BUNDLED_PARKING_FLEX")),
+        (~has_rate(rate), F.lit(None).cast("string")),
+        (col(fenced), "MEMBER_OR_CARD_OFFER"),
+        (F.lower(text(inside)).contains("parking"), by_state("BUNDLED_PARKING_NON_REF", "BUNDLED_PARKING_FLEX")),
         (is_bare(inside), by_state("BAR_NON_REF", "BAR_FLEX")),
-    ])
+    ], F.lit(None).cast("string"))
 
 
 def strikethrough_share(original, rate) -> Column:

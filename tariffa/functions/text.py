@@ -31,6 +31,7 @@ def any_of(conditions) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
+    """A chain of byte searches; several times faster than one pattern of alternatives."""
     return any_of(c.contains(w) for w in words)
 
 

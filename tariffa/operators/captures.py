@@ -25,11 +25,17 @@ def room_plans(room: Column) -> Column:
     return F.coalesce(room["rate_plans"], F.array())
 
 
+def plan_facts(p: Column):
+    """State, inclusions and fence of one plan."""
+    return (plans.refundability(p["cancellation_phrase"], p["rate_plan_label"]), plans.bundle(p["rate_plan_label"]),
+            plans.is_fenced(p["rate_plan_label"], p["is_genius_member_rate"]))
+
+
 def pick_index(plan_array: Column, state: str) -> Column:
     """Position of the lowest pickable plan of a room (first one on ties), else null."""
     ranked = F.transform(plan_array, lambda p, i: F.struct(
-        F.when(plans.pickable(state, p["rate_per_night_usd"], p["rate_plan_label"], p["cancellation_phrase"],
-                              p["is_genius_member_rate"]), p["rate_per_night_usd"]).alias("rate"), i.alias("idx")))
+        F.when(plans.fits(state, p["rate_per_night_usd"], *plan_facts(p)), p["rate_per_night_usd"]).alias("rate"),
+        i.alias("idx")))
     return F.array_min(F.filter(ranked, lambda r: r["rate"].isNotNull()))["idx"]
 
 
@@ -61,7 +67,6 @@ def _row(plan_idx, label, rate, total, flag, member, breakfast, confidence, avai
 
 
 def _plan_row(p: Column, i: Column, picked: Column, incomplete: Column) -> Column:
-    args = (p["rate_per_night_usd"], p["rate_plan_label"], p["cancellation_phrase"], p["is_genius_member_rate"])
     is_bar = F.coalesce(i == picked["bar_idx"], F.lit(False))
     is_flex = F.coalesce(i == picked["flex_idx"], F.lit(False))
     return _row(
@@ -70,7 +75,7 @@ def _plan_row(p: Column, i: Column, picked: Column, incomplete: Column) -> Colum
         p["includes_breakfast"], text(p["rate_plan_confidence"]),
         F.coalesce(F.nullif(p["availability_status"], F.lit("")), F.lit("unknown")), is_bar,
         case([(incomplete, "extract_incomplete"), (is_bar, "ok")], "non_bar_rate"),
-        case([(is_bar, "BAR_NON_REF"), (is_flex, "BAR_FLEX")], plans.plan_bucket(*args)),
+        case([(is_bar, "BAR_NON_REF"), (is_flex, "BAR_FLEX")], plans.bucket(p["rate_per_night_usd"], *plan_facts(p))),
         p["strikethrough_orig_rate"], plans.strikethrough_share(p["strikethrough_orig_rate"], p["rate_per_night_usd"]),
         plans.bundle(p["rate_plan_label"]))
 

@@ -22,38 +22,49 @@ RATE, LABEL, PHRASE, MEMBER = "rate_per_night_usd", "rate_plan_label", "cancella
 
 
 # ------------------------------------------------------------------ picks and tags
-def pick(quotes: DataFrame, state: str, order, room=ROOM) -> DataFrame:
-    """Lowest bare, posted plan of each room for a refundability state; first plan on ties."""
-    fits = plans.pickable(state, RATE, LABEL, PHRASE, MEMBER)
-    return first_row(quotes.where(fits), room, [RATE, *order], [LABEL, RATE, *order])
+def with_facts(quotes: DataFrame, phrase=PHRASE) -> DataFrame:
+    """Add state, inclusions and fence of every plan, once, for the rules that need them."""
+    return quotes.withColumns({
+        "_state": plans.refundability(F.lit(None).cast("string") if phrase is None else phrase, LABEL),
+        "_inside": plans.bundle(LABEL), "_fenced": plans.is_fenced(LABEL, MEMBER)})
+
+
+FACTS = ("_state", "_inside", "_fenced")
 
 
-def without_phrase(quotes: DataFrame) -> DataFrame:
-    """Rows that lost their cancellation phrase: the label alone decides."""
-    return quotes.withColumn(PHRASE, F.lit(None).cast("string"))
+def pick(quotes: DataFrame, state: str, order, room=ROOM) -> DataFrame:
+    """Lowest bare, posted plan of each room for a refundability state; first plan on ties."""
+    rows = with_facts(quotes).where(plans.fits(state, RATE, *FACTS))
+    return first_row(rows, room, [RATE, *order], [LABEL, RATE, *order])
 
 
 def tag_rows(quotes: DataFrame, order, room=ROOM, missed=None) -> DataFrame:
     """Posted-rate flag, bucket, derived flags and row status of every plan.
 
-    The two picked plans of a room come from one aggregate per room and are joined
-    back; AQE splits a room that holds very many plans.
+    The two picked plans of a room come from one aggregate over the pickable plans and
+    are joined back; AQE splits a room that holds very many plans.
     """
-    bar = plans.pickable(fv.NON_REFUNDABLE, RATE, LABEL, PHRASE, MEMBER)
-    flex = plans.pickable(fv.REFUNDABLE, RATE, LABEL, PHRASE, MEMBER)
+    facts = with_facts(quotes)
     rank = F.struct(*[F.col(c) for c in (RATE, *order)])
-    picks = quotes.groupBy(*room).agg(
+    bar, flex = (plans.fits(s, RATE, *FACTS) for s in (fv.NON_REFUNDABLE, fv.REFUNDABLE))
+    picks = facts.where(bar | flex).groupBy(*room).agg(
         F.min(F.when(bar, rank)).alias("_bar"), F.min(F.when(flex, rank)).alias("_flex"))
     is_bar = F.coalesce(rank == F.col("_bar"), F.lit(False)) & bar
     is_flex = F.coalesce(rank == F.col("_flex"), F.lit(False)) & flex
-    bucket = case([(is_bar, "BAR_NON_REF"), (is_flex, "BAR_FLEX")],
-                  plans.plan_bucket(RATE, LABEL, PHRASE, MEMBER))
+    bucket = case([(F.col("is_bar"), "BAR_NON_REF"), (F.col("_is_flex"), "BAR_FLEX")], plans.bucket(RATE, *FACTS))
     incomplete = F.lit(False) if missed is None else F.size(missed) > 0
-    return join_on(quotes, picks, room).withColumns({
-        "is_bar": is_bar, "rate_plan_canonical": bucket, "bundle_inclusions": plans.bundle(LABEL),
+    return join_on(facts, picks, room, "left").withColumns({"is_bar": is_bar, "_is_flex": is_flex}).withColumns({
+        "rate_plan_canonical": bucket, "bundle_inclusions": F.col("_inside"),
         "strikethrough_pct": plans.strikethrough_share("strikethrough_orig_rate", RATE),
-        "status": case([(incomplete, "extract_incomplete"), (is_bar, "ok")], "non_bar_rate"),
-    }).drop("_bar", "_flex")
+        "status": case([(incomplete, "extract_incomplete"), (F.col("is_bar"), "ok")], "non_bar_rate"),
+    }).drop("_bar", "_flex", "_is_flex", *FACTS)
+
+
+def posted_rows(quotes: DataFrame, order, room=ROOM, **wanted) -> DataFrame:
+    """The posted-rate rows alone: the pick of each room, without tagging the others."""
+    rows = with_facts(quotes).where(plans.fits(fv.NON_REFUNDABLE, RATE, *FACTS)).drop(*FACTS)
+    rest = [c for c in quotes.columns if c not in room]
+    return posted(first_row(rows, room, [RATE, *order], rest).withColumn("is_bar", F.lit(True)), **wanted)
 
 
 def posted(tagged: DataFrame, nights=None, skus=None, on_weekday=None, sku_column="marketing_name") -> DataFrame:
@@ -292,10 +303,10 @@ def pick_audit(quotes: DataFrame, order, legacy="is_legacy_bar", room=ROOM) -> D
 
     Stored rows carry no phrase, so labels decide refundability.
     """
-    fits = plans.pickable(fv.NON_REFUNDABLE, RATE, LABEL, F.lit(None).cast("string"), MEMBER)
+    fits = plans.fits(fv.NON_REFUNDABLE, RATE, *FACTS)
     row = F.struct(F.col(RATE).alias("rate"), *[F.col(o) for o in order], F.trim(F.coalesce(LABEL, F.lit(""))).alias("label"))
     in_order = F.struct(*[F.col(o) for o in order], F.col(RATE).alias("rate"), F.trim(F.coalesce(LABEL, F.lit(""))).alias("label"))
-    rooms = quotes.groupBy(*room).agg(
+    rooms = with_facts(quotes, None).groupBy(*room).agg(
         F.min(F.when(fits, row)).alias("new"), F.min(F.when(F.col(legacy), in_order)).alias("old"))
     old, new = F.col("old").isNotNull(), F.col("new").isNotNull()
     same = old & new & (F.col("old.label") == F.col("new.label")) & (F.col("old.rate") == F.col("new.rate"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tariffa.plans import panel_queries
+from tariffa.plans import panel_queries, quote_queries
 
 
 def all_queries() -> dict:
     out = {}
-    for part in (panel_queries,):
+    for part in (panel_queries, quote_queries):
+        clash = set(out) & set(part.Q)
+        if clash:
+            raise ValueError(f"query names used twice: {clash}")
         out.update(part.Q)
     return out
