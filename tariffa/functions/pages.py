@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tariffa import fixed_values as fv
-from tariffa.functions.text import any_of, case, col, contains_any, first_contained, identity, plain_money, strip, text, to_int
+from tariffa.functions.text import any_of, case, col, contains_any, first_contained, identity, once, plain_money, strip, text, to_int
 
 
 def block_signature(markdown) -> Column:
@@ -95,28 +95,35 @@ def price_supported(rate: Column, label: Column, tokens: dict) -> Column:
 
 
 # ------------------------------------------------------------------ promo copy
-def promo_signals(markdown) -> Column:
-    """struct of the posted promo, its percent, weekly copy, member gate and fenced offer.
+def with_promo(df: DataFrame, markdown="markdown", name="promo") -> DataFrame:
+    """Add the struct of posted promo, its percent, weekly copy, member gate and fenced offer.
 
     All patterns are tried; the best kind wins, whatever comes first in the text. Card
-    and member offers are kept apart from the posted promo.
+    and member offers are kept apart from the posted promo. A pattern only runs on
+    pages that hold a word every match needs.
     """
-    page = col(markdown)
-    hit = lambda p, g=0: F.nullif(strip(F.regexp_extract(page, "(?iU)" + p, g)), F.lit(""))
-
-    def first(kinds):
-        return [(hit(p), hit(p, g).try_cast("double") if g else F.lit(None).cast("double"))
-                for kind in kinds for k, p, g in fv.PROMO_PATTERNS if k == kind]
-
-    posted = first(fv.POSTED_PROMO_KINDS)
-    fenced = [hit(p) for k, p, _ in fv.PROMO_PATTERNS if k in fv.FENCED_PROMO_KINDS]
-    return F.struct(
-        F.coalesce(*[t for t, _ in posted]).alias("promo_banner_text"),
-        case([(t.isNotNull(), pct) for t, pct in posted], F.lit(None).cast("double")).alias("promo_banner_pct"),
-        hit(fv.WEEKLY_DISCLOSURE).alias("weekly_rate_disclosure"),
-        F.when(page.rlike("(?iU)" + fv.MEMBER_GATE), F.lit(True)).alias("member_rate_gated"),
-        F.coalesce(*fenced).alias("member_or_card_offer_text"),
+    page, low = F.col(markdown), F.col("_low")
+
+    def hit(pattern, hints, group=0):
+        found = F.nullif(strip(F.regexp_extract(page, "(?iU)" + pattern, group)), F.lit(""))
+        return F.when(contains_any(low, hints), found)
+
+    hits = {f"_hit{i}": hit(p, [h]) for i, (_, p, _, h) in enumerate(fv.PROMO_PATTERNS)}
+    hits |= {f"_pct{i}": hit(p, [h], g).try_cast("double") if g else F.lit(None).cast("double")
+             for i, (_, p, g, h) in enumerate(fv.PROMO_PATTERNS)}
+    read = once(once(df, _low=F.lower(page)), **hits)
+    order = [i for kind in fv.POSTED_PROMO_KINDS for i, row in enumerate(fv.PROMO_PATTERNS) if row[0] == kind]
+    fenced = [i for i, row in enumerate(fv.PROMO_PATTERNS) if row[0] in fv.FENCED_PROMO_KINDS]
+    gate = contains_any(low, fv.MEMBER_GATE_HINTS) & page.rlike("(?iU)" + fv.MEMBER_GATE)
+    out = F.struct(
+        F.coalesce(*[F.col(f"_hit{i}") for i in order]).alias("promo_banner_text"),
+        case([(F.col(f"_hit{i}").isNotNull(), F.col(f"_pct{i}")) for i in order],
+             F.lit(None).cast("double")).alias("promo_banner_pct"),
+        hit(fv.WEEKLY_DISCLOSURE, [fv.WEEKLY_DISCLOSURE_HINT]).alias("weekly_rate_disclosure"),
+        F.when(gate, F.lit(True)).alias("member_rate_gated"),
+        F.coalesce(*[F.col(f"_hit{i}") for i in fenced]).alias("member_or_card_offer_text"),
     )
+    return once(read, **{name: out}).drop("_low", *hits)
 
 
 def declared_rooms(markdown) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WHITESPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -12,6 +12,15 @@ WHITESPACE = (
 )
 
 
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that are computed one time per row.
+
+    The optimizer copies a projected expression into every later use of it. A
+    one-element `inline` keeps the value, which matters for patterns over whole pages.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tariffa import fixed_values as fv
 from tariffa.functions import pages, plans, rooms
-from tariffa.functions.text import case, strip, text
+from tariffa.functions.text import case, once, strip, text
 from tariffa.schemas import PLAN, QUOTES, conform
 
 CELL = ("property_id", "channel", "arrival_date", "nights")
@@ -41,7 +41,7 @@ def pick_index(plan_array: Column, state: str) -> Column:
 
 def with_picks(captures: DataFrame) -> DataFrame:
     """Add `picked`: every room with the positions of its two picked plans."""
-    return captures.withColumn("picked", F.transform(capture_rooms(), lambda r: F.struct(
+    return once(captures, picked=F.transform(capture_rooms(), lambda r: F.struct(
         r.alias("room"), pick_index(room_plans(r), fv.NON_REFUNDABLE).alias("bar_idx"),
         pick_index(room_plans(r), fv.REFUNDABLE).alias("flex_idx"))))
 
@@ -94,19 +94,19 @@ def flatten(captures: DataFrame, sku_properties=(), detailed_properties=(), skus
     incomplete = F.size("missed") > 0
     failed = lambda x: F.array_compact(F.array(
         F.when(x["bar_idx"].isNull(), F.lit("FAIL_NO_BARE_NON_REF")), F.when(x["flex_idx"].isNull(), F.lit("FAIL_NO_BAR_FLEX"))))
-    rows = with_picks(captures).withColumn("promo", pages.promo_signals("markdown")).select(
-        "*", F.posexplode("picked").alias("room_idx", "pick")).withColumn("lines", F.concat(
-            F.transform(room_plans(F.col("pick.room")), lambda p, i: _plan_row(p, i, F.col("pick"), incomplete)),
-            F.transform(failed(F.col("pick")), _empty_row)))
+    per_room = pages.with_promo(with_picks(captures)).select("*", F.posexplode("picked").alias("room_idx", "pick"))
+    rows = per_room.withColumn("lines", F.concat(
+        F.transform(room_plans(F.col("pick.room")), lambda p, i: _plan_row(p, i, F.col("pick"), incomplete)),
+        F.transform(failed(F.col("pick")), _empty_row)))
     name = F.col("pick.room.marketing_name")
     sku = F.when(F.col("property_id").isin(*sku_properties), rooms.sku(name, skus)) if sku_properties else F.lit(None)
-    flat = rows.select(
+    flat = once(rows, cls=rooms.classify_room(name, "property_id", detailed_properties)).select(
         *CELL, "room_idx", text("extract.property_name").alias("scraped_property_name"),
         text(name).alias("scraped_marketing_name"), text("pick.room.sub_description").alias("sub_description"),
         text("pick.room.bed_config").alias("bed_config"), F.col("pick.room.occupancy_max").alias("occupancy_max"),
         F.array_join("missed", ",").alias("missed_patterns"), F.col("captured_at").alias("scrape_timestamp_utc"),
         "source_url", sku.cast("string").alias("room_type_canonical"),
-        rooms.classify_room(name, "property_id", detailed_properties).alias("cls"), "promo", F.inline("lines"))
+        "cls", "promo", F.inline("lines"))
     return flat.select("*", "cls.*", "promo.*").drop("cls", "promo")
 
 
@@ -117,7 +117,7 @@ def quote_rows(flat: DataFrame) -> DataFrame:
 
 def cell_sentinels(gated: DataFrame) -> DataFrame:
     """One row per cell that ends without rates on purpose: no inventory, or too few rooms."""
-    kept = gated.where(F.col("keep") == "sentinel").withColumn("promo", pages.promo_signals("markdown"))
+    kept = pages.with_promo(gated.where(F.col("keep") == "sentinel"))
     no_rooms = F.col("status") == "no_inventory"
     row = _empty_row(F.col("status"), F.when(no_rooms, F.col("status")).otherwise("unknown"))
     return conform(kept.select(
@@ -183,7 +183,7 @@ def rewrite_tiers(captures: DataFrame) -> DataFrame:
         (x["lead_in"].isNull(), "no_lead_in_anchor")])
     new_rooms = F.transform("_read", lambda x: F.when(reason(x).isNull(), x["room"].withField(
         "rate_plans", F.transform(x["tiers"], lambda t: plan(t, x["lead_in"])))).otherwise(x["room"]))
-    return captures.withColumn("_read", read).withColumns({
+    return once(captures, _read=read).withColumns({
         "extract": F.when(F.col("extract").isNotNull(), F.col("extract").withField("rooms", new_rooms)),
         "tiers": F.transform("_read", lambda x: F.struct(
             x["room"]["marketing_name"].alias("marketing_name"), F.size(x["tiers"]).alias("n_tiers"),

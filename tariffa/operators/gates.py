@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tariffa import fixed_values as fv
 from tariffa.functions import pages, rooms
-from tariffa.functions.text import case, identity, strip, text
+from tariffa.functions.text import case, identity, once, strip, text
 from tariffa.operators.captures import CELL, capture_rooms, room_plans, with_picks
 
 
@@ -54,7 +54,7 @@ def anchor_check(captures: DataFrame) -> DataFrame:
     is not in the page are listed as warnings.
     """
     tokens = pages.price_tokens("markdown")
-    bound = with_picks(captures).withColumns({f"_t_{k}": v for k, v in tokens.items() if k in ("dollar", "plus")})
+    bound = once(with_picks(captures), _t_dollar=tokens["dollar"], _t_plus=tokens["plus"])
     t = {"dollar": F.col("_t_dollar"), "plus": F.col("_t_plus")}
     shown = lambda p: pages.price_supported(p["rate_per_night_usd"], p["rate_plan_label"], t)
 
@@ -75,7 +75,7 @@ def anchor_check(captures: DataFrame) -> DataFrame:
 
     warnings = F.transform(F.flatten(F.transform("picked", others)), lambda w: F.struct(
         w["room"].alias("room"), w["rate"].alias("rate"), w["label"].alias("label")))
-    return bound.withColumns({"anchor_fails": fails, "anchor_warnings": warnings}).drop("_t_dollar", "_t_plus", "picked")
+    return once(bound, anchor_fails=fails, anchor_warnings=warnings).drop("_t_dollar", "_t_plus", "picked")
 
 
 def room_count(property_id, channel, subject_properties=(), expected=fv.EXPECTED_ROOMS, declared_on="hotels_com") -> Column:
@@ -106,9 +106,12 @@ def simple_gate(captures: DataFrame) -> DataFrame:
     """blocked, missing extract, implausible or ok, with the reason."""
     sig, why = pages.block_signature("markdown"), implausible_reason()
     no_extract = F.col("extract").isNull()
-    return captures.withColumn("status", case([
-        (sig.isNotNull(), "bot_blocked"), (no_extract, "extract_failed"), (why.isNotNull(), "extract_failed")], "ok")
-    ).withColumn("reason", case([(sig.isNotNull(), sig), (no_extract, "no_extract")], F.coalesce(why, F.lit(""))))
+    judged = once(captures, _sig=sig, _why=why)
+    sig, why = F.col("_sig"), F.col("_why")
+    return judged.withColumns({
+        "status": case([(sig.isNotNull(), "bot_blocked"), (no_extract | why.isNotNull(), "extract_failed")], "ok"),
+        "reason": case([(sig.isNotNull(), sig), (no_extract, "no_extract")], F.coalesce(why, F.lit(""))),
+    }).drop("_sig", "_why")
 
 
 def gate(captures: DataFrame, subject_properties=(), chain_markers=(), expected=fv.EXPECTED_ROOMS, api_channel=None,
@@ -127,11 +130,12 @@ def gate(captures: DataFrame, subject_properties=(), chain_markers=(), expected=
     unmapped = F.filter(names, lambda n: (strip(n) != "") & rooms.sku(n, skus).isNull())
     missed = F.when(detailed & ~api, rooms.missing_patterns("markdown", names)).otherwise(F.array().cast("array<string>"))
 
-    judged = anchor_check(captures).withColumns({
-        "missed": missed, "_count": room_count("property_id", "channel", subject_properties, expected),
-        "_sig": F.when(~api, pages.block_signature("markdown")), "_why": F.when(~api, implausible_reason()),
-        "_empty": F.when(F.size(capture_rooms()) == 0, pages.empty_page_class("markdown", "expected_tokens")),
-    })
+    judged = once(
+        anchor_check(captures), missed=missed, _unmapped=F.size(unmapped),
+        _count=room_count("property_id", "channel", subject_properties, expected),
+        _sig=F.when(~api, pages.block_signature("markdown")), _why=F.when(~api, implausible_reason()),
+        _off_page=room_anchor_fails(),
+        _empty=F.when(F.size(capture_rooms()) == 0, pages.empty_page_class("markdown", "expected_tokens")))
     no_extract = F.col("extract").isNull()
     no_rooms = F.size(capture_rooms()) == 0
     short = F.col("_count.is_short")
@@ -143,9 +147,9 @@ def gate(captures: DataFrame, subject_properties=(), chain_markers=(), expected=
         (no_rooms & (F.col("_empty") == "PASS_NO_INVENTORY"), "no_inventory", F.lit("page_says_no_inventory")),
         (no_rooms & (F.col("_empty") == "FAIL_URL_BROKEN"), "FAIL_URL_BROKEN", F.lit("broken_or_other_page")),
         (F.col("_why").isNotNull(), "extract_failed", F.col("_why")),
-        (room_anchor_fails() & ~api, "extract_failed", F.lit("room_not_on_page")),
+        (F.col("_off_page") & ~api, "extract_failed", F.lit("room_not_on_page")),
         (short & ~api, "FAIL_ROOM_COUNT_SHORT", F.lit("rooms_short")),
-        (subject & (F.size(unmapped) > 0), "FAIL_UNKNOWN_ROOM_TYPE", F.lit("unmapped_room")),
+        (subject & (F.col("_unmapped") > 0), "FAIL_UNKNOWN_ROOM_TYPE", F.lit("unmapped_room")),
         ((F.size("anchor_fails") > 0) & ~api, "extract_failed", F.lit("pick_not_on_page")),
         (short, "compression_short", F.lit("rooms_sold")),
         (F.size("missed") > 0, "extract_incomplete", F.lit("patterns_missed")),
@@ -155,8 +159,8 @@ def gate(captures: DataFrame, subject_properties=(), chain_markers=(), expected=
     keep = case([
         (F.col("status").isin("no_inventory", "FAIL_ROOM_COUNT_SHORT"), "sentinel"),
         (F.col("status").isin("ok", "extract_incomplete", "compression_short"), "rows")], "none")
-    return judged.withColumn("status", status).withColumn("reason", reason).withColumn("keep", keep).drop(
-        "_count", "_sig", "_why", "_empty")
+    return once(judged, status=status, reason=reason).withColumn("keep", keep).drop(
+        "_count", "_sig", "_why", "_empty", "_off_page", "_unmapped")
 
 
 def denied_cells(cells: DataFrame, deny) -> DataFrame:
@@ -180,6 +184,8 @@ def smoke_summary(captures: DataFrame, expected_rooms: int) -> DataFrame:
     n = F.size(capture_rooms())
     sig, empty = pages.block_signature("markdown"), pages.empty_page_class("markdown", "expected_tokens")
     why = F.when(n > 0, implausible_reason())
+    judged = once(captures, _sig=sig, _empty=empty, _why=why)
+    sig, empty, why = F.col("_sig"), F.col("_empty"), F.col("_why")
     status = case([
         (sig.isNotNull(), "bot_blocked"), ((n == 0) & (empty == "PASS_NO_INVENTORY"), "no_inventory"),
         (n == 0, "url_broken"), (n < expected_rooms, "extraction_incomplete")], "ok")
@@ -189,6 +195,6 @@ def smoke_summary(captures: DataFrame, expected_rooms: int) -> DataFrame:
     first = F.slice(F.transform(capture_rooms(), lambda r: F.struct(
         r["marketing_name"].alias("marketing_name"), r["rate_per_night_usd"].alias("rate_per_night_usd"))), 1, 5)
     shown = sig.isNull()
-    return captures.select(
+    return judged.select(
         *CELL, status.alias("status"), F.when(shown, n).otherwise(0).alias("n_rooms"),
         F.when(shown, first).otherwise(F.slice(first, 1, 0)).alias("sample_rates"), notes.alias("notes"))
