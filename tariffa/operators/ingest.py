@@ -11,14 +11,15 @@ from tariffa.schemas import PANEL, conform
 
 
 def melt(wide: DataFrame, slugs: dict, ids=("arrival_date",), drop=()) -> DataFrame:
-    """One row per (ids, property column). `slugs` maps a header to the property name.
+    """One row per (ids, property column), with the cell as text.
 
-    The map is a literal of the sheet's own width.
+    `slugs` maps a header to the property name; other columns are left out. The rows are
+    laid out from each sheet row in one pass.
     """
-    headers = [h for h in wide.columns if h in slugs and h not in drop]
-    names = F.create_map(*[F.lit(v) for h in headers for v in (h, slugs[h])])
-    texts = wide.withColumns({h: F.col(f"`{h}`").cast("string") for h in headers})
-    return texts.unpivot(list(ids), headers, "header", "cell").withColumn("property", names[F.col("header")]).drop("header")
+    cells_ = [
+        F.struct(F.lit(slugs[h]).alias("property"), F.col(f"`{h}`").cast("string").alias("cell"))
+        for h in wide.columns if h in slugs and h not in drop]
+    return wide.select(*ids, F.inline(F.array(*cells_)))
 
 
 def typed(melted: DataFrame) -> DataFrame:

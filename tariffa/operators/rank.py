@@ -97,8 +97,10 @@ def exact_median(df: DataFrame, keys, values, fine=False) -> DataFrame:
 def describe(df: DataFrame, keys, aggs, medians: dict, fine=False) -> DataFrame:
     """Plain aggregates and exact medians of the same groups, joined on the keys."""
     keys = list(keys)
-    if not keys:
-        return describe(df.withColumn("_all", F.lit(1)), ["_all"], aggs, medians, fine).drop("_all")
+    if not keys:  # one row also for empty input
+        plain = df.agg(*aggs).withColumn("_all", F.lit(1))
+        middle = exact_median(df.withColumn("_all", F.lit(1)), ["_all"], medians, fine)
+        return plain.join(middle, "_all", "left").drop("_all")
     plain = df.groupBy(*keys).agg(*aggs)
     return join_on(plain, exact_median(df, keys, medians, fine), keys, "left")
 

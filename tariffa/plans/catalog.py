@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tariffa.plans import capture_queries, panel_queries, quote_queries
+from tariffa.plans import capture_queries, flow_queries, panel_queries, quote_queries
 
 
 def all_queries() -> dict:
     out = {}
-    for part in (panel_queries, quote_queries, capture_queries):
+    for part in (panel_queries, quote_queries, capture_queries, flow_queries):
         clash = set(out) & set(part.Q)
         if clash:
             raise ValueError(f"query names used twice: {clash}")

@@ -69,7 +69,7 @@ CRS = _one_line(f"""
 
 LOG = _flat("""
     ts TIMESTAMP, kind STRING, property STRING, channel STRING, arrival STRING, los INT,
-    credits_nominal INT, rooms_count INT, reason STRING, _corrupt_record STRING""")
+    credits_nominal INT, rooms_count INT, reason STRING""")
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

@@ -37,7 +37,12 @@ def read_captures(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(schemas.CAPTURE).json(path)
 
 
+def parse_log(lines: DataFrame) -> DataFrame:
+    """Text lines to log rows; lines that are not JSON objects are skipped."""
+    ok = F.try_parse_json("value").isNotNull()
+    rows = lines.where(ok).select(F.from_json("value", schemas.LOG).alias("r"))
+    return rows.where(F.col("r").isNotNull()).select("r.*")
+
+
 def read_log(spark: SparkSession, path) -> DataFrame:
-    """Log lines as rows; lines that are not JSON are skipped."""
-    rows = spark.read.schema(schemas.LOG).option("mode", "PERMISSIVE").json(path)
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return parse_log(spark.read.text(path))

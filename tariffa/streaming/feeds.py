@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tariffa import fixed_values as fv, schemas
+from tariffa import fixed_values as fv
 from tariffa.operators.ingest import melt, typed
-from tariffa.operators.upsert import CELL, KEY, upsert
+from tariffa.operators.upsert import KEY, upsert
+from tariffa.sources.readers import parse_log
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.readStream.schema(schemas.LOG).option("mode", "PERMISSIVE").json(path)
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return parse_log(spark.readStream.text(path))
 
 
 def tally_by_window(log: DataFrame, window="1 hour", late="1 hour") -> DataFrame:
@@ -38,7 +38,7 @@ def quote_partition(by="arrival_date"):
     return F.coalesce(F.date_format(by, "yyyy-MM"), F.lit("none"))
 
 
-def upsert_batches(target: str, keys=KEY, cell=CELL):
+def upsert_batches(target: str, keys=KEY):
     """`foreachBatch` function: keyed upsert of quote files into a table split by month.
 
     Only the months that the batch touches are rewritten. The new content is first
