@@ -76,18 +76,19 @@ CRS_FLEXIBLE = r"\b(?:flexible|free\s+cancellation|fully\s+refundable)\b"
 CRS_CANCEL_WORD = r"\bcancel\w*\b"
 
 # ---------------------------------------------------------------- promo signals
-# (kind, pattern, group holding a percentage or 0, a word that every match holds)
+# (kind, pattern, group holding a percentage or 0, words of which every match holds one)
 PROMO_PATTERNS = (
-    ("PAY_NOW_AND_SAVE", r"\bpay\s+now\s+and\s+(?:save|enjoy\s+savings)\s+up\s+to\s+(\d{1,3})", 1, "pay"),
-    ("PAY_NOW_AND_SAVE", r"\bpay\s+now,?\s+stay\s+\d+\+?\s+and\s+save", 0, "pay"),
-    ("PERCENT_OFF_BANNER", r"\b(\d{1,3})\s*%\s*off\b", 1, "%"),
-    ("PERCENT_OFF_BANNER", r"\bsave\s+up\s+to\s+(\d{1,3})\s*p?c?t\b", 1, "save"),
-    ("WEEKLY_RATE_DISCLOSURE", r"\breduced\s+weekly\s+rate\b", 0, "weekly"),
+    ("PAY_NOW_AND_SAVE", r"\bpay\s+now\s+and\s+(?:save|enjoy\s+savings)\s+up\s+to\s+(\d{1,3})", 1, ("pay",)),
+    ("PAY_NOW_AND_SAVE", r"\bpay\s+now,?\s+stay\s+\d+\+?\s+and\s+save", 0, ("pay",)),
+    ("PERCENT_OFF_BANNER", r"\b(\d{1,3})\s*%\s*off\b", 1, ("%",)),
+    ("PERCENT_OFF_BANNER", r"\bsave\s+up\s+to\s+(\d{1,3})\s*p?c?t\b", 1, ("save",)),
+    ("WEEKLY_RATE_DISCLOSURE", r"\breduced\s+weekly\s+rate\b", 0, ("weekly",)),
     ("VISA_MC_OFFER",
-     r"(?:visa|mastercard|\bmc\b|amex|american\s+express|world\s+of\s+hyatt)[^.\n]{0,120}up\s+to\s+(\d{1,3})\s*p?c?t", 1, "up"),
-    ("VISA_MC_OFFER", r"\bup\s+to\s+(\d{1,3})\s*p?c?t\s+off\s+best\s+flexible\s+rate\b", 1, "flexible"),
-    ("MEMBER_GATED_OFFER", r"\bsign\s+in\s+to\s+(?:see|save|unlock|view)[^\n.]{0,120}", 0, "sign"),
-    ("MEMBER_GATED_OFFER", r"\bmembers?\s+only\s+rate\b", 0, "member"),
+     r"(?:visa|mastercard|\bmc\b|amex|american\s+express|world\s+of\s+hyatt)[^.\n]{0,120}up\s+to\s+(\d{1,3})\s*p?c?t", 1,
+     ("visa", "mastercard", "mc", "amex", "american", "hyatt")),
+    ("VISA_MC_OFFER", r"\bup\s+to\s+(\d{1,3})\s*p?c?t\s+off\s+best\s+flexible\s+rate\b", 1, ("flexible",)),
+    ("MEMBER_GATED_OFFER", r"\bsign\s+in\s+to\s+(?:see|save|unlock|view)[^\n.]{0,120}", 0, ("sign",)),
+    ("MEMBER_GATED_OFFER", r"\bmembers?\s+only\s+rate\b", 0, ("member",)),
 )
 POSTED_PROMO_KINDS = ("PAY_NOW_AND_SAVE", "PERCENT_OFF_BANNER", "WEEKLY_RATE_DISCLOSURE")
 FENCED_PROMO_KINDS = ("VISA_MC_OFFER", "MEMBER_GATED_OFFER")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tariffa import fixed_values as fv
-from tariffa.functions.text import any_of, case, col, contains_any, first_contained, identity, once, plain_money, strip, text, to_int
+from tariffa.functions.text import any_of, bind, case, col, contains_any, first_contained, identity, once, plain_money, strip, text, to_int
 
 
 def block_signature(markdown) -> Column:
     """The first block-page signature found in the page, else null."""
-    return first_contained(F.lower(text(markdown)), fv.BLOCK_SIGNATURES)
+    return bind(F.lower(text(markdown)), lambda low: first_contained(low, fv.BLOCK_SIGNATURES))
 
 
 def names_any(haystack: Column, tokens: Column) -> Column:
@@ -24,13 +24,12 @@ def empty_page_class(markdown, tokens) -> Column:
 
     Broken words win. 'No inventory' only counts on a page that names the property.
     """
-    page = identity(markdown)
-    ours = names_any(page, col(tokens))
-    return case([
+    return bind(identity(markdown), lambda page: case([
         (page == "", F.lit(None).cast("string")),
         (contains_any(page, fv.BROKEN_PAGE_SIGNATURES), "FAIL_URL_BROKEN"),
-        (contains_any(page, fv.NO_INVENTORY_SIGNATURES), F.when(ours, "PASS_NO_INVENTORY").otherwise("FAIL_URL_BROKEN")),
-    ])
+        (contains_any(page, fv.NO_INVENTORY_SIGNATURES),
+         F.when(names_any(page, col(tokens)), "PASS_NO_INVENTORY").otherwise("FAIL_URL_BROKEN")),
+    ], F.lit(None).cast("string")))
 
 
 def cell_verdict(block, http_status, cell_status, empty_class, rows_extracted, expected_present) -> Column:
@@ -52,15 +51,16 @@ def _tokens(page: Column, pattern: str) -> Column:
     return F.regexp_extract_all(page, F.lit(pattern), F.lit(1))
 
 
-def price_tokens(markdown) -> dict:
+def price_tokens(markdown, page=None, bare_when=None) -> dict:
     """Arrays of the number tokens of a page, after thousands commas are dropped.
 
-    `dollar_word`: $n up to a word end. `bare`: n without a $. `dollar`: $n up to the
-    last digit. `plus`: n of a `+ $n` add-on.
+    `dollar_word`: $n up to a word end. `bare`: n without a $ (only read where
+    `bare_when` holds). `dollar`: $n up to the last digit. `plus`: n of a `+ $n` add-on.
     """
-    page = plain_money(markdown)
+    page = plain_money(markdown) if page is None else page
+    bare = _tokens(page, r"(?<!\$)\b(\d+)\b")
     return {
-        "dollar_word": _tokens(page, r"\$(\d+)\b"), "bare": _tokens(page, r"(?<!\$)\b(\d+)\b"),
+        "dollar_word": _tokens(page, r"\$(\d+)\b"), "bare": bare if bare_when is None else F.when(bare_when, bare),
         "dollar": _tokens(page, r"\$(\d+)"), "plus": _tokens(page, r"\+\s*\$(\d+)"),
     }
 
@@ -108,16 +108,17 @@ def with_promo(df: DataFrame, markdown="markdown", name="promo") -> DataFrame:
         found = F.nullif(strip(F.regexp_extract(page, "(?iU)" + pattern, group)), F.lit(""))
         return F.when(contains_any(low, hints), found)
 
-    hits = {f"_hit{i}": hit(p, [h]) for i, (_, p, _, h) in enumerate(fv.PROMO_PATTERNS)}
-    hits |= {f"_pct{i}": hit(p, [h], g).try_cast("double") if g else F.lit(None).cast("double")
-             for i, (_, p, g, h) in enumerate(fv.PROMO_PATTERNS)}
+    hits = {f"_hit{i}": hit(p, h) for i, (_, p, _, h) in enumerate(fv.PROMO_PATTERNS)}
     read = once(once(df, _low=F.lower(page)), **hits)
+    percent = lambda i, p, g: F.when(
+        F.col(f"_hit{i}").isNotNull(), F.regexp_extract(F.col(f"_hit{i}"), "(?iU)" + p, g)).try_cast("double")
+    pct = {i: percent(i, p, g) if g else F.lit(None).cast("double") for i, (_, p, g, _) in enumerate(fv.PROMO_PATTERNS)}
     order = [i for kind in fv.POSTED_PROMO_KINDS for i, row in enumerate(fv.PROMO_PATTERNS) if row[0] == kind]
     fenced = [i for i, row in enumerate(fv.PROMO_PATTERNS) if row[0] in fv.FENCED_PROMO_KINDS]
     gate = contains_any(low, fv.MEMBER_GATE_HINTS) & page.rlike("(?iU)" + fv.MEMBER_GATE)
     out = F.struct(
         F.coalesce(*[F.col(f"_hit{i}") for i in order]).alias("promo_banner_text"),
-        case([(F.col(f"_hit{i}").isNotNull(), F.col(f"_pct{i}")) for i in order],
+        case([(F.col(f"_hit{i}").isNotNull(), pct[i]) for i in order],
              F.lit(None).cast("double")).alias("promo_banner_pct"),
         hit(fv.WEEKLY_DISCLOSURE, [fv.WEEKLY_DISCLOSURE_HINT]).alias("weekly_rate_disclosure"),
         F.when(gate, F.lit(True)).alias("member_rate_gated"),

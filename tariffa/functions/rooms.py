@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tariffa import fixed_values as fv
-from tariffa.functions.text import case, contains_any, strip, text
+from tariffa.functions.text import bind, case, contains_any, strip, text
 
 
 def sku(name, mapping=fv.ROOM_SKUS) -> Column:
@@ -69,11 +69,8 @@ def classify_room(name, property_id, detailed_properties=(), detail_source="dete
 
 def missing_patterns(markdown, room_names) -> Column:
     """Labels whose heading is in the page but whose word is in no room name."""
-    page = F.lower(text(markdown))
     names = F.lower(F.array_join(F.transform(room_names, lambda n: F.coalesce(n, F.lit(""))), " "))
-    return F.array_compact(F.array(*[
+    return bind(F.lower(text(markdown)), lambda page: F.array_compact(F.array(*[
         F.when(page.rlike(heading) & ~names.rlike(word), F.lit(label))
         for label, heading, word in fv.VARIANCE_PATTERNS
-    ]))
-
-
+    ])))

@@ -21,6 +21,15 @@ def once(df: DataFrame, **columns) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed one time.
+
+    Branches of a `when` or `coalesce` do not share work, so an expression over a whole
+    page would run once for every branch.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

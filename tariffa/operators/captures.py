@@ -31,19 +31,26 @@ def plan_facts(p: Column):
             plans.is_fenced(p["rate_plan_label"], p["is_genius_member_rate"]))
 
 
-def pick_index(plan_array: Column, state: str) -> Column:
-    """Position of the lowest pickable plan of a room (first one on ties), else null."""
-    ranked = F.transform(plan_array, lambda p, i: F.struct(
-        F.when(plans.fits(state, p["rate_per_night_usd"], *plan_facts(p)), p["rate_per_night_usd"]).alias("rate"),
-        i.alias("idx")))
-    return F.array_min(F.filter(ranked, lambda r: r["rate"].isNotNull()))["idx"]
+def _candidates(plan_array: Column) -> Column:
+    """State, price and position of every plan that may be picked."""
+    def one(p, i):
+        state, inside, fenced = plan_facts(p)
+        fits = plans.has_rate(p["rate_per_night_usd"]) & ~fenced & plans.is_bare(inside)
+        return F.struct(F.when(fits, state).alias("state"), p["rate_per_night_usd"].alias("rate"), i.alias("idx"))
+
+    return F.filter(F.transform(plan_array, one), lambda c: c["state"].isin(fv.NON_REFUNDABLE, fv.REFUNDABLE))
 
 
 def with_picks(captures: DataFrame) -> DataFrame:
-    """Add `picked`: every room with the positions of its two picked plans."""
-    return once(captures, picked=F.transform(capture_rooms(), lambda r: F.struct(
-        r.alias("room"), pick_index(room_plans(r), fv.NON_REFUNDABLE).alias("bar_idx"),
-        pick_index(room_plans(r), fv.REFUNDABLE).alias("flex_idx"))))
+    """Add `picked`: every room with the positions of its two picked plans.
+
+    The lowest price wins, the first plan on ties.
+    """
+    found = F.transform(capture_rooms(), lambda r: F.struct(r.alias("room"), _candidates(room_plans(r)).alias("c")))
+    lowest = lambda x, state: F.array_min(F.transform(
+        F.filter(x["c"], lambda c: c["state"] == state), lambda c: F.struct(c["rate"], c["idx"])))["idx"]
+    return once(captures, picked=F.transform(found, lambda x: F.struct(
+        x["room"].alias("room"), lowest(x, fv.NON_REFUNDABLE).alias("bar_idx"), lowest(x, fv.REFUNDABLE).alias("flex_idx"))))
 
 
 def flatten_plans(captures: DataFrame, keep=CELL) -> DataFrame:

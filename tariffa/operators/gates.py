@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tariffa import fixed_values as fv
 from tariffa.functions import pages, rooms
-from tariffa.functions.text import case, identity, once, strip, text
+from tariffa.functions.text import case, identity, once, plain_money, strip, text
 from tariffa.operators.captures import CELL, capture_rooms, room_plans, with_picks
 
 
-def implausible_reason(channel="channel") -> Column:
+def implausible_reason(channel="channel", tokens=None) -> Column:
     """Code of the first plausibility rule that a capture breaks, else null."""
+    tokens = tokens or pages.price_tokens("markdown", bare_when=F.col(channel) == "booking")
     found = capture_rooms()
     name = strip(text("extract.property_name"))
     arrival = strip(text("extract.arrival_date"))
@@ -32,7 +33,7 @@ def implausible_reason(channel="channel") -> Column:
         (F.coalesce(off < fv.MIN_RATE, F.lit(False)), "rate_below_floor"),
         (F.coalesce(off > fv.MAX_RATE, F.lit(False)), "rate_above_ceiling"),
         (low >= 3, "placeholder_rates"),
-        (~pages.rates_supported(claimed, pages.price_tokens("markdown"), channel), "rates_not_on_page"),
+        (~pages.rates_supported(claimed, tokens, channel), "rates_not_on_page"),
     ])
 
 
@@ -47,15 +48,24 @@ def room_anchor_fails() -> Column:
     return (F.size(capture_rooms()) > 0) & ((text("markdown") == "") | (F.size(unanchored_rooms()) > 0))
 
 
-def anchor_check(captures: DataFrame) -> DataFrame:
+TOKENS = ("dollar_word", "bare", "dollar", "plus")
+
+
+def with_tokens(captures: DataFrame) -> DataFrame:
+    """Read the number tokens of every page once."""
+    page = once(captures, _page=plain_money("markdown"))
+    tokens = pages.price_tokens("markdown", F.col("_page"), F.col("channel") == "booking")
+    return once(page, **{f"_t_{k}": tokens[k] for k in TOKENS}).drop("_page")
+
+
+def anchor_check(captures: DataFrame, keep_tokens=False) -> DataFrame:
     """Add `anchor_fails` (picked prices that the page does not show) and `anchor_warnings`.
 
     Only the two picked plans of a room can fail the capture. Other plans whose price
     is not in the page are listed as warnings.
     """
-    tokens = pages.price_tokens("markdown")
-    bound = once(with_picks(captures), _t_dollar=tokens["dollar"], _t_plus=tokens["plus"])
-    t = {"dollar": F.col("_t_dollar"), "plus": F.col("_t_plus")}
+    bound = with_tokens(with_picks(captures))
+    t = {k: F.col(f"_t_{k}") for k in TOKENS}
     shown = lambda p: pages.price_supported(p["rate_per_night_usd"], p["rate_plan_label"], t)
 
     def one(x, field, kind):
@@ -75,7 +85,8 @@ def anchor_check(captures: DataFrame) -> DataFrame:
 
     warnings = F.transform(F.flatten(F.transform("picked", others)), lambda w: F.struct(
         w["room"].alias("room"), w["rate"].alias("rate"), w["label"].alias("label")))
-    return once(bound, anchor_fails=fails, anchor_warnings=warnings).drop("_t_dollar", "_t_plus", "picked")
+    out = once(bound, anchor_fails=fails, anchor_warnings=warnings)
+    return out.drop("picked") if keep_tokens else out.drop("picked", *[f"_t_{k}" for k in TOKENS])
 
 
 def room_count(property_id, channel, subject_properties=(), expected=fv.EXPECTED_ROOMS, declared_on="hotels_com") -> Column:
@@ -131,9 +142,9 @@ def gate(captures: DataFrame, subject_properties=(), chain_markers=(), expected=
     missed = F.when(detailed & ~api, rooms.missing_patterns("markdown", names)).otherwise(F.array().cast("array<string>"))
 
     judged = once(
-        anchor_check(captures), missed=missed, _unmapped=F.size(unmapped),
+        anchor_check(captures, keep_tokens=True), missed=missed, _unmapped=F.size(unmapped),
         _count=room_count("property_id", "channel", subject_properties, expected),
-        _sig=F.when(~api, pages.block_signature("markdown")), _why=F.when(~api, implausible_reason()),
+        _sig=F.when(~api, pages.block_signature("markdown")), _why=F.when(~api, implausible_reason(tokens={k: F.col(f"_t_{k}") for k in TOKENS})),
         _off_page=room_anchor_fails(),
         _empty=F.when(F.size(capture_rooms()) == 0, pages.empty_page_class("markdown", "expected_tokens")))
     no_extract = F.col("extract").isNull()
@@ -160,7 +171,7 @@ def gate(captures: DataFrame, subject_properties=(), chain_markers=(), expected=
         (F.col("status").isin("no_inventory", "FAIL_ROOM_COUNT_SHORT"), "sentinel"),
         (F.col("status").isin("ok", "extract_incomplete", "compression_short"), "rows")], "none")
     return once(judged, status=status, reason=reason).withColumn("keep", keep).drop(
-        "_count", "_sig", "_why", "_empty", "_off_page", "_unmapped")
+        "_count", "_sig", "_why", "_empty", "_off_page", "_unmapped", *[f"_t_{k}" for k in TOKENS])
 
 
 def denied_cells(cells: DataFrame, deny) -> DataFrame:

@@ -35,3 +35,17 @@ def test_flagship(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dashboard_tables_can_be_written(spark, tmp_path):
+    from tariffa.plans import dashboard, quote_queries
+    from tariffa.sources import fixtures as fx, writers
+
+    panel = fx.load(spark, SF, "rate_panel")
+    tables = dashboard.panel_results(panel, "NATION_7", ["NATION_3", "NATION_8"], list(fx.ROW_KEY))
+    quotes = quote_queries.with_flag(spark, SF)
+    tables |= dashboard.quote_results(quotes, list(fx.ROW_KEY), fx.CHANNELS, quote_queries.PAIRS, quote_queries.PAIRS)
+    some = {k: tables[k] for k in ("market_demand", "flatness", "spread_headline", "coverage", "view_premium")}
+    folders = writers.write_results(some, str(tmp_path))
+    assert [spark.read.parquet(f).columns for f in folders] == [df.columns for df in some.values()]
+    assert all(df.columns for df in tables.values())
