@@ -44,8 +44,9 @@ def sheet_date(c) -> Column:
     """Serial day number or date text to a date; blank, zero and other text to null."""
     raw = strip(col(c).cast("string"))
     serial = raw.try_cast("double")
-    day = F.date_add(F.lit(fv.SERIAL_DAY_ORIGIN).cast("date"), F.floor(serial).cast("int"))
-    return F.when(serial.isNull(), raw.try_cast("date")).when(~F.isnan(serial) & (serial != 0), day)
+    known = F.when(serial.between(-600_000, 2_958_465) & (serial != 0), serial)  # up to year 9999
+    day = F.date_add(F.lit(fv.SERIAL_DAY_ORIGIN).cast("date"), F.floor(known).cast("int"))
+    return F.when(serial.isNull(), raw.try_cast("date")).otherwise(day)
 
 
 def day_label(label, date) -> Column:

@@ -67,7 +67,7 @@ def price_tokens(markdown, page=None, bare_when=None) -> dict:
 
 def whole(rate: Column) -> Column:
     """Whole dollars as the digits a page would show."""
-    return rate.cast("bigint").cast("string")
+    return rate.try_cast("bigint").cast("string")
 
 
 def rates_supported(rates: Column, tokens: dict, channel, bare_channel="booking") -> Column:
@@ -85,7 +85,7 @@ def rates_supported(rates: Column, tokens: dict, channel, bare_channel="booking"
 
 def price_supported(rate: Column, label: Column, tokens: dict) -> Column:
     """Is one picked price printed as $n, or as base plus the add-on its label names?"""
-    n = rate.cast("bigint")
+    n = rate.try_cast("bigint")
     extra = F.regexp_extract(text(label), r"\+\s*\$(\d+)", 1)
     base = n - extra.try_cast("bigint")
     by_parts = (base > 0) & F.array_contains(tokens["dollar"], base.cast("string")) & F.array_contains(
