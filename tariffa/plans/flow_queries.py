@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tariffa import fixed_values as fv
 from tariffa.functions import cells
 from tariffa.operators import captures as C, gates as G, ingest as I, panel as P, quotes as Q_, reports as RP_, series as S, upsert as U, verify as Y
 from tariffa.plans import panel_queries as PQ, quote_queries as QQ
 from tariffa.plans.common import R, rounded
 from tariffa.sources import fixtures as fx
-from tariffa.schemas import QUOTES, upgrade_quotes
+from tariffa.schemas import upgrade_quotes
 
 SLUGS = {f"c{i}": p for i, p in enumerate(fx.PROPERTIES)}
 CELL = list(U.CELL)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tariffa.operators import panel as P, series as S, spread as X, verdicts as V
-from tariffa.operators.ingest import sample_recheck
 from tariffa.plans.common import R, rounded
 from tariffa.sources import fixtures as fx
 from pyspark.sql import functions as F
