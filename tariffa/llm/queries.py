@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tariffa.llm import exact_dedup, url_filter
+from tariffa.llm import decontamination, exact_dedup, simhash_dedup, url_filter
 
 Q = {
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.SQL),
+    "op6_simhash_dedup": (simhash_dedup.op6_simhash_dedup, None),
     "op7_url_filter": (url_filter.op7_url_filter, url_filter.SQL),
+    "op10_decontamination": (decontamination.op10_decontamination, decontamination.SQL),
 }
