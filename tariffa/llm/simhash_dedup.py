@@ -101,8 +101,8 @@ def _first_key(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _short_runs(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
-    """All links of runs of equal keys, each in the first variant that its two ends share."""
+def _short_runs(key: np.ndarray, fp: np.ndarray, low: int) -> list[np.ndarray]:
+    """All links of runs of equal keys, each in the first variant that its two ends share; low: bits below the bit left out."""
     found, i, d = [], np.arange(len(key) - 1), 1
     while True:
         i = i[i + d < len(key)]
@@ -110,7 +110,7 @@ def _short_runs(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
         if not len(i):
             return found
         near = i[_distance(fp[i], fp[i + d]) <= DISTANCE]
-        near = near[_first_key(np.bitwise_xor(fp[near], fp[near + d])) == key[near] >> 22]
+        near = near[_first_key(np.bitwise_xor(fp[near], fp[near + d])) == key[near] >> low]
         if len(near):
             found.append(np.stack([fp[near], fp[near + d]]))
         d += 1
@@ -144,7 +144,7 @@ def _links(batches, level: int):
         ends = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         sizes = np.repeat(np.diff(ends), np.diff(ends))
         short = sizes <= SHORT
-        yield from out(_short_runs(key[short], fp[short]), 0)
+        yield from out(_short_runs(key[short], fp[short], 22 if level == 1 else 34), 0)
         for lo, hi in zip(ends[:-1], ends[1:]):
             if hi - lo > SHORT:
                 yield from out(_forest(fp[lo:hi]), 0)
