@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tariffa.llm import decontamination, exact_dedup, simhash_dedup, url_filter
+from tariffa.llm import decontamination, exact_dedup, quality, simhash_dedup, toxicity, url_filter
 
 Q = {
+    "op2_toxicity": (toxicity.op2_toxicity, None),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.SQL),
     "op6_simhash_dedup": (simhash_dedup.op6_simhash_dedup, None),
     "op7_url_filter": (url_filter.op7_url_filter, url_filter.SQL),
+    "op8_quality_classifier": (quality.op8_quality_classifier, None),
     "op10_decontamination": (decontamination.op10_decontamination, decontamination.SQL),
 }
