@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tariffa.llm import decontamination, exact_dedup, quality, simhash_dedup, toxicity, url_filter
+from tariffa.llm import decontamination, exact_dedup, html_extract, quality, simhash_dedup, toxicity, url_filter
 
 Q = {
+    "op1_html_extraction": (html_extract.op1_html_extraction, None),
     "op2_toxicity": (toxicity.op2_toxicity, None),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.SQL),
     "op6_simhash_dedup": (simhash_dedup.op6_simhash_dedup, None),
