@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tariffa.llm import decontamination, exact_dedup, html_extract, quality, simhash_dedup, toxicity, url_filter
+from tariffa.llm import decontamination, exact_dedup, html_extract, lm_scoring, quality, simhash_dedup, toxicity, url_filter
 
 Q = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
@@ -11,5 +11,6 @@ Q = {
     "op6_simhash_dedup": (simhash_dedup.op6_simhash_dedup, None),
     "op7_url_filter": (url_filter.op7_url_filter, url_filter.SQL),
     "op8_quality_classifier": (quality.op8_quality_classifier, None),
+    "op9_lm_scoring": (lm_scoring.op9_lm_scoring, None),
     "op10_decontamination": (decontamination.op10_decontamination, decontamination.SQL),
 }
