@@ -17,6 +17,7 @@ give no rows. Extra columns are not read. Whole texts are read and every id lies
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tariffa.llm.common import stored, table
 
 CAPACITY, END = 2048, 1
-CACHE = 400_000
+CACHE = 600_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -50,42 +51,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
+        self.packers = [struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}").pack for n in range(40)]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(rest)}}  # the byte-level alphabet
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, p: str) -> list[int]:
-        text = p if p.isascii() else "".join(self.letters[b] for b in p.encode())
-        return [t.id for t in self.model.tokenize(text)]
+    def packed(self, ids: list[int]) -> bytes:
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, self.kind).tobytes()
+
+    def piece(self, p: str) -> bytes:
+        own = self.pieces.get(p)
+        if own is None:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            text = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
+            own = self.pieces[p] = self.packed([t.id for t in self.model.tokenize(text)])
+        return own
 
     def word(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            return self.piece(w.lower())
         if self.PLAIN.fullmatch(w) and "<|" not in w:
-            ids = []
-            for p in self.SPLIT.findall(w.lower()):
-                own = self.pieces.get(p)
-                if own is None:
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    own = self.pieces[p] = self._piece(p)
-                ids += own
-        else:
-            ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
+            return b"".join(map(self.piece, self.SPLIT.findall(w.lower())))
+        return self.packed(self.tokenizer.encode(w, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        words, out = self.words, []
-        for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            own = words.get(w)
-            if own is None:
-                if len(words) >= CACHE:
-                    words.clear()
-                own = words[w] = self.word(w) if w else b""
-            out.append(own)
+        own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        out = list(map(self.words.get, own))
+        if None in out:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            for i, x in enumerate(out):
+                if x is None:
+                    w = own[i]
+                    x = self.words.get(w)  # met earlier in this text
+                    out[i] = self.words.setdefault(w, self.word(w) if w else b"") if x is None else x
         return b"".join(out)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which serves many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def fill(counts: np.ndarray, room: int) -> dict[int, int]:
     """The multiset of available lengths whose sum is closest to room without exceeding it."""
     items, reach, seen, mask = [], [1], 1, (1 << (room + 1)) - 1
@@ -164,7 +179,7 @@ def _tokens(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, task, full = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, task, full = encoder(path), TaskContext.get().partitionId(), 0
         ranks: dict[int, int] = defaultdict(int)
         end = np.array([END], encode.kind).tobytes()
         for b in batches:
@@ -218,7 +233,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     histogram = {r["rest"]: r["n"] for r in own.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(plan(histogram))
     base = own.select("rest", "task", (F.sum("n").over(W.partitionBy("rest").orderBy("task")) - F.col("n")).alias("base"))
-    return tokens.join(base, ["rest", "task"]).mapInArrow(_pieces(shared, Encoder(path).kind), PIECES)
+    return tokens.join(base, ["rest", "task"]).mapInArrow(_pieces(shared, encoder(path).kind), PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
