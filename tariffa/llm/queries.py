@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tariffa.llm import decontamination, exact_dedup, html_extract, lm_scoring, packing, quality, simhash_dedup, toxicity, url_filter
+from tariffa.llm import decontamination, exact_dedup, html_extract, lm_scoring, packing, quality, simhash_dedup, substring_dedup, toxicity, url_filter
 
 Q = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
     "op2_toxicity": (toxicity.op2_toxicity, None),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.SQL),
     "op4_packing": (packing.op4_packing, None),
+    "op5_substring_dedup": (substring_dedup.op5_substring_dedup, substring_dedup.SQL),
     "op6_simhash_dedup": (simhash_dedup.op6_simhash_dedup, None),
     "op7_url_filter": (url_filter.op7_url_filter, url_filter.SQL),
     "op8_quality_classifier": (quality.op8_quality_classifier, None),
