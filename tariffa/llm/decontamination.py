@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tariffa.llm.common import stored, table
+from tariffa.llm.common import free, stored, table
 
 WINDOW, SHARE = 13, 20
 SEGMENT, BLOCK, GAP = 4_000_000, 8_000_000, 64
@@ -182,6 +182,14 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
+def kept_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns. Verdicts are joined by a hash of id and text."""
+    key = F.xxhash64("doc_id", "text")
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    name = free(docs, "_key")
+    return docs.withColumn(name, key).join(bad.withColumnRenamed("_bad", f"{name}_bad"), F.col(name) == F.col(f"{name}_bad"), "left_anti").select(*docs.columns)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -16,7 +16,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tariffa.llm.common import lookup, shared_folder, stored, table
+from tariffa.llm.common import free, lookup, shared_folder, stored, table
 
 ENTRY = "digest binary, keep_id long, group_size long, repeats long"
 
@@ -65,11 +65,12 @@ def kept_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents that stay, each once, with all their columns."""
     rows = stored(digests(docs), "digests")
     index.append(grouped(rows))
-    stays = index.entries().select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("repeats").alias("_repeats"))
+    digest, keep, repeats = (free(docs, c) for c in ("_digest", "_keep", "_repeats"))
+    stays = index.entries().select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("repeats").alias(repeats))
     own = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    kept = docs.join(stays, (own == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    if not stays.where("_repeats > 1").isEmpty():
-        kept = kept.where("_repeats = 1").unionByName(kept.where("_repeats > 1").dropDuplicates(["_digest"]))
+    kept = docs.join(stays, (own == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep)))
+    if not stays.where(F.col(repeats) > 1).isEmpty():
+        kept = kept.where(F.col(repeats) == 1).unionByName(kept.where(F.col(repeats) > 1).dropDuplicates([digest]))
     return kept.select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tariffa.llm.common import bucket, table
+from tariffa.llm.common import bucket, free, table
 from tariffa.llm.folds import labelled_sample
 
 MOST = 8000
@@ -165,17 +165,17 @@ def train(docs: DataFrame, labels: DataFrame, fold, most: int = MOST) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All rows and columns of docs, and score: the probability of quality 1."""
+    """All rows and columns of docs, and _score as the last one: the probability of quality 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns
+    keep, name = docs.columns, free(docs, "_score")
 
     def run(batches):
         for b in batches:
-            t = b.column(b.schema.get_field_index("_text"))
+            t = b.column(len(keep))
             x = np.array([features(v) for v in _texts(t)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(predict(shared.value, x))], schema=pa.schema([*[b.schema.field(i) for i in range(len(keep))], pa.field("_score", pa.float64())]))
-    rows = docs.withColumn("_text", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(predict(shared.value, x))], schema=pa.schema([*[b.schema.field(i) for i in range(len(keep))], pa.field(name, pa.float64())]))
+    rows = docs.select("*", F.col("text").cast("binary").alias(free(docs, "_text")))
+    return rows.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def _is_training():
@@ -183,7 +183,7 @@ def _is_training():
 
 
 def trained_scores(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """docs[columns] with _score, from a model of the training fold."""
+    """docs[columns] with the score as last column, from a model of the training fold."""
     model = train(docs, labels, _is_training())
     return score(docs.select(*columns, *([] if "text" in columns else ["text"])), model)
 

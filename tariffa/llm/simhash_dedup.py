@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tariffa.llm.common import lookup, stored, table
+from tariffa.llm.common import free, lookup, stored, table
 from tariffa.llm.components import components
 
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
@@ -58,6 +58,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """All columns of docs, and the fingerprint."""
+    n = len(docs.columns)
+
+    def run(batches):
+        for b in batches:
+            fp = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(n)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(fp, pa.int64())], schema=pa.schema([*[b.schema.field(i) for i in range(n)], pa.field(name, pa.int64())]))
+    rows = docs.select("*", F.col("text").cast("binary").alias(free(docs, "_text")))
+    return rows.mapInArrow(run, docs.withColumn(name, F.lit(0).cast("long")).schema)
+
+
 def variants(fp: np.ndarray) -> np.ndarray:
     """(64, n) keys: the bit left out, then the segment with that bit zero."""
     u = fp.view(np.uint64)
@@ -205,16 +217,34 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.unionByName(second.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row: component_id is the smallest id reachable over links."""
-    rows = stored(fingerprints(docs), "fingerprints")
+def grouped(rows: DataFrame) -> DataFrame:
+    """doc_id, fp, root, component_id of every row (doc_id, fp): root is a fingerprint of the component, component_id
+    the smallest id reachable over links."""
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(links(classes))
     member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = stored(member, "members")
     smallest = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    owned = lookup(member, smallest, "root", "m", classes.count(), F.col("fp")).select("fp", "n", "component_id")
-    return lookup(rows, owned, "fp", "n", rows.count(), F.col("doc_id")).select("doc_id", "fp", "component_id")
+    owned = lookup(member, smallest, "root", "m", classes.count(), F.col("fp")).select("fp", "n", "root", "component_id")
+    return lookup(rows, owned, "fp", "n", rows.count(), F.col("doc_id")).select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, root, component_id of every row of docs (doc_id, text)."""
+    return grouped(stored(fingerprints(docs), "fingerprints"))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest id (and fingerprint)."""
+    fp, keep, keep_fp = (free(docs, c) for c in ("_fp", "_keep", "_keep_fp"))
+    marked = stored(_with_fingerprint(docs, fp), "fingerprinted")
+    own = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
+    one = grouped(own).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r"))
+    one = stored(one.select(F.col("r.doc_id").alias(keep), F.col("r.fp").alias(keep_fp)), "kept")
+    out = marked.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)) & (F.col(fp) == F.col(keep_fp)))
+    if own.groupBy("doc_id", "fp").count().where("count > 1").join(one, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col("fp") == F.col(keep_fp))).isEmpty():
+        return out.select(*docs.columns)
+    return out.dropDuplicates([keep, keep_fp]).select(*docs.columns)  # rows that share both id and fingerprint
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
