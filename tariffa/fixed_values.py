@@ -27,6 +27,8 @@ UNKNOWN_STATUS_PREFIX = "unknown_sentinel:"
 
 # ---------------------------------------------------------------- wide sheets
 SHEET_METADATA_HEADERS = ("Day", "Date", "My OTB", "Market OTB", "Market demand")
+SHEET_DATE_HEADER = "Date"
+SHEET_REQUIRED_HEADERS = ("Date", "Market demand", "Market OTB")
 SHEET_LOS_PATTERN = r"(?i)_los(\d+)_"
 SHEET_AS_OF_PATTERN = r"(\d{4}-\d{2}-\d{2})"
 SHEET_UPDATED_PATTERN = r"^\s*(\d{1,2})/(\d{1,2})\s+\d{1,2}:\d{2}\s*$"

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tariffa import fixed_values as fv
-from tariffa.functions.text import case, col, strip
+from tariffa.functions.text import case, col, decimal, strip
 
 
 def number(c) -> Column:
     """Text or number to double; anything else, and NaN, to null."""
-    value = strip(col(c).cast("string")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return decimal(strip(col(c).cast("string")))
 
 
 def typed_cell(c) -> Column:
@@ -23,9 +22,8 @@ def typed_cell(c) -> Column:
     """
     raw = strip(col(c).cast("string"))
     low = F.lower(raw)
-    price = raw.try_cast("double")
-    is_word = low.isin("nan", "inf", "infinity", "-inf", "-infinity", "+inf", "+infinity")
-    is_price = price.isNotNull() & ~is_word & (price != 0)
+    price = decimal(raw)
+    is_price = price.isNotNull() & (price != 0)
     nights = F.regexp_extract(raw, fv.LOS_WORD, 1)
     status = case(
         [(raw.isNull() | (raw == "") | (low == "nan") | (price == 0), "blank"), (is_price, "available")]
@@ -43,7 +41,7 @@ def typed_cell(c) -> Column:
 def sheet_date(c) -> Column:
     """Serial day number or date text to a date; blank, zero and other text to null."""
     raw = strip(col(c).cast("string"))
-    serial = raw.try_cast("double")
+    serial = decimal(raw)
     known = F.when(serial.between(-600_000, 2_958_465) & (serial != 0), serial)  # up to year 9999
     day = F.date_add(F.lit(fv.SERIAL_DAY_ORIGIN).cast("date"), F.floor(known).cast("int"))
     return F.when(serial.isNull(), raw.try_cast("date")).otherwise(day)
@@ -69,7 +67,7 @@ def updated_day(stamp, file_time) -> Column:
     year = F.year(col(file_time))
     this_year = of_year(year)
     too_late = this_year.cast("timestamp") > col(file_time) + F.expr("INTERVAL 90 DAYS")
-    return F.when(too_late, of_year(year - 1)).otherwise(this_year)
+    return F.when(col(stamp).isNull(), F.lit(None).cast("date")).when(too_late, of_year(year - 1)).otherwise(this_year)
 
 
 def iso_year(date) -> Column:

@@ -34,6 +34,18 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def decimal(c) -> Column:
+    """Plain decimal text to a finite double, anything else to null.
+
+    A cast alone also takes suffixes such as `1d`, and the words for infinity.
+    """
+    value = F.when(col(c).rlike(NUMBER), col(c).try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def text(c) -> Column:
     """The column as text, with null as ''."""
     return F.coalesce(col(c).cast("string"), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tariffa import fixed_values as fv
 from tariffa.functions import cells
@@ -27,6 +27,81 @@ def typed(melted: DataFrame) -> DataFrame:
     return melted.withColumn("t", cells.typed_cell("cell")).select("*", "t.*").drop("t", "cell")
 
 
+def csv_fields(line: Column) -> Column:
+    """Fields of one CSV line as text; quotes around a field go, doubled quotes inside it count once."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r'(,(?:"(?:[^"]|"")*"|[^,]*))'), F.lit(1))
+    return F.transform(parts, lambda p: F.when(
+        p.startswith(',"') & p.endswith('"') & (F.length(p) > 2), F.replace(F.substr(p, F.lit(3), F.length(p) - 3), F.lit('""'), F.lit('"')))
+        .otherwise(F.substr(p, F.lit(2))))
+
+
+def sheet_rows(files: DataFrame) -> DataFrame:
+    """Lay out whole CSV sheets (file, file_time, value) as rows with their file's own headers.
+
+    The as-of day is the one in the file name, else the day of an 'Updated' stamp above the
+    headers, else the file's day. Without a number in the name the stay is one night.
+    """
+    lines = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n|\r"), csv_fields)
+    at = F.coalesce(F.array_position(F.transform("lines", lambda f: F.array_contains(f, fv.SHEET_DATE_HEADER)), True), F.lit(0))
+    above = F.flatten(F.slice("lines", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0)).cast("int")))
+    stamp = F.filter(above, lambda c: c.rlike(fv.SHEET_UPDATED_PATTERN))
+    laid = files.withColumn("lines", lines).withColumn("at", at)
+    los = F.regexp_extract("file", fv.SHEET_LOS_PATTERN, 1).try_cast("int")
+    day = F.regexp_extract("file", fv.SHEET_AS_OF_PATTERN, 1).try_cast("date")
+    tagged = laid.withColumn("stamp", F.get(stamp, 0)).select(
+        "file", F.col("lines")[F.greatest(F.col("at") - 1, F.lit(0)).cast("int")].alias("headers"), F.posexplode("lines").alias("line", "cells"), "at",
+        F.coalesce(los, F.lit(1)).alias("length_of_stay_nights"),
+        F.coalesce(day, cells.updated_day("stamp", "file_time"), F.to_date("file_time")).alias("as_of_date"))
+    n = F.size("headers")
+    padded = F.transform(F.slice("cells", F.lit(1), n), lambda c: F.nullif(c, F.lit("")))
+    return tagged.where((F.col("at") > 0) & (F.col("line") >= F.col("at")) & (F.array_join("cells", "") != "")).select(
+        "file", "line", "headers", F.concat(padded, F.array_repeat(F.lit(None).cast("string"), F.greatest(n - F.size("cells"), F.lit(0)))).alias("cells"),
+        "length_of_stay_nights", "as_of_date")
+
+
+def named_cell(name: str) -> Column:
+    """The cell under the first header of that name, null if the file has none."""
+    return F.get("cells", (F.array_position("headers", name) - 1).cast("int"))
+
+
+def sheet_headers(rows: DataFrame) -> DataFrame:
+    """(file, header) of every file, the input of `header_drift`."""
+    return rows.select("file", "headers").distinct().select("file", F.explode("headers").alias("header"))
+
+
+def melt_rows(rows: DataFrame, slugs: dict, ids=("arrival_date",), drop=()) -> DataFrame:
+    """One row per (ids, property column) of sheet rows; each cell goes by the header of its own file."""
+    names = F.create_map(*[F.lit(x) for h, p in slugs.items() if h not in drop for x in (h, p)]) if slugs else F.create_map().cast("map<string,string>")
+    pairs = F.transform(F.arrays_zip("headers", "cells"), lambda z: F.struct(
+        F.try_element_at(names, F.nullif(z["headers"], F.lit(""))).alias("property"), z["cells"].alias("cell")))
+    return rows.select(*ids, F.inline(F.filter(pairs, lambda z: z["property"].isNotNull())))
+
+
+def checked_sheets(rows: DataFrame, slugs: dict, drop=(), required=fv.SHEET_REQUIRED_HEADERS, shown=20) -> DataFrame:
+    """The sheet rows, once every header is mapped, dropped or known and every file has the required ones.
+
+    Anything else raises before a cell is read: a renamed column must not go missing silently.
+    """
+    spark, headers = rows.sparkSession, sheet_headers(rows)
+    one = lambda values: spark.createDataFrame([(v,) for v in values], "header string")
+    drift = header_drift(headers.where(F.col("header") != ""), one(slugs), one(drop)).limit(shown).collect()
+    gaps = rows.select("file", F.explode(F.array_except(F.array(*[F.lit(r) for r in required]), "headers")).alias("header")).distinct().limit(shown).collect()
+    if drift or gaps:
+        raise ValueError(f"sheet headers: unknown {[tuple(r) for r in drift]}, missing {[tuple(r) for r in gaps]}")
+    return rows
+
+
+def sheet_rows_panel(rows: DataFrame, slugs: dict, source: str, tier="any", drop=(), strict=True) -> DataFrame:
+    """Panel rows of sheet rows, after the header check (unless strict is False). Rows without a date are left out."""
+    if strict:
+        rows = checked_sheets(rows, slugs, drop)
+    dated = rows.withColumn("arrival_date", cells.sheet_date(named_cell(fv.SHEET_DATE_HEADER))).where("arrival_date is not null")
+    ids = {"dow": cells.day_label(named_cell("Day"), "arrival_date"), "market_demand_frac": cells.number(named_cell("Market demand")),
+           "market_otb_frac": cells.number(named_cell("Market OTB"))}
+    long = melt_rows(dated.withColumns(ids), slugs, ("as_of_date", "arrival_date", "length_of_stay_nights", *ids), drop)
+    return conform(typed(long).withColumn("source", F.lit(source)).withColumn("room_tier", F.lit(tier)), PANEL)
+
+
 def sheet_panel(sheets: DataFrame, slugs: dict, source: str, tier="any", drop=()) -> DataFrame:
     """Panel rows of wide sheets that carry `as_of_date` and `length_of_stay_nights`.
 
@@ -48,7 +123,7 @@ def unknown_statuses(panel: DataFrame) -> DataFrame:
     """Cell texts that no status word covers, counted."""
     prefix = fv.UNKNOWN_STATUS_PREFIX
     return panel.where(F.col("availability_status").startswith(prefix)).groupBy(
-        F.substring(F.col("availability_status"), len(prefix) + 1, 1_000_000).alias("cell_text")).agg(
+        F.substr(F.col("availability_status"), F.lit(len(prefix) + 1)).alias("cell_text")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -81,19 +156,6 @@ def map_preflight(slugs: DataFrame, drop: DataFrame, subject: str, peers: DataFr
     return found.where(has_map.exists()).select("problem", F.col("slug").alias("name"))
 
 
-def sheet_files(wide: DataFrame) -> DataFrame:
-    """Tag rows read from files with nights and as-of day from the file name.
-
-    Without a number in the name the stay is one night; without a day in the name the
-    file's modification day counts.
-    """
-    name = F.col("_metadata.file_name")
-    los = F.regexp_extract(name, fv.SHEET_LOS_PATTERN, 1).try_cast("int")
-    day = F.regexp_extract(name, fv.SHEET_AS_OF_PATTERN, 1).try_cast("date")
-    return wide.select("*", F.coalesce(los, F.lit(1)).alias("length_of_stay_nights"),
-                       F.coalesce(day, F.to_date("_metadata.file_modification_time")).alias("as_of_date"))
-
-
 def sample_recheck(sample: DataFrame, source: DataFrame, keys=("property", "arrival_date"), tolerance=1e-6) -> DataFrame:
     """Sampled prices beside the price read again from the source; null or another price is a mismatch."""
     again = source.select(*keys, F.col("rate_usd").alias("source_usd"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tariffa import fixed_values as fv
 from tariffa.functions import cells, stats
 from tariffa.functions.text import fields_contain
-from tariffa.operators.rank import describe, exact_median, first_row
+from tariffa.operators.rank import describe, exact_median, first_row, ranked
 
 
 def _matches(name: str, wanted) -> Column:
@@ -190,8 +190,8 @@ def clipped(rows: DataFrame, cap: float) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, key, n: int, seed: int) -> DataFrame:
-    """Repeatable sample of n rows: the smallest seeded hashes of a unique key."""
-    mixed = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+    """Repeatable sample of n rows: the smallest md5 sums of the seed and a unique key as text."""
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
     return rows.orderBy(mixed, *key).limit(n)
 
 
@@ -212,6 +212,11 @@ def filter_text(rows: DataFrame, needle: str) -> DataFrame:
     return rows.where(fields_contain(rows.columns, needle))
 
 
+def sort_positions(rows: DataFrame, column: str, descending=False, tie=()) -> DataFrame:
+    """All rows with their 1-based position in the order of a number, nulls last, ties by `tie`."""
+    return ranked(rows, [], F.col(column) if descending else -F.col(column), list(tie), "position")
+
+
 def sort_nulls_last(rows: DataFrame, column: str, descending=False, tie=()) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), *tie)
 

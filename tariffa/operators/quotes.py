@@ -14,7 +14,7 @@ from tariffa import fixed_values as fv
 from tariffa.functions import plans
 from tariffa.functions.cells import weekday
 from tariffa.functions.stats import cv_percent
-from tariffa.functions.text import case
+from tariffa.functions.text import case, decimal
 from tariffa.operators.rank import describe, first_row, join_on, ranked
 
 ROOM = ("property_id", "channel", "arrival_date", "nights", "marketing_name")
@@ -92,8 +92,10 @@ def room_cells(posted_rows: DataFrame, order, by=("property_id",), room="marketi
 
 
 def plan_cells(quotes: DataFrame, order, by=("property_id",), room="marketing_name", nights=1, rooms=None) -> DataFrame:
-    """One price per channel, date, room and plan label over the refundable rows."""
-    rows = quotes.where((F.col("nights") == nights) & F.col("refundable") & plans.has_rate(RATE))
+    """One price per channel, date, room and plan label over the refundable rows; nights=None takes every stay."""
+    rows = quotes.where(F.col("refundable") & plans.has_rate(RATE))
+    if nights is not None:
+        rows = rows.where(F.col("nights") == nights)
     if rooms is not None:
         rows = rows.where(F.col(room).isin(*rooms))
     return lowest_price(rows.withColumn("room", F.col(room)), [*by, "channel", "arrival_date", "room", LABEL], order)
@@ -121,10 +123,15 @@ def rate_matrix(cells: DataFrame, channels, by=("property_id",)) -> DataFrame:
         F.avg("rate_usd").alias("mean_usd"))
 
 
-def matrix_by_date(cells: DataFrame, channel: str, dates, by=("property_id",)) -> DataFrame:
-    """Rooms by a fixed list of dates for one channel."""
-    return cells.where(F.col("channel") == channel).groupBy(*by, "room").pivot("arrival_date", list(dates)).agg(
-        F.max("rate_usd"))
+def matrix_by_date(cells: DataFrame, dates, channel=None, by=("property_id",)) -> DataFrame:
+    """Rooms and channels (or the rooms of one channel) by the caller's full list of dates or months."""
+    rows = cells if channel is None else cells.where(F.col("channel") == channel)
+    return rows.groupBy(*by, "channel", "room").pivot("arrival_date", list(dates)).agg(F.max("rate_usd"))
+
+
+def matrix_long(cells: DataFrame, by=("property_id",)) -> DataFrame:
+    """The same prices with one row per room, channel and date, for any range of dates."""
+    return cells.groupBy(*by, "channel", "room", "arrival_date").agg(F.max("rate_usd").alias("rate_usd"))
 
 
 def first_rows(cells: DataFrame, n: int, order) -> DataFrame:
@@ -340,5 +347,5 @@ def unknown_refundability(quotes: DataFrame, cell=("property_id", "channel", "ar
 
 def recover_text(rows: DataFrame, booleans=(), numbers=()) -> DataFrame:
     """Typed columns from stored text: true/false words and numbers, anything else null."""
-    return rows.withColumns({c: plans.true_text(c) for c in booleans} | {c: F.trim(c).try_cast("double") for c in numbers})
+    return rows.withColumns({c: plans.true_text(c) for c in booleans} | {c: decimal(F.trim(c)) for c in numbers})
 

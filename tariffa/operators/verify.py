@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tariffa import fixed_values as fv
-from tariffa.functions.text import case, strip, text
+from tariffa.functions.text import case, decimal, strip, text
 
 
 def _first_key(m: Column, keys) -> Column:
@@ -28,7 +28,7 @@ def field_check(field: str) -> Column:
         low = F.lower(got)
         got = F.when(low.isin("true", "false"), low).otherwise(F.when(got.isNotNull(), (strip(got) != "").cast("string")))
         want = F.lower(want)
-    a, e = got.try_cast("double"), want.try_cast("double")
+    a, e = decimal(F.trim(got)), decimal(F.trim(want))
     if field == "bar_non_ref_nightly_allin":
         same = F.try_divide(F.abs(a - e), e) <= fv.RATE_TOLERANCE
     elif field == "promo_banner_text":

@@ -189,10 +189,13 @@ add("unmapped_names", lambda s, d: C.unmapped_names(captures(s, d), keep=KEEP).s
     B + "SELECT doc_id, property_id, channel, arrival_date, nights, CASE WHEN n_rooms = 2 AND name_b = 'Mystery Loft' THEN name_b ELSE '' END AS unmapped FROM b")
 add("render_class", lambda s, d: C.render_class(captures(s, d), KEEP), B + """SELECT doc_id, property_id, channel, arrival_date, nights,
  CASE n_rooms WHEN 0 THEN 'thin_min_0' WHEN 1 THEN 'ok_min_4' ELSE 'thin_min_1' END AS render FROM b""")
-add("tier_rows", lambda s, d: C.flatten_plans(C.rewrite_tiers(captures(s, d)), ("doc_id",)).where(F.col("rate_plan_label").contains("(pay ")).select(
-    "doc_id", "marketing_name", "plan_idx", "rate_plan_label", "rate_per_night_usd", "total_stay_usd", "refundable", "cancellation_phrase"), TIERS + """, k AS (SELECT *, unnest([0, 1]) AS i FROM r WHERE skip_reason IS NULL)
+add("tier_rows", lambda s, d: C.flatten_plans(C.rewrite_tiers(captures(s, d)), ("doc_id",)).select(
+    "doc_id", "marketing_name", "plan_idx", "rate_plan_label", "rate_per_night_usd", "total_stay_usd", "refundable", "cancellation_phrase"), TIERS + PLANS[len(B):] + """, k AS (SELECT *, unnest([0, 1]) AS i FROM r WHERE skip_reason IS NULL)
 SELECT doc_id, marketing_name, i AS plan_idx, CASE i WHEN 0 THEN 'Non-Refundable + $0 (pay deposit)' ELSE 'Fully refundable before Sep 23 + $163 (pay later)' END AS rate_plan_label,
- CAST(lead_in + i * 163 AS DOUBLE) AS rate_per_night_usd, CAST((lead_in + i * 163) * nights AS DOUBLE) AS total_stay_usd, i = 1 AS refundable, CASE i WHEN 0 THEN 'Non-Refundable' ELSE 'Fully refundable before Sep 23' END AS cancellation_phrase FROM k""")
+ CAST(lead_in + i * 163 AS DOUBLE) AS rate_per_night_usd, CAST((lead_in + i * 163) * nights AS DOUBLE) AS total_stay_usd, i = 1 AS refundable, CASE i WHEN 0 THEN 'Non-Refundable' ELSE 'Fully refundable before Sep 23' END AS cancellation_phrase FROM k
+UNION ALL SELECT doc_id, room, plan_idx, label, CAST(rate AS DOUBLE), CAST(rate * p.nights AS DOUBLE), refundable,
+ CASE label WHEN 'Standard Rate' THEN 'Free cancellation before Jul 10' WHEN 'Advance Purchase + Parking' THEN 'Non-refundable' WHEN 'Visa Offer' THEN 'Free cancellation' END
+ FROM p WHERE (doc_id, room) IN (SELECT (doc_id, marketing_name) FROM r WHERE skip_reason IS NOT NULL)""")
 add("tier_outcomes", lambda s, d: C.tier_outcomes(C.rewrite_tiers(captures(s, d))), TIERS + """SELECT coalesce(skip_reason, 'replaced') AS outcome, count(*) AS n_rooms, CAST(sum(n_tiers) AS BIGINT) AS n_tiers FROM r GROUP BY ALL""")
 
 # ------------------------------------------------------------------ gates
@@ -224,11 +227,15 @@ add("gate_status", lambda s, d: gated(s, d).select("doc_id", "status", "reason",
 add("cell_sentinels", lambda s, d: C.cell_sentinels(gated(s, d)).select("source_url", "status", "rate_plan_canonical", "availability_status", "missed_patterns", "is_bar"), GATES + """
 SELECT 'https://rates.example/' || doc_id AS source_url, status, CASE status WHEN 'no_inventory' THEN 'NO_INVENTORY' ELSE status END AS rate_plan_canonical,
  CASE status WHEN 'no_inventory' THEN status ELSE 'unknown' END AS availability_status, reason AS missed_patterns, false AS is_bar FROM g4 WHERE status IN ('no_inventory','FAIL_ROOM_COUNT_SHORT')""")
-add("kept_rows", lambda s, d: C.quote_rows(C.flatten(gated(s, d).where("keep = 'rows'"))).groupBy("source_url", "status").agg(F.count(F.lit(1)).alias("n")), GATES + """
-, k AS (SELECT doc_id, status AS cs, n_rooms, unnest(['ok', 'non_bar_rate', 'FAIL_NO_BARE_NON_REF']) AS row_status FROM g4 WHERE status IN ('ok','extract_incomplete'))
-, n AS (SELECT doc_id, CASE WHEN cs <> 'ok' AND row_status <> 'FAIL_NO_BARE_NON_REF' THEN 'extract_incomplete' ELSE row_status END AS status,
- CASE row_status WHEN 'ok' THEN CASE WHEN n_rooms >= 1 THEN 1 ELSE 0 END WHEN 'non_bar_rate' THEN CASE n_rooms WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 4 END ELSE CASE n_rooms WHEN 2 THEN 1 ELSE 0 END END AS n FROM k)
-SELECT 'https://rates.example/' || doc_id AS source_url, status, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY doc_id, status HAVING sum(n) > 0""")
+KEPT = ("source_url", "scraped_marketing_name", "rate_plan_label", "rate_per_night_usd", "refundable", "is_bar", "status", "rate_plan_canonical", "bundle_inclusions", "strikethrough_pct", "missed_patterns")
+add("kept_rows", lambda s, d: C.quote_rows(C.flatten(gated(s, d).where("keep = 'rows'"))).select(*KEPT), GATES + PLANS[len(B):] + """
+, k AS (SELECT doc_id, status AS cs, missed_penthouse FROM g4 WHERE status IN ('ok','extract_incomplete'))
+, x AS (SELECT doc_id, room, label, CAST(rate AS DOUBLE) AS rate, CASE label WHEN 'Standard Rate' THEN true WHEN 'Advance Purchase + Parking' THEN false WHEN 'Visa Offer' THEN true END AS refundable,
+  label = 'Pay Now and Save' AS is_bar, CASE WHEN cs <> 'ok' THEN 'extract_incomplete' WHEN label = 'Pay Now and Save' THEN 'ok' ELSE 'non_bar_rate' END AS status, bucket, bundles,
+  CASE WHEN label = 'Standard Rate' THEN round_even(100.0 / (base + 125), 4) END AS sp, missed_penthouse FROM p JOIN k USING (doc_id)
+ UNION ALL SELECT doc_id, name_b, '', NULL, NULL, false, 'FAIL_NO_BARE_NON_REF', 'FAIL_NO_BARE_NON_REF', NULL, NULL, missed_penthouse FROM b JOIN k USING (doc_id) WHERE n_rooms >= 2)
+SELECT 'https://rates.example/' || doc_id AS source_url, room AS scraped_marketing_name, label AS rate_plan_label, rate AS rate_per_night_usd, refundable, is_bar, status, bucket AS rate_plan_canonical,
+ bundles AS bundle_inclusions, sp AS strikethrough_pct, CASE WHEN missed_penthouse THEN 'penthouse' ELSE '' END AS missed_patterns FROM x""")
 add("smoke_summary", lambda s, d: G.smoke_summary(captures(s, d).withColumn("nights", F.col("doc_id")), 2).select(
     F.col("nights").alias("doc_id"), "status", "n_rooms", F.array_join("sample_rates.marketing_name", ",").alias("rooms"), F.array_join("notes", "|").alias("notes")), GATES + """
 SELECT doc_id, CASE WHEN sig IS NOT NULL THEN 'bot_blocked' WHEN n_rooms = 0 AND coalesce(empty_class = 'PASS_NO_INVENTORY', false) THEN 'no_inventory' WHEN n_rooms = 0 THEN 'url_broken' WHEN n_rooms < 2 THEN 'extraction_incomplete' ELSE 'ok' END AS status,

@@ -50,10 +50,6 @@ def queue(s, d):
     return U.work_queue(matrix(s, d), done(s, d), DENY)
 
 
-def numbered_log(s, d):
-    return log(s, d)
-
-
 def old_new(s, d):
     """An existing table and a batch with an extra and a missing column."""
     q = QQ.quotes(s, d).withColumn("room_type_canonical", F.when(F.col("marketing_name") != "PROMO", F.col("marketing_name")))
@@ -140,9 +136,9 @@ def text_sheet(s, d):
         "as_of_date": F.lit("1995-01-01").cast("date"), "length_of_stay_nights": F.lit(3)}).drop("arrival_date", "market_demand")
 
 
-add("sheet_panel", lambda s, d: I.sheet_panel(text_sheet(s, d), SLUGS, "booking").where("rate_usd is not null"), MELT + f"""SELECT DATE '1995-01-01' AS as_of_date, arrival_date, strftime(arrival_date, '%a') AS dow,
+add("sheet_panel", lambda s, d: I.sheet_panel(text_sheet(s, d), SLUGS, "booking"), MELT + f"""SELECT DATE '1995-01-01' AS as_of_date, arrival_date, strftime(arrival_date, '%a') AS dow,
  'booking' AS source, 'any' AS room_tier, property, {R('rate_usd')}, availability_status, los_restriction, {R('w.market_demand', 'market_demand_frac')}, CAST(0.5 AS DOUBLE) AS market_otb_frac, 3 AS length_of_stay_nights
- FROM ty JOIN (SELECT arrival_date, market_demand FROM sheet_wide) w USING (arrival_date) WHERE isodow(arrival_date) <> 2 AND rate_usd IS NOT NULL""")
+ FROM ty JOIN (SELECT arrival_date, market_demand FROM sheet_wide) w USING (arrival_date) WHERE isodow(arrival_date) <> 2""")
 add("undated_rows", lambda s, d: I.undated(text_sheet(s, d)), SW + "SELECT count(*) FILTER (WHERE isodow(arrival_date) = 2) AS n_undated, count(*) AS n_rows FROM sheet_wide")
 add("updated_day", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(
     F.date_format(F.date_add(F.to_date("ts"), F.expr("CAST(event_id % 200 AS INT)")), "dd/MM"), F.lit(" 08:15")).alias("stamp"), F.col("ts").alias("t")).select(
@@ -170,9 +166,18 @@ add("map_preflight", lambda s, d: I.map_preflight(nation_map(s, d), nation_map(s
 SELECT 'subject_missing' AS problem, 'slug99' AS name UNION ALL SELECT 'peer_missing', slug FROM p WHERE slug NOT IN (SELECT slug FROM m)
 UNION ALL SELECT 'duplicate_slug', slug FROM m GROUP BY slug HAVING count(*) > 1 UNION ALL SELECT 'mapped_and_dropped', 'Brand#4'
 UNION ALL SELECT DISTINCT 'orphan_slug', slug FROM m WHERE slug NOT IN (SELECT slug FROM p)""")
-add("sample_recheck", lambda s, d: I.sample_recheck(P.median_series(P.panel_slice(PQ.panel(s, d))), melted(s, d).select("property", "arrival_date", "rate_usd")).groupBy("matches").count(),
-    MELT + f""", m AS (SELECT property, arrival_date, median(rate_usd) AS r FROM rate_panel WHERE availability_status = 'available' AND rate_usd IS NOT NULL GROUP BY ALL)
-SELECT coalesce(abs(m.r - t.rate_usd) <= 1e-6, false) AS matches, count(*) AS count FROM m LEFT JOIN ty t USING (property, arrival_date) GROUP BY ALL""")
+def sampled(s, d):
+    """A drawn sample of melted prices; those of the 13th are altered."""
+    drawn = P.sample_rows(melted(s, d).select("property", "arrival_date", "rate_usd"), ["property", "arrival_date"], 200, 42)
+    return drawn.withColumn("rate_usd", F.when(F.dayofmonth("arrival_date") == 13, F.col("rate_usd") + 1).otherwise(F.col("rate_usd")))
+
+
+DRAWN = "(SELECT property, arrival_date, rate_usd FROM ty ORDER BY md5(concat_ws('|', '42', coalesce(property, ''), coalesce(CAST(arrival_date AS VARCHAR), ''))), property, arrival_date LIMIT 200)"
+add("sample_recheck", lambda s, d: I.sample_recheck(sampled(s, d), melted(s, d).select("property", "arrival_date", "rate_usd")),
+    MELT + f""", m AS (SELECT property, arrival_date, rate_usd + CASE WHEN day(arrival_date) = 13 THEN 1 ELSE 0 END AS r FROM {DRAWN})
+SELECT property, arrival_date, {R('m.r', 'rate_usd')}, {R('t.rate_usd', 'source_usd')}, coalesce(abs(m.r - t.rate_usd) <= 1e-6, false) AS matches FROM m LEFT JOIN ty t USING (property, arrival_date)""")
+add("sample_rows", lambda s, d: P.sample_rows(melted(s, d), ["property", "arrival_date"], 20, 42), MELT + f"""SELECT property, arrival_date, {R('rate_usd')}, availability_status, los_restriction
+ FROM ty ORDER BY md5(concat_ws('|', '42', coalesce(property, ''), coalesce(CAST(arrival_date AS VARCHAR), ''))), property, arrival_date LIMIT 20""")
 
 # ------------------------------------------------------------------ upsert and queues
 add("keyed_upsert", lambda s, d: U.upsert(*old_new(s, d)), UPS + f"""SELECT {C4}, room_type_canonical, rate_plan_label, {R('rate_per_night_usd')}, mapped_ada FROM kept
@@ -186,10 +191,10 @@ add("retry_queue", lambda s, d: U.retry_queue(log(s, d), done(s, d), DENY), LOGV
 add("work_queue", queue, QUEUE + f"SELECT {C4} FROM qu")
 add("projected_cost", lambda s, d: U.projected_cost(U.with_cost(queue(s, d), ["hotels_com"])), QUEUE + """SELECT count(*) AS n_cells, count(*) FILTER (WHERE channel = 'hotels_com') AS n_stealth,
  CAST(coalesce(sum(CASE WHEN channel = 'hotels_com' THEN 25 ELSE 5 END), 0) AS BIGINT) AS credits FROM qu""")
-add("budget_cut", lambda s, d: U.budget_cut(numbered_log(s, d), "event_id", 5500, 1000).select("event_id", "spent_before", "runs"), LOGV + """, r AS (SELECT event_id,
+add("budget_cut", lambda s, d: U.budget_cut(log(s, d), "event_id", 5500, 1000).select("event_id", "spent_before", "runs"), LOGV + """, r AS (SELECT event_id,
  CAST(coalesce(sum(credits) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM lg) SELECT *, spent_before < 5500 AS runs FROM r""")
 add("outcome_tally", lambda s, d: U.outcome_tally(log(s, d)), LOGV + "SELECT kind, count(*) AS n_cells, CAST(sum(credits) AS BIGINT) AS credits FROM lg GROUP BY kind")
-add("checkpoints", lambda s, d: U.checkpoints(numbered_log(s, d), "event_id", 50, 1000), LOGV + """, r AS (SELECT event_id, CAST(sum(credits) OVER (ORDER BY event_id) AS BIGINT) AS credits FROM lg)
+add("checkpoints", lambda s, d: U.checkpoints(log(s, d), "event_id", 50, 1000), LOGV + """, r AS (SELECT event_id, CAST(sum(credits) OVER (ORDER BY event_id) AS BIGINT) AS credits FROM lg)
 SELECT event_id + 1 AS n_cells, credits FROM r WHERE (event_id + 1) % 50 = 0""")
 
 
@@ -258,5 +263,20 @@ SELECT kpi, unit, {R('value')}, label, CAST(n_used AS BIGINT) AS n_used FROM (
  UNION ALL SELECT 'dow_normalized_range_pct', 'pct', dow_range * 100, NULL, n_dow FROM me
  UNION ALL SELECT 'channel_gap_median_pct', 'pct', median_gap * 100, NULL, n_dates FROM gap WHERE property = '{fx.SUBJECT}'
  UNION ALL SELECT 'view_premium_observed_usd', 'usd', m, NULL, n FROM one UNION ALL SELECT 'view_premium_claimed_usd', 'usd', 0, NULL, 0) z""")
+_from = lambda name: f"({PQ.Q[name][1]})"
+INVARIANTS = [
+    ("comp_verdicts", "correlation_bound", "max(greatest(abs(coalesce(r_1a, 0)), abs(coalesce(r_1b, 0)), abs(coalesce(r_1b_levels, 0))))", "<= 1.0 + 1e-9"),
+    ("comp_verdicts", "weekly_range_min", "min(dow_range)", ">= 0"),
+    (None, "panel_rows", "count(*)", ">= 1500"), (None, "panel_dates", "count(DISTINCT arrival_date)", ">= 360"),
+    ("compression", "compression_rows", "count(*)", "BETWEEN 1 AND 60"), ("compression", "demand_min", "min(market_demand_frac)", ">= 0"), ("compression", "demand_max", "max(market_demand_frac)", "<= 1"),
+    ("compression", "percent_min", "min(least(subject_pct, peer_pct))", ">= -1.0"), ("compression", "percent_max", "max(greatest(subject_pct, peer_pct))", "<= 5.0"),
+    ("series_profile", "subject_mean_pct", f"max(CASE WHEN property = '{fx.SUBJECT}' THEN mean_pct END)", "BETWEEN -0.15 AND 0.15"),
+    ("series_profile", "subject_p95_pct", f"max(CASE WHEN property = '{fx.SUBJECT}' THEN p95_pct END)", "<= 1.30"),
+    ("series_profile", "subject_plateau_dates", f"max(CASE WHEN property = '{fx.SUBJECT}' THEN n_on_plateau END)", ">= 150"),
+    ("series_profile", "peers_p95_over_25", f"count(*) FILTER (WHERE property <> '{fx.SUBJECT}' AND p95_pct >= 0.25)", ">= 3"),
+    ("yield_composite", "diagnostic_dates", "count(*) FILTER (WHERE peer_median_pct - subject_pct >= 0.20)", ">= 30"),
+    ("explorer_profile", "cells_per_property", "min(n)", ">= 200")]
 add("invariants", lambda s, d: RP_.invariants(PQ.panel(s, d), PQ.verdicts(s, d), PQ.compression(s, d), S.series_profile(PQ.yields(s, d)), P.explorer_profile(PQ.rows(s, d)),
-    S.yield_composite(PQ.yields(s, d), fx.SUBJECT), fx.SUBJECT))
+    S.yield_composite(PQ.yields(s, d), fx.SUBJECT), fx.SUBJECT), "SELECT q.check_name AS \"check\", (round(v, 6) + 0.0) AS value, coalesce(ok, true) AS ok FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS check_name, CAST({value} AS DOUBLE) AS v, CAST({value} AS DOUBLE) {test} AS ok FROM " + (_from(query) if query else f"({fx.cte('rate_panel')} SELECT * FROM rate_panel)") + " z"
+    for query, name, value, test in INVARIANTS) + ") q")

@@ -203,10 +203,9 @@ add("explorer_profile", lambda s, d: P.explorer_profile(rows(s, d)), AV + f"""SE
  count(DISTINCT arrival_date) AS n_dates, {R('median(rate_usd)', 'median_usd')} FROM av GROUP BY property""")
 add("text_filter", lambda s, d: P.filter_text(rows(s, d).select("arrival_date", "property", "room_tier", "source"), "Nation_2"),
     AV + "SELECT arrival_date, property, room_tier, source FROM av WHERE contains(lower(property), 'nation_2')")
-add("sorted_nulls_last", lambda s, d: P.sort_nulls_last(panel(s, d).groupBy("property", "availability_status").agg(
-    F.max("rate_usd").alias("rate_usd")), "rate_usd", True, ("property", "availability_status")).limit(30),
-    RP + f"SELECT property, availability_status, {R('m', 'rate_usd')} FROM (SELECT property, availability_status, max(rate_usd) AS m FROM rate_panel GROUP BY ALL ORDER BY m DESC NULLS LAST, property, availability_status LIMIT 30) q")
-add("sample_rows", lambda s, d: P.sample_rows(rows(s, d), KEY, 20, 42))
+add("sorted_nulls_last", lambda s, d: P.sort_positions(panel(s, d).groupBy("property", "availability_status").agg(
+    F.max("rate_usd").alias("rate_usd")), "rate_usd", True, ("property", "availability_status")),
+    RP + f"SELECT property, availability_status, {R('m', 'rate_usd')}, row_number() OVER (ORDER BY m DESC NULLS LAST, property, availability_status) AS position FROM (SELECT property, availability_status, max(rate_usd) AS m FROM rate_panel GROUP BY ALL) q")
 add("los_restrictions", lambda s, d: P.los_restrictions(panel(s, d)),
     RP + "SELECT arrival_date, property, CAST(los_restriction AS INT) AS los_restriction FROM rate_panel WHERE availability_status = 'los_restricted'")
 add("los_grid", lambda s, d: P.los_grid(panel(s, d), fx.PROPERTIES), RP + "SELECT arrival_date, " + ", ".join(

@@ -44,8 +44,7 @@ def plan_cells(s, d):
 
 def all_plan_cells(s, d):
     """Matched plans need one plan in both rooms, so every stay counts here."""
-    return Q_.lowest_price(with_flag(s, d).where("refundable").withColumn("room", F.col("marketing_name")),
-                           ["property_id", "channel", "arrival_date", "room", "rate_plan_label"], KEY)
+    return Q_.plan_cells(with_flag(s, d), KEY, nights=None)
 
 
 def spreads(s, d):
@@ -177,10 +176,12 @@ add("price_range", lambda s, d: Q_.price_range(cells(s, d)), CELLS + f"""SELECT
 add("rate_matrix", lambda s, d: Q_.rate_matrix(cells(s, d), CH), CELLS + "SELECT property_id, room, arrival_date, " + ", ".join(
     R(f"max(rate_usd) FILTER (WHERE channel = '{c}')", c) for c in CH) + f", {R('avg(rate_usd)', 'mean_usd')} FROM cells GROUP BY property_id, room, arrival_date")
 
-add("matrix_by_date", lambda s, d: Q_.matrix_by_date(cells(s, d).withColumn("arrival_date", F.date_format("arrival_date", "yyyy-MM")), "hotels_com",
-    ["1995-03", "1996-07", "1997-12"]), CELLS + "SELECT property_id, room, " + ", ".join(
-    R(f"max(rate_usd) FILTER (WHERE strftime(arrival_date, '%Y-%m') = '{m}')", f'"{m}"') for m in ("1995-03", "1996-07", "1997-12")) +
-    " FROM cells WHERE channel = 'hotels_com' GROUP BY property_id, room")
+MONTHS = [f"{y}-{m:02d}" for y in range(1992, 1999) for m in range(1, 13)]  # every month that has arrival dates
+add("matrix_by_date", lambda s, d: Q_.matrix_by_date(cells(s, d).withColumn("arrival_date", F.date_format("arrival_date", "yyyy-MM")), MONTHS),
+    CELLS + "SELECT property_id, channel, room, " + ", ".join(
+    R(f"max(rate_usd) FILTER (WHERE strftime(arrival_date, '%Y-%m') = '{m}')", f'"{m}"') for m in MONTHS) +
+    " FROM cells GROUP BY property_id, channel, room")
+add("matrix_long", lambda s, d: Q_.matrix_long(cells(s, d)), CELLS + f"SELECT property_id, channel, room, arrival_date, {R('max(rate_usd)', 'rate_usd')} FROM cells GROUP BY ALL")
 add("export_head", lambda s, d: Q_.first_rows(cells(s, d), 50, ["channel", "arrival_date", "room", "property_id"]),
     CELLS + f"SELECT property_id, channel, arrival_date, room, {R('rate_usd')} FROM cells ORDER BY channel, arrival_date, room, property_id LIMIT 50")
 add("yield_intensity", lambda s, d: Q_.yield_intensity(cells(s, d)), CELLS + f""", y AS (SELECT property_id, room, count(*) AS n, min(rate_usd) AS mn, max(rate_usd) AS mx, avg(rate_usd) AS av,

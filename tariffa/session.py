@@ -16,11 +16,16 @@ SETTINGS = {
 }
 
 
-def local_session(cpus="*", memory="8g", name="tariffa") -> SparkSession:
-    """Session for tests and benchmarks on one machine."""
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """The library's settings on a builder for any cluster; master, memory and shuffle partitions stay the caller's."""
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    return builder
+
+
+def local_session(cpus="*", memory="8g", name="tariffa") -> SparkSession:
+    """Session for tests and benchmarks on one machine."""
+    builder = configure(SparkSession.builder.master(f"local[{cpus}]").appName(name))
     spark = (
         builder.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tariffa-"))

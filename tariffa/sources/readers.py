@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tariffa import schemas
-from tariffa.operators.ingest import sheet_files
+from tariffa.operators.ingest import sheet_rows
 
 
 def read_table(spark: SparkSession, path, schema, fmt="parquet") -> DataFrame:
@@ -27,10 +27,18 @@ def read_quotes(spark: SparkSession, path, fmt="parquet") -> DataFrame:
     return read_table(spark, path, schemas.QUOTES, fmt)
 
 
-def read_sheets(spark: SparkSession, glob, fmt="csv") -> DataFrame:
-    """Wide sheets of many files as text, tagged with nights and as-of day."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return sheet_files(reader.format(fmt).load(glob))
+def read_sheets(spark: SparkSession, glob) -> DataFrame:
+    """Rows of many CSV sheets, each with the headers of its own file.
+
+    Columns: file, line, headers and cells (arrays of text, as long as that file's header
+    row), length_of_stay_nights and as_of_date. Files may have other columns, in another
+    order. The header row is the first line with a date header; lines above it hold no
+    cells, but one of them may show the 'Updated' stamp. A sheet covers a calendar, so each
+    file is read whole into one row and then laid out.
+    """
+    whole = spark.read.text(glob, wholetext=True)
+    return sheet_rows(whole.select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("file_time"), "value"))
 
 
 def read_captures(spark: SparkSession, path) -> DataFrame:

@@ -7,15 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from tariffa import schemas
 
 
-def write_panel(panel: DataFrame, path: str, files_per_day=1, mode="overwrite") -> None:
-    """Fixed columns, one folder per as-of day.
+def write_panel(panel: DataFrame, path: str, mode="overwrite") -> None:
+    """Fixed columns, one folder per as-of day; other days of the target stay, whatever the session's settings.
 
-    Rows of a day are spread over `files_per_day` tasks, so a large day does not end
-    up in one of them.
+    Rows are gathered by day, and adaptive execution splits large days over several tasks.
     """
-    rows = schemas.conform(panel, schemas.PANEL)
-    spread = F.pmod(F.xxhash64("property", "arrival_date"), F.lit(files_per_day))
-    rows.repartition("as_of_date", spread).write.mode(mode).partitionBy("as_of_date").parquet(path)
+    rows = schemas.conform(panel, schemas.PANEL).hint("rebalance", F.col("as_of_date"))
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("as_of_date").parquet(path)
 
 
 def append_quotes(rows: DataFrame, path: str) -> None:

@@ -17,6 +17,7 @@ CASES = [
     ("1 guest only", (None, "one_guest_only", None)), ("LOS2", (None, "los_restricted", 2)), ("los7", (None, "los_restricted", 7)),
     ("LOS14", (None, "los_restricted", 14)), ("LOS2 weekend only", (None, "unknown_sentinel:LOS2 weekend only", None)),
     (" Mystery ", (None, "unknown_sentinel:Mystery", None)), ("Infinity", (None, "unknown_sentinel:Infinity", None)),
+    ("1d", (None, "unknown_sentinel:1d", None)), ("2F", (None, "unknown_sentinel:2F", None)), (".5", (0.5, "available", None)), ("1e999", (None, "unknown_sentinel:1e999", None)),
 ]
 
 
@@ -53,6 +54,11 @@ def test_melt_keeps_every_cell_and_counts_unknown(spark):
     assert [tuple(r) for r in ingest.unknown_statuses(long).collect()] == [("Odd", 1)]
 
 
+def test_unknown_texts_are_counted_whole(spark):
+    long = spark.createDataFrame([("unknown_sentinel:" + "x" * 1_000_005 + e,) for e in "aab"], "availability_status string")
+    assert sorted((len(r.cell_text), r.cell_text[-1], r.n) for r in ingest.unknown_statuses(long).collect()) == [(1_000_006, "a", 2), (1_000_006, "b", 1)]
+
+
 def test_header_drift_and_preflight(spark):
     one = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     slugs = one([("H1", "a"), ("H2", "b"), ("H3", "b")], "header string, slug string")

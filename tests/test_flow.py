@@ -1,10 +1,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tariffa import schemas
-from tariffa.operators import upsert as U, verify as Y
+from tariffa.operators import ingest, upsert as U, verify as Y
 from tariffa.sources import readers, writers
 from tariffa.streaming import feeds
 
@@ -86,7 +87,7 @@ def test_sources_round_trip(spark, tmp_path):
     log.write_text(json.dumps({"ts": "2026-05-08T00:00:00Z", "kind": "ok", "los": 1}) + "\nnot json\n")
     assert readers.read_log(spark, str(log)).count() == 1
     panel = spark.createDataFrame([(dt.date(2026, 5, 8), dt.date(2026, 5, 9), "p", 100.0)], "as_of_date date, arrival_date date, property string, rate_usd double")
-    writers.write_panel(panel, str(tmp_path / "panel"), 4)
+    writers.write_panel(panel, str(tmp_path / "panel"))
     assert readers.read_panel(spark, str(tmp_path / "panel")).select("property", "rate_usd").collect() == [("p", 100.0)]
     for _ in range(2):
         writers.append_quotes(rows(spark, OLD).withColumn("extra", F.lit(1)), str(tmp_path / "quotes"))
@@ -96,6 +97,47 @@ def test_sources_round_trip(spark, tmp_path):
     assert readers.read_quotes(spark, str(tmp_path / "csv"), "csv").exceptAll(stored).count() == 0
 
 
+def test_each_sheet_goes_by_its_own_headers(spark, tmp_path):
+    (tmp_path / "a_2026-05-08_los3_x.csv").write_text('Day,Date,Market demand,Market OTB,"Hotel ""A"", x",Hotel B\n,46150,0.5,0.4,199,299\n')
+    (tmp_path / "b.csv").write_text('Updated,08/05 10:15\n,\n\nHotel B,Date,Market OTB,Market demand,"Hotel ""A"", x"\n299,46150,0.4,0.5,199,extra\nSold out,46151\n\n')
+    rows = readers.read_sheets(spark, str(tmp_path / "*.csv"))
+    slugs = {'Hotel "A", x': "a", "Hotel B": "b"}
+    got = sorted((r.length_of_stay_nights, r.arrival_date.isoformat(), r.property, r.rate_usd, r.availability_status, r.market_demand_frac) for r in ingest.sheet_rows_panel(rows, slugs, "booking").collect())
+    one = [(n, "2026-05-08", p, v, "available", 0.5) for n in (1, 3) for p, v in (("a", 199.0), ("b", 299.0))]
+    assert got == sorted(one + [(1, "2026-05-09", "a", None, "blank", None), (1, "2026-05-09", "b", None, "sold_out", None)])
+    stamped = {r.file: r.as_of_date for r in rows.select("file", "as_of_date").distinct().collect()}
+    assert stamped["a_2026-05-08_los3_x.csv"] == dt.date(2026, 5, 8) and (stamped["b.csv"].month, stamped["b.csv"].day) == (5, 8)
+
+
+def test_unknown_or_missing_headers_stop_the_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Market demand,Market OTB,Hotel A,Hotel a\n46150,0.5,0.4,1,2\n")
+    rows = readers.read_sheets(spark, str(tmp_path / "*.csv"))
+    with pytest.raises(ValueError, match="Hotel a"):
+        ingest.sheet_rows_panel(rows, {"Hotel A": "a"}, "booking")
+    assert ingest.sheet_rows_panel(rows, {"Hotel A": "a"}, "booking", drop=["Hotel a"]).count() == 1
+    (tmp_path / "b.csv").write_text("Date,Market OTB,Hotel A\n46150,0.4,1\n")
+    with pytest.raises(ValueError, match="Market demand"):
+        ingest.sheet_rows_panel(readers.read_sheets(spark, str(tmp_path / "b.csv")), {"Hotel A": "a"}, "booking")
+
+
+def test_a_day_is_written_without_touching_other_days(spark, tmp_path):
+    day = lambda n: spark.createDataFrame([(dt.date(2026, 5, n), dt.date(2026, 6, 1), "p", float(n))], "as_of_date date, arrival_date date, property string, rate_usd double")
+    plain = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        for n in (8, 9, 9):
+            writers.write_panel(day(n), str(tmp_path / "panel"))
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", plain)
+    assert sorted(r.rate_usd for r in readers.read_panel(spark, str(tmp_path / "panel")).collect()) == [8.0, 9.0]
+
+
+def test_captures_are_read_with_their_schema(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"property_id": "p", "channel": "direct", "markdown": "text", "extract": {"rooms": [{"marketing_name": "King"}]}}) + "\n")
+    row = readers.read_captures(spark, str(tmp_path / "c.json")).first()
+    assert row.property_id == "p" and row.extract.rooms[0].marketing_name == "King" and row.source_url is None
+
+
 def drain(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -139,3 +181,27 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
             "checkpointLocation", str(tmp_path / f"cp{run}")).start()
         q.awaitTermination()
         assert as_set(spark.read.parquet(target)) == WANT
+        assert not list((tmp_path / "table_next").iterdir())
+
+
+def test_stream_upsert_prunes_and_recovers(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "table")
+    apply = feeds.upsert_batches(target)
+    apply(rows(spark, OLD), 0)
+    plan = feeds.touched_months(spark, target, ["2026-05"])._jdf.queryExecution().executedPlan().toString()
+    assert "2026-05" in plan.split("PartitionFilters")[1].split("]")[0]
+    whole = feeds._delete
+
+    def lost(*a):
+        raise RuntimeError("lost")
+    real = feeds._exists  # a failure after the content is marked, before the months are replaced
+    read = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p: lost() if str(p[0]).endswith("/rows") else read(self, *p))
+    with pytest.raises(RuntimeError):
+        apply(rows(spark, NEW), 1)
+    monkeypatch.undo()
+    assert feeds._delete is whole and feeds._exists is real and as_set(spark.read.parquet(target)) == as_set(rows(spark, OLD))
+    apply(rows(spark, NEW), 1)
+    assert as_set(spark.read.parquet(target)) == WANT and not list((tmp_path / "table_next").iterdir())
+    with pytest.raises(ValueError):
+        feeds.upsert_batches(target, ("property_id",))
