@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tariffa.functions.text import any_of
 
 BUCKETS_PER_E = 1024  # relative bucket width of about 0.1%
+PARTS = 1024  # parts of a wanted bucket
+BLOCKS = 100_000  # of a running total
+TIE_LETTERS = 3
 
 
 def value_bucket(v: Column) -> Column:
@@ -32,6 +35,13 @@ def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
     return left.join(right, cond, how).drop(*names.values())
 
 
+def _holding(histogram: DataFrame, by, order: str, before, ranks: dict) -> DataFrame:
+    """The histogram rows that hold any wanted rank, with the count before them as `_before`."""
+    upto = before + F.sum("_n").over(Window.partitionBy(*by).orderBy(order))
+    rows = histogram.select("*", (upto - F.col("_n")).alias("_start"), upto.alias("_upto"))
+    return rows.where(any_of((fn(F.col("_total")) >= F.col("_start")) & (fn(F.col("_total")) < F.col("_upto")) for fn in ranks.values()))
+
+
 def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False) -> DataFrame:
     """Exact values at given ranks.
 
@@ -40,47 +50,49 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False)
     the keys and one column `<name><suffix>` for every pair. Groups without a value
     are absent.
 
-    Coarse keys read the input twice: once for the histogram, once for the rows near
-    the wanted ranks, and only these are shuffled. With `fine` keys (about as many
-    groups as rows) nearly every row is near a rank, so the input is counted by value
-    once and both steps share that shuffle.
+    The keys travel as one struct, in which null keys are equal to each other. Coarse keys
+    read the input twice: once for the histogram, once for the rows of the wanted buckets.
+    Those are counted by value, and a second histogram cuts each wanted bucket into PARTS,
+    so that also many values in one bucket are ranked in many tasks. With `fine` keys (about
+    as many groups as rows) the input is shuffled once, by group and bucket; counts, ranks
+    and values stay on that partitioning and only the histogram moves.
     """
     keys = list(keys)
     cols = {name: F.col(c) if isinstance(c, str) else c for name, c in values.items()}
+    key = F.struct(*[F.col(k) for k in keys])
     if len(cols) == 1:
         (only, c), = cols.items()
-        rows, group = df.select(*keys, c.cast("double").alias("_v")), keys
+        rows = df.select(F.struct(key.alias("k")).alias("_k"), c.cast("double").alias("_v"))
     else:
-        only, group = None, keys + ["_metric"]
-        rows = df.select(*keys, F.inline(F.array(*[
-            F.struct(F.lit(name).alias("_metric"), c.cast("double").alias("_v")) for name, c in cols.items()])))
-    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_bucket", value_bucket(F.col("_v")))
-    weight = F.lit(1)
+        only = None
+        rows = df.select(key.alias("_g"), F.inline(F.array(*[
+            F.struct(F.lit(name).alias("_metric"), c.cast("double").alias("_v")) for name, c in cols.items()]))).select(
+            F.struct(F.col("_g").alias("k"), F.col("_metric").alias("metric")).alias("_k"), "_v")
+    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # never null, so that a join adds no filter to one of its sides and the shuffles stay alike
+    rows = rows.withColumn("_bucket", F.coalesce(value_bucket(F.col("_v")), F.lit(0).cast("long")))
+    total = F.sum("_n").over(Window.partitionBy("_k")).alias("_total")
     if fine:
-        rows, weight = rows.groupBy(*group, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_w")), F.col("_w")
-
-    whole = Window.partitionBy(*group)
-    upto = F.sum("_n").over(whole.orderBy("_bucket"))
-    histogram = (
-        rows.groupBy(*group, "_bucket").agg(F.sum(weight).alias("_n"))
-        .select("*", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.sum("_n").over(whole).alias("_total"))
-    )
-    rank = {suffix: fn(F.col("_total")) for suffix, fn in ranks.items()}
-    wanted = histogram.where(any_of(
-        (r >= F.col("_before")) & (r < F.col("_upto")) for r in rank.values()
-    )).select(*group, "_bucket", "_before", "_total")
-
-    near = join_on(rows, wanted, group + ["_bucket"])
-    if not fine:
-        near = near.groupBy(*group, "_bucket", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_w"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
-    counted = near.withColumn("_upto", F.col("_before") + F.sum("_w").over(inside))
+        counted = rows.repartition("_k", "_bucket").groupBy("_k", "_bucket", "_v").agg(F.count(F.lit(1)).alias("_w"))
+        histogram = counted.groupBy("_k", "_bucket").agg(F.sum("_w").alias("_n")).select("*", total)
+        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks).select("_k", "_bucket", F.col("_start").alias("_before"), "_total")
+        near, inside = counted.join(wanted, ["_k", "_bucket"]), ["_k", "_bucket"]
+    else:
+        histogram = rows.groupBy("_k", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")).select("*", total)
+        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks).select("_k", "_bucket", F.col("_start").alias("_base"), "_total", "_min", "_max")
+        counted = rows.join(wanted, ["_k", "_bucket"]).groupBy("_k", "_bucket", "_base", "_total", "_min", "_max", "_v").agg(F.count(F.lit(1)).alias("_w"))
+        part = F.coalesce(F.least(F.floor(F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min")) * PARTS), F.lit(PARTS - 1).cast("long")), F.lit(0).cast("long"))
+        counted = counted.withColumn("_part", part)
+        parts = counted.groupBy("_k", "_bucket", "_base", "_total", "_part").agg(F.sum("_w").alias("_n"))
+        chosen = _holding(parts, ["_k", "_bucket"], "_part", F.col("_base"), ranks).select("_k", "_bucket", "_part", F.col("_start").alias("_before"))
+        near, inside = counted.join(chosen, ["_k", "_bucket", "_part"]), ["_k", "_bucket", "_part"]
+    counted = near.withColumn("_upto", F.col("_before") + F.sum("_w").over(Window.partitionBy(*inside).orderBy("_v")))
     out = [
-        F.min(F.when((F.lit(True) if only else F.col("_metric") == name) & (F.col("_upto") > r), F.col("_v")))
+        F.min(F.when((F.lit(True) if only else F.col("_k.metric") == name) & (F.col("_upto") > fn(F.col("_total"))), F.col("_v")))
         .alias(name + suffix)
-        for name in cols for suffix, r in rank.items()
+        for name in cols for suffix, fn in ranks.items()
     ]
-    return counted.groupBy(*keys).agg(*out)
+    return counted.groupBy(F.col("_k.k").alias("_g")).agg(*out).select(*[F.col(f"_g.{k}").alias(k) for k in keys], *[n + s for n in cols for s in ranks])
 
 
 def exact_median(df: DataFrame, keys, values, fine=False) -> DataFrame:
@@ -120,11 +132,16 @@ def first_row(df: DataFrame, keys, order, columns) -> DataFrame:
 def running_total(df: DataFrame, position: str, amount, name: str, block: int = 1_000_000) -> DataFrame:
     """Sum of `amount` over all rows before this one in `position` order.
 
-    Positions are cut into blocks; the block sums are added up first (one row per
-    block), then each block is summed on its own.
+    The whole-number positions may have gaps of any size: their range is cut into at most
+    `BLOCKS` even blocks of at least `block` positions, the block sums are added up first
+    (a bounded number), then each block is summed on its own.
     """
     amount = F.col(amount) if isinstance(amount, str) else amount
-    rows = df.withColumn("_amount", amount).withColumn("_block", F.floor(F.col(position) / block))
+    at = F.col(position).cast("decimal(38,0)")
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    low, high = int(low or 0), int(high or 0)
+    width = max(block, -(-(high - low + 1) // BLOCKS))
+    rows = df.withColumn("_amount", amount).withColumn("_block", F.floor((at - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long"))
     sums = rows.groupBy("_block").agg(F.sum("_amount").alias("_sum"))
     before_block = sums.select("_block", F.coalesce(
         F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -141,19 +158,26 @@ def ranked(df: DataFrame, keys, score, tie, name="rank") -> DataFrame:
     """1-based rank by score, best first, null scores last, ties by `tie` (a unique order).
 
     The count of rows in better score buckets comes from a bounded histogram, so each
-    bucket is ordered on its own.
+    bucket is ordered on its own. Values that many rows share (no score, zero) are further
+    cut by the first letters of the first tie column, which keep its order.
     """
     keys = list(keys)
     score = F.col(score) if isinstance(score, str) else score
+    ties = [F.col(t) if isinstance(t, str) else t for t in ([tie] if isinstance(tie, (str, Column)) else tie)]
     rows = df.withColumn("_score", score.cast("double")).withColumn("_bucket", F.when(
         F.col("_score").isNotNull(), -value_bucket(F.col("_score"))).otherwise(F.lit(2**40)))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    better = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_before"))
-    ties = [F.col(t) if isinstance(t, str) else t for t in ([tie] if isinstance(tie, (str, Column)) else tie)]
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc_nulls_last("_score"), *ties)
+    # only a bucket of one value (null, or zero with its own bucket) may be cut by the tie
+    single = F.col("_score").isNull() | (F.col("_score") == 0)
+    text = df.select(ties[0]).schema[0].dataType.typeName() == "string" if isinstance(ties[0], Column) else False
+    cut = F.when(single, F.coalesce(F.substring(ties[0], 1, TIE_LETTERS), F.lit(""))).otherwise("") if text else F.lit("")
+    rows = rows.withColumn("_zero", F.when(F.col("_score") == 0, 0).when(F.col("_score") > 0, -1).otherwise(1)).withColumn("_cut", cut)
+    group = [*keys, "_bucket", "_zero", "_cut"]
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    better = Window.partitionBy(*keys).orderBy("_bucket", "_zero", "_cut").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*group).orderBy(F.desc_nulls_last("_score"), *ties)
     return (
-        join_on(rows, counts, keys + ["_bucket"])
+        join_on(rows, counts, group)
         .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before", "_score")
+        .drop("_bucket", "_zero", "_cut", "_before", "_score")
     )

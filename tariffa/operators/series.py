@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tariffa import fixed_values as fv
 from tariffa.functions import cells, stats
 from tariffa.operators.panel import quoted
-from tariffa.operators.rank import exact_median, order_statistics
+from tariffa.operators.rank import describe, exact_median, join_on, order_statistics
 
 KEYS = ("property",)
 
@@ -97,9 +97,9 @@ def flatness_combos(series: DataFrame, subject: str, combos=fv.FLAT_COMBOS) -> D
     keys = ("combo", "min_days", "max_step", "property")
     shares = _flat_shares(series.select("*", F.inline(options)), keys, "min_days", "max_step")
     is_subject = F.col("property") == subject
-    by_combo = Window.partitionBy("combo")
-    mine = F.max(F.when(is_subject, F.col("pct_flat"))).over(by_combo)
-    peers = F.median(F.when(~is_subject, F.col("pct_flat"))).over(by_combo)
+    of_set = describe(shares, ["combo"], [F.max(F.when(is_subject, F.col("pct_flat"))).alias("_mine")], {"_peers": F.when(~is_subject, F.col("pct_flat"))})
+    shares = join_on(shares, of_set, ["combo"])
+    mine, peers = F.col("_mine"), F.col("_peers")
     ratio = F.when(peers > 0, mine / peers)
     passed = F.coalesce(ratio >= 2.0, F.lit(False)) | (
         F.coalesce(mine > 0, F.lit(False)) & (peers.isNull() | (peers == 0)))
@@ -170,9 +170,10 @@ def yield_composite(yields: DataFrame, subject: str) -> DataFrame:
     mine = F.col("property") == subject
     pct = F.col("pct_above_baseline")
     peer = F.when(~mine, pct)
-    return yields.groupBy("arrival_date").agg(
-        F.max(F.when(mine, pct)).alias("subject_pct"), F.median(peer).alias("peer_median_pct"),
-        F.min(peer).alias("peer_min_pct"), F.max(peer).alias("peer_max_pct"), F.count_if(~mine).alias("n_peers"))
+    return describe(yields, ["arrival_date"], [
+        F.max(F.when(mine, pct)).alias("subject_pct"), F.min(peer).alias("peer_min_pct"),
+        F.max(peer).alias("peer_max_pct"), F.count_if(~mine).alias("n_peers")], {"peer_median_pct": peer}, fine=True).select(
+        "arrival_date", "subject_pct", "peer_median_pct", "peer_min_pct", "peer_max_pct", "n_peers")
 
 
 def diagnostic_dates(composite: DataFrame, gap=fv.DIAGNOSTIC_GAP) -> DataFrame:

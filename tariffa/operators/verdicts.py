@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tariffa import fixed_values as fv
 from tariffa.functions.text import case
-from tariffa.operators.rank import ranked
+from tariffa.operators.rank import describe, ranked
 from tariffa.operators.series import corr_diffs, corr_levels, weekly_range
 
 
@@ -65,4 +65,4 @@ def comp_verdicts(verdicts: DataFrame, position="property") -> DataFrame:
 
 def median_range(verdicts: DataFrame) -> DataFrame:
     """Median weekly range over the properties that have one."""
-    return verdicts.agg(F.median("dow_range").alias("median_dow_range"), F.count("dow_range").alias("n"))
+    return describe(verdicts, [], [F.count("dow_range").alias("n")], {"median_dow_range": "dow_range"}).select("median_dow_range", "n")

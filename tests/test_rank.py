@@ -1,9 +1,12 @@
 import random
+import re
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
-from tariffa.operators import rank
+from tariffa import fixed_values as fv
+from tariffa.operators import rank, series as S
 
 
 def table(spark, n=4000, seed=7):
@@ -80,3 +83,53 @@ def test_bucket_keeps_order(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     buckets = [r.b for r in df.select("i", rank.value_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
     assert buckets == sorted(buckets)
+
+
+def test_many_values_in_one_coarse_bucket_are_ranked_in_parts(spark):
+    rows = spark.range(100_000).select(F.lit("g").alias("k"), (F.lit(1.0) + F.col("id") * 1e-10).alias("v"))
+    assert rows.select(rank.value_bucket(F.col("v"))).distinct().count() == 1
+    got = rank.exact_median(rows, ["k"], "v").first()
+    assert got.v == pytest.approx(1.0 + 49_999.5e-10, abs=1e-13)
+    plan = rank.exact_median(rows, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan
+
+
+def test_null_keys_and_several_metrics(spark):
+    rows = spark.createDataFrame([(None, 1.0, 5.0), (None, 3.0, None), ("a", 2.0, 1.0), ("a", None, 9.0), ("b", None, None)], "k string, x double, y double")
+    for fine in (False, True):
+        got = {r.k: (r.x, r.y) for r in rank.exact_median(rows, ["k"], {"x": "x", "y": "y"}, fine).collect()}
+        assert got == {None: (2.0, 5.0), "a": (2.0, 5.0)}
+
+
+def test_equal_scores_of_many_rows_are_spread(spark):
+    rows = spark.range(10_000).select(F.format_string("p%05d", "id").alias("p"), F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 3 == 1, 0.00001).alias("s"))
+    got = [(r.p, r.rank) for r in rank.ranked(rows, [], "s", "p").orderBy("rank").collect()]
+    want = sorted(((r.p, r.s) for r in rows.collect()), key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    assert got == [(p, i + 1) for i, (p, _) in enumerate(want)]
+
+
+def test_running_total_over_wide_gaps(spark):
+    rows = spark.range(3000).select((F.col("id") * 10**9).alias("at"), F.lit(2).alias("n"))
+    out = rank.running_total(rows, "at", "n", "before")
+    assert all(r.before == 2 * r.at // 10**9 for r in out.collect())
+
+
+def test_many_properties(spark):
+    days = spark.sql("select explode(sequence(date'2026-01-01', date'2026-01-20')) as arrival_date")
+    series = spark.range(500).select(F.format_string("p%04d", "id").alias("property")).join(days).withColumn("rate_usd", F.lit(100.0) + F.dayofmonth("arrival_date"))
+    combos = S.flatness_combos(series, "p0000")
+    assert combos.count() == 500 * len(fv.FLAT_COMBOS)
+    assert not re.search(r"windowspecdefinition\(combo#\d+, spec", combos._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_fine_medians_shuffle_once(spark):
+    rows = spark.range(1000).select((F.col("id") % 300).alias("k"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = rank.exact_median(rows, ["k"], "v", fine=True)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    used = [line for line in final.split("\n") if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(used) <= 4, final
