@@ -233,17 +233,21 @@ def corr_diffs(panel: DataFrame, metric: str, order, at_least: float, low_n: int
         "n_used": n, "passes": stats.over(F.col("r"), at_least), "low_power": F.col("r").isNull() | (n < low_n)})
 
 
+def rolling(weekly: DataFrame, keys=KEYS) -> DataFrame:
+    """Trailing four-week mean of range over mean price, for weeks with hi, lo and mean."""
+    ratio = F.when(F.col("mean") > 0, (F.col("hi") - F.col("lo")) / F.col("mean"))
+    four = Window.partitionBy(*keys).orderBy("iso_year", "iso_week").rowsBetween(-3, 0)
+    return weekly.withColumn("ratio", ratio).withColumn(
+        "rolling", F.when(F.count("ratio").over(four) >= 2, F.avg("ratio").over(four)))
+
+
 def weekly_range(panel: DataFrame, at_least=fv.WEEK_RANGE_MIN, low_n=fv.WEEK_RANGE_LOW_N, keys=KEYS) -> DataFrame:
     """Median over weeks of the trailing four-week mean of (max - min) / mean price."""
     weekly = panel.where(quoted()).groupBy(
         *keys, cells.iso_year("arrival_date").alias("iso_year"), F.weekofyear("arrival_date").alias("iso_week")).agg(
         stats.distinct_weekdays("arrival_date").alias("n_weekdays"), F.count(F.lit(1)).alias("n"),
         F.max("rate_usd").alias("hi"), F.min("rate_usd").alias("lo"), F.avg("rate_usd").alias("mean"))
-    ratio = F.when(F.col("mean") > 0, (F.col("hi") - F.col("lo")) / F.col("mean"))
-    four = Window.partitionBy(*keys).orderBy("iso_year", "iso_week").rowsBetween(-3, 0)
-    rolled = weekly.withColumn("ratio", ratio).withColumn(
-        "rolling", F.when(F.count("ratio").over(four) >= 2, F.avg("ratio").over(four)))
-    value = rolled.groupBy(*keys).agg(
+    value = rolling(weekly, keys).groupBy(*keys).agg(
         F.median("rolling").alias("value"), F.count_if(F.col("n_weekdays") >= 5).alias("n_full_weeks"),
         F.sum("n").alias("n_used"))
     totals = panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), *stats.status_counts())

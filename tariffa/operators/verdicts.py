@@ -2,12 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tariffa import fixed_values as fv
+from tariffa.functions import cells, stats
 from tariffa.functions.text import case
 from tariffa.operators.rank import describe, ranked
-from tariffa.operators.series import corr_diffs, corr_levels, weekly_range
+from tariffa.operators.series import KEYS, quoted, rolling
+
+
+METRICS = {"demand": "market_demand_frac", "otb": "market_otb_frac"}
+
+
+def date_moments(panel: DataFrame, order, keys=KEYS) -> DataFrame:
+    """One row per property and date with all that the rules need, from one read of the panel.
+
+    Counts, means, squared deviations and products of price and each metric, the first and
+    last row of the day in (stay, order) sequence, and count, range and mean of the price.
+    """
+    rate, sequence = F.col("rate_usd"), ["length_of_stay_nights", *order]
+    out = [F.count(F.lit(1)).alias("n_total"), F.count_if(quoted()).alias("n"), F.max(F.when(quoted(), rate)).alias("hi"),
+           F.min(F.when(quoted(), rate)).alias("lo"), F.avg(F.when(quoted(), rate)).alias("mean")]
+    for m, metric in METRICS.items():
+        ok = quoted() & F.col(metric).isNotNull()
+        x, y = F.when(ok, rate), F.when(ok, F.col(metric).cast("double"))
+        row = F.when(ok, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(sequence)], rate.alias("rate"), F.col(metric).cast("double").alias("metric")))
+        n = F.count_if(ok)
+        out += [n.alias(f"n_{m}"), F.struct(F.avg(x).alias("x"), F.avg(y).alias("y"), (F.var_pop(x) * n).alias("xx"), (F.var_pop(y) * n).alias("yy"),
+                (F.covar_pop(x, y) * n).alias("xy"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).alias(m)]
+        if m == "otb":
+            out += [F.min(row).alias("head"), F.max(row).alias("tail")]
+    return panel.where(F.col("property").isNotNull()).groupBy(*keys, "arrival_date").agg(*out)
+
+
+def _r(m: str) -> Column:
+    """Pearson r from sums of squares and products around the overall means; null if a side is constant."""
+    varies = (F.max(f"{m}_x1") > F.min(f"{m}_x0")) & (F.max(f"{m}_y1") > F.min(f"{m}_y0"))
+    return F.when(varies, F.try_divide(F.sum(f"{m}_xy"), F.sqrt(F.sum(f"{m}_xx")) * F.sqrt(F.sum(f"{m}_yy"))))
+
+
+def rule_inputs(panel: DataFrame, order, keys=KEYS) -> DataFrame:
+    """r values, weekly range and their counts per property, from one read of the panel.
+
+    The moments per date are merged around the means over all dates, so no large sums of
+    squares are subtracted. All later steps work on one row per property and date, and then
+    per week, on one partitioning by property.
+    """
+    whole, by_date = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("arrival_date")
+    so_far = by_date.rowsBetween(Window.unboundedPreceding, -1)
+    dates = date_moments(panel, order, keys)
+    centre = {f"{m}_{a}": F.try_divide(F.sum(F.col(f"n_{m}") * F.col(f"{m}.{a}")).over(whole), F.sum(f"n_{m}").over(whole)) for m in METRICS for a in "xy"}
+    before, day = F.last("tail", True).over(so_far), F.last(F.when(F.col("tail").isNotNull(), F.col("arrival_date")), True).over(so_far)
+    dates = dates.withColumns({**centre, "before": before, "day": day})
+    step = (F.date_diff("arrival_date", "day") == 1) & F.col("head").isNotNull()
+    dates = dates.withColumns({"d_x": F.when(step, F.col("head.rate") - F.col("before.rate")), "d_y": F.when(step, F.col("head.metric") - F.col("before.metric"))})
+    dates = dates.withColumns({f"diff_{a}": F.avg(f"d_{a}").over(whole) for a in "xy"})
+    sums = []
+    for m in METRICS:
+        off = {a: F.col(f"{m}.{a}") - F.col(f"{m}_{a}") for a in "xy"}
+        sums += [F.sum(F.col(f"{m}.{a}{b}") + F.col(f"n_{m}") * off[a] * off[b]).alias(f"{m}_{a}{b}") for a, b in ("xx", "xy", "yy")]
+        sums += [F.sum(f"n_{m}").alias(f"n_{m}"), *[f(f"{m}.{a}{i}").alias(f"{m}_{a}{i}") for a in "xy" for i, f in enumerate((F.min, F.max))]]
+    off = {a: F.col(f"d_{a}") - F.col(f"diff_{a}") for a in "xy"}
+    sums += [F.sum(off[a] * off[b]).alias(f"diff_{a}{b}") for a, b in ("xx", "xy", "yy")]
+    sums += [F.count("d_x").alias("n_diff"), *[f(f"d_{a}").alias(f"diff_{a}{i}") for a in "xy" for i, f in enumerate((F.min, F.max))]]
+    weekday = F.when(F.col("n") > 0, F.expr("shiftleft(1, weekday(arrival_date))"))
+    weeks = dates.groupBy(*keys, cells.iso_year("arrival_date").alias("iso_year"), F.weekofyear("arrival_date").alias("iso_week")).agg(
+        *sums, F.coalesce(F.bit_count(F.bit_or(weekday)), F.lit(0)).alias("n_weekdays"), (F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
+        F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    return rolling(weeks.withColumn("priced", F.col("n") > 0), (*keys, "priced")).groupBy(*keys).agg(
+        F.sum("n_demand").alias("n_1a"), _r("demand").alias("r_1a"), F.sum("n_diff").alias("n_1b"), _r("diff").alias("r_1b"),
+        F.sum("n_otb").alias("n_1b_levels"), _r("otb").alias("r_1b_levels"), F.median("rolling").alias("dow_range"),
+        F.count_if(F.col("n_weekdays") >= 5).alias("n_full_weeks"), F.sum("n").alias("n_dow"))
 
 
 def demand_response(panel: DataFrame, order) -> DataFrame:
@@ -15,16 +80,14 @@ def demand_response(panel: DataFrame, order) -> DataFrame:
 
     The level r on the books share is reported beside them and does not decide.
     """
-    level = corr_levels(panel, "market_demand_frac", fv.CORR_DEMAND_MIN, fv.CORR_DEMAND_LOW_N)
-    diff = corr_diffs(panel, "market_otb_frac", order, fv.CORR_DIFF_MIN, fv.CORR_DIFF_LOW_N)
-    info = corr_levels(panel, "market_otb_frac", fv.CORR_LEVEL_MIN, fv.CORR_LEVEL_LOW_N)
+    return _responses(rule_inputs(panel, order)).drop("dow_range", "n_full_weeks", "n_dow")
 
-    def part(df, name):
-        return df.select("property", F.col("r").alias(f"r_{name}"), F.col("n_used").alias(f"n_{name}"),
-                         F.col("passes").alias(f"pass_{name}"), F.col("low_power").alias(f"low_power_{name}"))
 
-    return part(level, "1a").join(part(diff, "1b"), "property").join(part(info, "1b_levels"), "property").withColumn(
-        "rule1_pass", F.col("pass_1a") & F.col("pass_1b"))
+def _responses(inputs: DataFrame) -> DataFrame:
+    limits = {"1a": (fv.CORR_DEMAND_MIN, fv.CORR_DEMAND_LOW_N), "1b": (fv.CORR_DIFF_MIN, fv.CORR_DIFF_LOW_N), "1b_levels": (fv.CORR_LEVEL_MIN, fv.CORR_LEVEL_LOW_N)}
+    out = inputs.withColumns({f"pass_{k}": stats.over(F.col(f"r_{k}"), at_least) for k, (at_least, _) in limits.items()})
+    out = out.withColumns({f"low_power_{k}": F.col(f"r_{k}").isNull() | (F.col(f"n_{k}") < low) for k, (_, low) in limits.items()})
+    return out.withColumn("rule1_pass", F.col("pass_1a") & F.col("pass_1b"))
 
 
 def rm_verdicts(panel: DataFrame, order) -> DataFrame:
@@ -33,11 +96,10 @@ def rm_verdicts(panel: DataFrame, order) -> DataFrame:
     Three rules count. The lead-time rule cannot be measured on one panel and stays
     null, which keeps the verdict from reaching DYNAMIC.
     """
-    weeks = weekly_range(panel).select(
-        "property", F.col("value").alias("dow_range"), F.col("passes").alias("rule2_pass"),
-        F.col("n_used").alias("n_dow"), F.col("low_power").alias("low_power_dow"))
-    rules = demand_response(panel, order).join(weeks, "property").withColumn(
-        "rule3_pass", F.lit(None).cast("boolean"))
+    rules = _responses(rule_inputs(panel, order)).withColumns({
+        "rule2_pass": stats.over(F.col("dow_range"), fv.WEEK_RANGE_MIN),
+        "low_power_dow": F.col("dow_range").isNull() | (F.col("n_full_weeks") < fv.WEEK_RANGE_LOW_N),
+        "rule3_pass": F.lit(None).cast("boolean")}).drop("n_full_weeks")
     names = ("rule1_pass", "rule2_pass", "rule3_pass")
     passed = sum((F.coalesce(F.col(n), F.lit(False)).cast("int") for n in names), F.lit(0))
     skipped = sum((F.col(n).isNull().cast("int") for n in names), F.lit(0))
