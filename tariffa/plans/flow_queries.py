@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tariffa.functions import cells
@@ -39,11 +41,14 @@ def done(s, d):
 
 DENY = (("P3", "booking", None), (None, "hotels_com", ["P1", "P2", "P4", "P5", "P8", "P11"]))
 DENIED = "(property_id = 'P3' AND channel = 'booking') OR (channel = 'hotels_com' AND property_id NOT IN ('P1','P2','P4','P5','P8','P11'))"
-DATES = [f"2024-01-{i:02d}" for i in range(1, 31)]
 
 
 def matrix(s, d):
-    return U.cell_matrix(log(s, d).select("property_id").distinct(), fx.CHANNELS, DATES, [1, 3, 7])
+    """Every day between the first and the last arrival of the log."""
+    rows = log(s, d)
+    first, last = rows.agg(F.min("arrival_date"), F.max("arrival_date")).first()
+    dates = [] if first is None else [(first + datetime.timedelta(days=i)).isoformat() for i in range((last - first).days + 1)]
+    return U.cell_matrix(rows.select("property_id").distinct(), fx.CHANNELS, dates, [1, 3, 7])
 
 
 def queue(s, d):
@@ -95,7 +100,7 @@ LOGV = fx.cte("cell_log") + """, lg AS (SELECT event_id, ts, property AS propert
 , dn AS (SELECT property_id, channel, arrival_date, nights FROM st WHERE has_extracted AND NOT has_sentinel)
 """
 QUEUE = LOGV + f""", mx AS (SELECT property_id, channel, arrival_date, nights FROM (SELECT DISTINCT property_id FROM lg) p CROSS JOIN (SELECT unnest(['direct','hotels_com','booking']) AS channel) c
- CROSS JOIN (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS arrival_date) a CROSS JOIN (SELECT unnest([1, 3, 7]) AS nights) n)
+ CROSS JOIN (SELECT CAST(unnest(generate_series(min(arrival_date), max(arrival_date), INTERVAL 1 DAY)) AS DATE) AS arrival_date FROM lg) a CROSS JOIN (SELECT unnest([1, 3, 7]) AS nights) n)
 , qu AS (SELECT * FROM (SELECT * FROM mx WHERE NOT ({DENIED})) z ANTI JOIN dn USING ({C4}))
 """
 UPS = fx.cte("quotes") + f""", q AS (SELECT *, CASE WHEN marketing_name <> 'PROMO' THEN marketing_name END AS room_type_canonical FROM quotes)
