@@ -64,7 +64,7 @@ def lookup(rows: DataFrame, entries: DataFrame, key: str, count: str, total: int
     names = [c for c in entries.columns if c != key]
     hot = F.broadcast(entries.where(F.col(count) * HOT_SHARE > total).select(F.col(key).alias("_hot"), F.struct(*names).alias("_h")))
     cold = entries.where(F.col(count) * HOT_SHARE <= total).select(
-        F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_zero"), F.struct(*names).alias("_c"))
+        F.col(key).alias("_cold"), F.pmod(F.col(count), F.lit(1)).cast("long").alias("_zero"), F.struct(*names).alias("_c"))  # a literal would leave the join keys
     out = rows.join(hot, F.col(key) == F.col("_hot"), "left")
     own = F.when(F.col("_h").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1)))
     out = out.withColumn("_at", own).join(cold, (F.col(key) == F.col("_cold")) & (F.col("_at") == F.col("_zero")), "left")
