@@ -159,15 +159,15 @@ def render_class(captures: DataFrame, keep=CELL) -> DataFrame:
 
 
 # ------------------------------------------------------------------ tiers from page text
-def rewrite_tiers(captures: DataFrame) -> DataFrame:
+def rewrite_tiers(captures: DataFrame, only: Column = None) -> DataFrame:
     """Replace the plans of every room whose text block shows its cancellation tiers.
 
-    Adds `tiers`: per room the number of tiers, the anchor price and why the room was
+    With `only`, the pages of other captures are not read and their rooms stay as they are. Adds `tiers`: per room the number of tiers, the anchor price and why the room was
     left as it is.
     """
     nights = F.greatest(F.coalesce(F.col("extract.nights"), F.lit(1)), F.lit(1))
     found = F.transform(capture_rooms(), lambda r: F.struct(
-        r.alias("room"), pages.room_block(F.col("markdown"), r["marketing_name"]).alias("block")))
+        r.alias("room"), (lambda b: b if only is None else F.when(only, b))(pages.room_block(F.col("markdown"), r["marketing_name"])).alias("block")))
     read = F.transform(found, lambda x: F.struct(
         x["room"].alias("room"), x["block"].isNotNull().alias("has_block"),
         pages.block_tiers(x["block"]).alias("tiers"),

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tariffa import fixed_values as fv
 from tariffa.functions import pages, rooms
 from tariffa.functions.text import case, identity, once, plain_money, strip, text
-from tariffa.operators.captures import CELL, capture_rooms, room_plans, with_picks
+from tariffa.operators.captures import (
+    CELL, capture_rooms, cell_sentinels, flatten, quote_rows, rewrite_tiers, room_plans, with_picks)
 
 
 def implausible_reason(channel="channel", tokens=None) -> Column:
@@ -174,6 +175,23 @@ def gate(captures: DataFrame, subject_properties=(), chain_markers=(), expected=
         "_count", "_sig", "_why", "_empty", "_off_page", "_unmapped", *[f"_t_{k}" for k in TOKENS])
 
 
+def capture_rows(captures: DataFrame, tier_channel=None, chain_markers=(), sku_properties=(), detailed_properties=(), **settings) -> DataFrame:
+    """Stored quote rows of captures, in the order of a run.
+
+    Pages of `tier_channel` that are not chain pages get their plans from the cancellation
+    tiers in the text, then all gates decide; kept captures are flattened, and cells that end
+    without rates on purpose give one sentinel row. `upsert` takes the rows as a batch.
+    """
+    if tier_channel:
+        wanted = F.col("channel") == tier_channel
+        if chain_markers:
+            wanted = wanted & ~pages.is_chain_page("markdown", chain_markers)
+        captures = rewrite_tiers(captures, wanted)
+    gated = gate(captures, chain_markers=chain_markers, detailed_properties=detailed_properties, **settings)
+    kept = quote_rows(flatten(gated.where(F.col("keep") == "rows"), sku_properties, detailed_properties))
+    return kept.unionByName(cell_sentinels(gated))
+
+
 def denied_cells(cells: DataFrame, deny) -> DataFrame:
     """Cells without the denied (property or None for any, channel, except properties) rules.
 

@@ -79,3 +79,24 @@ def test_name_must_be_in_the_page_word_for_word(spark):
     assert df.select(G.room_anchor_fails().alias("x")).first().x is True
     assert capture(spark, "", ["Penthouse"]).select(G.room_anchor_fails().alias("x")).first().x is True
     assert capture(spark, "", []).select(G.room_anchor_fails().alias("x")).first().x is False
+
+
+def test_from_page_to_stored_rows(spark):
+    """Tiers on the named channel, gates, rows and sentinels, then the upsert, which a second run leaves as it is."""
+    from tariffa.operators import upsert as U
+    sf = "/root/testdata/sf0.001"
+    pages = CQ.captures(spark, sf).where("doc_id < 120").cache()
+    settings = dict(subject_properties=["src1", "src2", "src3", "src4"], expected=(("direct", 1), ("booking", 2), ("hotels_com", 2)), detailed_properties=["src5", "src6"])
+    rows = G.capture_rows(pages, "hotels_com", **settings)
+    other = G.gate(pages.where("channel <> 'hotels_com'"), **settings)
+    want = C.quote_rows(C.flatten(other.where("keep = 'rows'"), (), settings["detailed_properties"])).unionByName(C.cell_sentinels(other))
+    seen = rows.collect()
+    assert sorted(map(str, (r for r in seen if r.channel != "hotels_com"))) == sorted(map(str, want.collect())) and rows.columns == [f.name for f in schemas.QUOTES.fields]
+    tiers = [r for r in seen if r.channel == "hotels_com" and r.rate_plan_label and "(pay " in r.rate_plan_label]
+    assert tiers and {r.status for r in tiers} <= {"ok", "non_bar_rate", "extract_incomplete"}
+    assert not [r for r in seen if r.channel != "hotels_com" and r.rate_plan_label and "(pay " in r.rate_plan_label]
+    stored = U.upsert(rows.limit(0), rows)
+    assert sorted(map(str, U.upsert(stored, rows).collect())) == sorted(map(str, stored.collect())) and stored.count() == len(seen)
+    chained = G.capture_rows(pages, "hotels_com", chain_markers=["Have a question?"], **settings)
+    assert chained.count() == 0  # every page holds the marker, so none is rewritten or kept
+    pages.unpersist()
