@@ -52,7 +52,7 @@ def test_whole_table_equals_brute_force(spark):
 
 def test_awkward_rows(spark, docs, no_docs):
     out = sh.near_duplicates(docs).collect()
-    assert sorted(((r[0], r[1], r[2]) for r in out), key=str) == brute([(r[0], r[1]) for r in out])
+    assert sorted(((r["doc_id"], r["fp"], r["component_id"]) for r in out), key=str) == brute([(r["doc_id"], r["fp"]) for r in out])
     assert len(out) == docs.count() and sh.near_duplicates(no_docs).collect() == []
 
 
