@@ -168,14 +168,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """All rows and columns of docs, and _score as the last one: the probability of quality 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep, name = docs.columns, free(docs, "_score")
+    text = keep.index("text")
 
     def run(batches):
         for b in batches:
-            t = b.column(len(keep))
-            x = np.array([features(v) for v in _texts(t)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(predict(shared.value, x))], schema=pa.schema([*[b.schema.field(i) for i in range(len(keep))], pa.field(name, pa.float64())]))
-    rows = docs.select("*", F.col("text").cast("binary").alias(free(docs, "_text")))
-    return rows.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+            x = np.array([features(v) for v in _texts(b.column(text))]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(predict(shared.value, x))], schema=b.schema.append(pa.field(name, pa.float64())))
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def _is_training():

@@ -60,14 +60,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
     """All columns of docs, and the fingerprint."""
-    n = len(docs.columns)
+    text = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(n)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(fp, pa.int64())], schema=pa.schema([*[b.schema.field(i) for i in range(n)], pa.field(name, pa.int64())]))
-    rows = docs.select("*", F.col("text").cast("binary").alias(free(docs, "_text")))
-    return rows.mapInArrow(run, docs.withColumn(name, F.lit(0).cast("long")).schema)
+            fp = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(text)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], schema=b.schema.append(pa.field(name, pa.int64())))
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0).cast("long")).schema)
 
 
 def variants(fp: np.ndarray) -> np.ndarray:
