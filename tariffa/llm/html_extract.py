@@ -8,7 +8,8 @@ nothing, it ends; all lines between are kept. The threshold is a part of the pag
 articles are found too.
 
 If nothing is left, the page is read again without the class rules, then without any. Defined results: a null or
-empty page, and one without text, gives the empty string. Unclosed elements end with the element around them.
+empty page, and one without text, gives the empty string. Unclosed elements end with the element around them,
+and p, li, dd, dt, option and parts of tables also by the start tags that end them in HTML, kept or removed.
 Whole pages are read and nothing is cut. Extra columns are not read; repeated rows return repeatedly.
 """
 
@@ -24,10 +25,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tariffa.llm.common import table
 
 WINDOW, SURGE, LINK = 3, 0.1, 0.1
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "math", "select", "button", "option"}
+RAW = {"script", "style", "noscript", "textarea", "title", "iframe"}
+#: Elements that are never text of the page, but hold markup: they end with their parent and leave no empty lines.
+UNSEEN = {"template", "svg", "object", "canvas", "math", "select", "button", "option"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCK = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
             "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+TRACKED = BLOCK | UNSEEN | {"a", "datalist", "optgroup", "foreignobject"}
+ENDS_P = BLOCK - {"body", "br", "head", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
+_SCOPE = {"html", "body", "table", "td", "th", "button", "object", "template", "svg", "math"}
+_LIST = BLOCK - {"address", "div", "p"}
+#: Open elements that a start tag ends, and the elements beyond which it doesn't look for them.
+ENDS = {
+    "li": ({"li"}, _LIST | _SCOPE), **dict.fromkeys(("dd", "dt"), ({"dd", "dt"}, _LIST | _SCOPE)), "option": ({"option"}, BLOCK | {"select", "datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, BLOCK | {"select", "datalist"}), **dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table", "template"})),
+    "tr": ({"tr"}, {"table", "template", "thead", "tbody", "tfoot"}), **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot"}, {"table", "template"})),
+}
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal "
@@ -80,6 +93,32 @@ def lines(page: str, rules: int = 2) -> list[tuple[str, float, bool]]:
         if main is None:  # a part taken out of an article doesn't split it
             out.extend([("", 0.0, False)] * WINDOW)
 
+    def pop(k):
+        """End the element at k of the stack and all in it."""
+        nonlocal dropped, link, main
+        if dropped is not None and k <= dropped:
+            unseen = stack[dropped] in UNSEEN
+            dropped = None
+            if not unseen:
+                gap()
+        elif dropped is None and any(x in BLOCK for x in stack[k:]):
+            flush()
+        if link is not None and k <= link:
+            link = None
+        if main is not None and k <= main:
+            flush()
+            main = None
+            gap()
+        del stack[k:]
+
+    def close(names, bounds):
+        """End the innermost open element of these names, if it is within the bounds."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k] in names:
+                return pop(k)
+            if stack[k] in bounds:
+                return
+
     while at < end:
         i = page.find("<", at)
         if i < 0:
@@ -112,6 +151,13 @@ def lines(page: str, rules: int = 2) -> list[tuple[str, float, bool]]:
                 e = _CLOSE[name].search(page, at)
                 at = e.end() if e else end
             continue
+        if not closing:
+            if name in BLOCK:  # markup of the page ends a drawing or formula left open
+                close({"svg", "math"}, BLOCK | {"foreignobject"})
+            if name in ENDS:
+                close(*ENDS[name])
+            if name in ENDS_P:
+                close({"p"}, _SCOPE)
         if name in BLOCK and dropped is None:
             flush()
         if name in VOID:
@@ -120,27 +166,20 @@ def lines(page: str, rules: int = 2) -> list[tuple[str, float, bool]]:
             if name not in stack:
                 continue
             k = len(stack) - 1 - stack[::-1].index(name)
-            if dropped is not None and k <= dropped:
-                dropped = None
-                gap()
-            if link is not None and k <= link:
-                link = None
-            if main is not None and k <= main:
-                flush()
-                main = None
-                gap()
-            del stack[k:]
+            pop(k)
         elif not attrs.endswith("/"):
             if name in ("article", "main") and rules and main is None and not (dropped is not None and stack[dropped] in ("aside", "footer", "nav")):
                 dropped = None  # a wrapper that holds the article isn't boilerplate
                 gap()
                 main = len(stack)
+            elif dropped is None and name in UNSEEN:
+                dropped = len(stack)
             elif dropped is None and _boilerplate(name, attrs, main is not None, rules):
                 gap()
                 dropped = len(stack)
             elif name == "a" and link is None:
                 link = len(stack)
-            if name in BLOCK or name == "a" or dropped == len(stack):
+            if name in TRACKED or dropped == len(stack):
                 stack.append(name)
     if dropped is None:
         flush()

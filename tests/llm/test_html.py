@@ -53,3 +53,14 @@ def test_awkward_rows(spark):
     assert [t for i, t, _ in got if i == 8] == [" ".join(["x y"] * 200000)] * 2
     assert ("A&bogus;�") in [t for _, t, _ in got] and (None, "a", 1) in got
     assert hx.main_text(pages.limit(0)).collect() == []
+
+
+def test_elements_with_optional_end_tags_do_not_take_the_rest():
+    body = "This is the body of the article and it goes on for a good while."
+    for rest in (f"<article><p>{body}</p></article>", f"<p>{body}</p>"):
+        assert hx.extract(f"<body><datalist><option value=a>A<option value=b>B</datalist>{rest}</body>") == body
+        assert hx.extract(f"<body><div><button>Go<svg><path d=x></div><select><optgroup><option>1<option>2</select>{rest}</body>") == body
+    assert hx.extract('<article><h1>Head</h1><p class="notice">We note<p>one<p>two</article>') == "Head one two"
+    assert hx.extract(f"<div><ul><li class=ad>Buy<li>{body}<li class=ad><p>Buy<ul><li>x</ul><li>{body}</ul><dl><dt class=promo>P<dd>{body}</dl></div>") == f"{body} {body} {body}"
+    assert hx.extract(f"<table><tr><td class=sidebar>Side<td>{body}<tr class=nav><td>n<tr><td>{body}</table>") == f"{body} {body}"
+    assert hx.extract(f"<p>{body} <svg><title>t</title><text>no</text></svg>and <button>press</button>on</p>") == f"{body} and on"
