@@ -1,14 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines: one per block element, white space as one space, character references decoded. Parts
-that are boilerplate by their element, role, class or id leave a run of empty lines, unless in an article; so do the borders of an article
-or main element, and if a page has one with text, lines outside count as empty. The text lengths (link text counts
-a tenth) are summed over a sliding window of lines. Where the sum surges over a threshold, text begins; where it dives to
-nothing, it ends; all lines between are kept. The threshold is a part of the page's own largest sum, so that short
-articles are found too.
-
-If nothing is left, the page is read again without the class rules, then without any. Defined results: a null or
-empty page, and one without text, gives the empty string. Unclosed elements end with the element around them,
+that are boilerplate by their element, role, class or id leave a run of empty lines, unless in an article or between
+paragraphs of one parent element, so an advert doesn't split a text; the borders of an article or main element leave one.
+The text lengths (link text counts a tenth) are summed over a sliding window of lines. Where the sum surges over a
+threshold, text begins; where it dives to nothing, it ends; all lines between are kept. The threshold is a part of the
+page's own largest sum, so that short articles are found too. If one article or main element holds most of the kept text,
+lines outside such elements count as empty.
+
+If nothing is left, or less than a tenth of an article inside a removed part, the page is read again without the class
+rules, then without any. Defined results: a null or empty page, and one without text, gives the empty string. Unclosed elements end with the element around them,
 and p, li, dd, dt, option and parts of tables also by the start tags that end them in HTML, kept or removed.
 Whole pages are read and nothing is cut. Extra columns are not read; repeated rows return repeatedly.
 """
@@ -41,6 +42,7 @@ ENDS = {
     "optgroup": ({"option", "optgroup"}, BLOCK | {"select", "datalist"}), **dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table", "template"})),
     "tr": ({"tr"}, {"table", "template", "thead", "tbody", "tfoot"}), **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot"}, {"table", "template"})),
 }
+PARAGRAPH = set("blockquote dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table ul".split())
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal "
@@ -70,46 +72,68 @@ def _boilerplate(name: str, attrs: str, in_main: bool, rules: int) -> bool:
     return False
 
 
-def lines(page: str, rules: int = 2) -> list[tuple[str, float, bool]]:
-    """(text, weight, inside an article or main element) of each line; removed parts and borders leave empty lines."""
-    out: list[tuple[str, float, bool]] = []
+def lines(page: str, rules: int = 2) -> tuple[list[tuple[str, float, int]], int]:
+    """(text, weight, number of the article or main element around it or 0) of each line, with empty lines for borders
+    and removed parts; and the length of the longest article inside a removed part."""
+    out: list[tuple[str, float, int]] = []
     text: list[str] = []
     links = at = 0
     stack: list[str] = []
-    dropped = main = link = None  # positions in the stack
+    ids: list[int] = []  # of the elements on the stack
+    dropped = main = link = inner = None  # positions in the stack; inner: an article in a removed part
+    opened = articles = size = lost = 0
+    place = None  # (id, its parent's id, name, whether the parent is the body) of the element that holds the last line
+    removed: list[tuple[int, bool, bool]] = []  # (id of the parent, by class, whether that is the body) of parts since the last line
     end = len(page)
 
+    def top():
+        k = len(stack) - 1
+        while k > 0 and (stack[k] == "a" or stack[k] in UNSEEN):
+            k -= 1
+        return (ids[k] if k >= 0 else 0, ids[k - 1] if k > 0 else 0, stack[k] if k >= 0 else "", k < 1 or stack[k - 1] in ("html", "body"))
+
+    def joined(here):
+        """Whether the last line and this one go on in the same parent on both sides of each removed part."""
+        for parent, by_class, body in removed:
+            for own, above, name, _ in (place, here):
+                if own != parent and (above != parent or name not in PARAGRAPH and (body or not by_class)):
+                    return False
+        return True
+
     def flush():
-        nonlocal links
+        nonlocal links, place
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, max(1.0, len(line) - (1 - LINK) * min(links, len(line))), main is not None))
+                here = top()
+                if removed and place and not joined(here):
+                    out.extend([("", 0.0, 0)] * WINDOW)
+                removed.clear()
+                place = here
+                out.append((line, max(1.0, len(line) - (1 - LINK) * min(links, len(line))), articles if main is not None else 0))
         links = 0
 
-    def gap():
+    def border():
         flush()
-        if main is None:  # a part taken out of an article doesn't split it
-            out.extend([("", 0.0, False)] * WINDOW)
+        out.extend([("", 0.0, 0)] * WINDOW)
 
     def pop(k):
         """End the element at k of the stack and all in it."""
-        nonlocal dropped, link, main
+        nonlocal dropped, link, main, inner, lost
+        if inner is not None and k <= inner:
+            inner, lost = None, max(lost, size)
         if dropped is not None and k <= dropped:
-            unseen = stack[dropped] in UNSEEN
             dropped = None
-            if not unseen:
-                gap()
-        elif dropped is None and any(x in BLOCK for x in stack[k:]):
+        if dropped is None and any(x in BLOCK for x in stack[k:]):
             flush()
         if link is not None and k <= link:
             link = None
         if main is not None and k <= main:
             flush()
             main = None
-            gap()
-        del stack[k:]
+            border()
+        del stack[k:], ids[k:]
 
     def close(names, bounds):
         """End the innermost open element of these names, if it is within the bounds."""
@@ -127,6 +151,8 @@ def lines(page: str, rules: int = 2) -> list[tuple[str, float, bool]]:
             text.append(page[at:i])
             if link is not None:
                 links += i - at
+        elif inner is not None:
+            size += len(page[at:i].strip())
         if i == end:
             break
         if page.startswith("<!--", i):
@@ -168,32 +194,35 @@ def lines(page: str, rules: int = 2) -> list[tuple[str, float, bool]]:
             k = len(stack) - 1 - stack[::-1].index(name)
             pop(k)
         elif not attrs.endswith("/"):
-            if name in ("article", "main") and rules and main is None and not (dropped is not None and stack[dropped] in ("aside", "footer", "nav")):
-                dropped = None  # a wrapper that holds the article isn't boilerplate
-                gap()
+            opened += 1
+            if name in ("article", "main") and rules and main is None and (dropped is None or stack[dropped] == "form"):
+                dropped = None  # a form around the article is the page's
+                border()
                 main = len(stack)
+                articles += 1
+            elif name in ("article", "main") and dropped is not None and inner is None and stack[dropped] not in ("aside", "footer", "nav"):
+                inner, size = len(stack), 0
             elif dropped is None and name in UNSEEN:
                 dropped = len(stack)
             elif dropped is None and _boilerplate(name, attrs, main is not None, rules):
-                gap()
+                flush()
                 dropped = len(stack)
+                if main is None:  # a part taken out of an article doesn't split it
+                    removed.append((top()[0], name not in BOILER and name != "header", not stack or stack[-1] in ("html", "body")))
             elif name == "a" and link is None:
                 link = len(stack)
             if name in TRACKED or dropped == len(stack):
                 stack.append(name)
+                ids.append(opened)
     if dropped is None:
         flush()
-    return out
+    return out, max(lost, size if inner is not None else 0)
 
 
-def kept(found: list[tuple[str, float, bool]]) -> list[str]:
-    """Texts of the lines between surge and dive points of the window sums."""
-    if not found:
-        return []
-    inside = any(text and m for text, _, m in found)
-    size = np.array([w if m or not inside else 0.0 for _, w, m in found])
+def _surging(size: np.ndarray) -> np.ndarray:
+    """Which lines lie between surge and dive points of the window sums."""
     sums = np.convolve(size, np.ones(WINDOW))[WINDOW - 1:]  # of a line and those after it
-    threshold, out, i, n = SURGE * sums.max(), [], 0, len(found)
+    threshold, out, i, n = SURGE * sums.max(), np.zeros(len(size), bool), 0, len(size)
     while i < n:
         if not size[i]:
             i += 1
@@ -202,18 +231,30 @@ def kept(found: list[tuple[str, float, bool]]) -> list[str]:
         while j < n and sums[j] > 0:
             surge |= sums[j] >= threshold
             j += 1
-        if surge:
-            out += [found[k][0] for k in range(i, j) if size[k]]
+        out[i:j] = surge
         i = j
-    return out
+    return out & (size > 0)
+
+
+def kept(found: list[tuple[str, float, int]]) -> list[str]:
+    """Texts of the surging lines; if one article holds most of their weight, of those in articles."""
+    if not found:
+        return []
+    size, article = np.array([w for _, w, _ in found]), np.array([m for *_, m in found])
+    keep = _surging(size)
+    held = np.bincount(article[keep], size[keep])
+    if len(held) > 1 and 2 * held[1:].max() > held.sum():
+        keep = _surging(np.where(article > 0, size, 0.0))
+    return [found[k][0] for k in np.flatnonzero(keep)]
 
 
 def extract(page: str | None) -> str:
     for rules in (2, 1, 0):
-        text = " ".join(kept(lines(page or "", rules)))
-        if text:
+        found, lost = lines(page or "", rules)
+        text = " ".join(kept(found))
+        if text and (not rules or len(text) >= SURGE * lost):
             return text
-    return ""
+    return text
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -64,3 +64,25 @@ def test_elements_with_optional_end_tags_do_not_take_the_rest():
     assert hx.extract(f"<div><ul><li class=ad>Buy<li>{body}<li class=ad><p>Buy<ul><li>x</ul><li>{body}</ul><dl><dt class=promo>P<dd>{body}</dl></div>") == f"{body} {body} {body}"
     assert hx.extract(f"<table><tr><td class=sidebar>Side<td>{body}<tr class=nav><td>n<tr><td>{body}</table>") == f"{body} {body}"
     assert hx.extract(f"<p>{body} <svg><title>t</title><text>no</text></svg>and <button>press</button>on</p>") == f"{body} and on"
+
+
+def test_article_cards_do_not_replace_the_body():
+    body, card = " ".join(["The body of the page stands in a plain div and is long."] * 20), "A teaser of some other page."
+    cards = "".join(f"<article><p>{card}</p></article>" for _ in range(3))
+    for name in ("related", "comments"):  # removed, with the articles in them
+        assert hx.extract(f"<div><h1>Head</h1><p>{body}</p></div><section class={name}>{cards}</section>") == f"Head {body}"
+    assert hx.extract(f"<div><p>{body}</p></div><div class=x>{cards}</div>").startswith(body)
+    assert hx.extract(f"<div>Site</div><article><p>{body}</p></article><div>{card}</div>") == body
+    # a wrapper with such a class word that holds the article
+    assert hx.extract(f"<h1>Site</h1><div class=has-sidebar><article><p>{body}</p></article></div>") == body
+
+
+def test_adverts_do_not_split_the_text_of_their_parent():
+    long, short = ("long " * 360).strip(), "A closing line of a hundred characters. " * 2
+    ad = "<div class=ad><p>Buy</p></div>"
+    for top in ("<div id=content>", "<body>", "<section><div>"):
+        assert hx.extract(f"{top}<p>{long}</p>{ad}<p>{short}</p>{ad}<p>{long}</p>") == f"{long} {short}{long}"
+    assert hx.extract(f"<div id=content>{long}{ad}{short}<br>{ad}<div>{short}</div>{ad}<p>{long}") == f"{long} {short}{short}{long}"
+    # a part between other parts than paragraphs still splits
+    assert hx.extract(f"<body><div>Site name</div><nav>n</nav><div><p>{long}</p></div><footer>f</footer><div>Imprint</div></body>") == long
+    assert hx.lines("<div><p>one <button>x</p>two</div>")[0] == [("one", 3.0, 0), ("two", 3.0, 0)]
