@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tariffa.llm import decontamination, exact_dedup, html_extract, lm_scoring, packing, quality, simhash_dedup, substring_dedup, toxicity, url_filter
+from tariffa.llm import (
+    decontamination, exact_dedup, fill_in_middle, html_extract, lm_scoring, packing, periodic_runs, quality, simhash_dedup, substring_dedup,
+    toxicity, url_filter,
+)
 
 Q = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
@@ -15,4 +18,6 @@ Q = {
     "op8_quality_classifier": (quality.op8_quality_classifier, None),
     "op9_lm_scoring": (lm_scoring.op9_lm_scoring, None),
     "op10_decontamination": (decontamination.op10_decontamination, decontamination.SQL),
+    "op12_fill_in_middle": (fill_in_middle.op12_fill_in_middle, fill_in_middle.SQL),
+    "op13_periodic_runs": (periodic_runs.op13_periodic_runs, None),
 }
