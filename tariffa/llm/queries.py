@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tariffa.llm import (
-    decontamination, exact_dedup, fill_in_middle, html_extract, lm_scoring, packing, periodic_runs, quality, simhash_dedup, substring_dedup,
+    decontamination, exact_dedup, fill_in_middle, html_extract, lm_scoring, packing, periodic_runs, pii, quality, simhash_dedup, substring_dedup,
     toxicity, url_filter,
 )
 
@@ -18,6 +18,7 @@ Q = {
     "op8_quality_classifier": (quality.op8_quality_classifier, None),
     "op9_lm_scoring": (lm_scoring.op9_lm_scoring, None),
     "op10_decontamination": (decontamination.op10_decontamination, decontamination.SQL),
+    "op11_pii": (pii.op11_pii, None),
     "op12_fill_in_middle": (fill_in_middle.op12_fill_in_middle, fill_in_middle.SQL),
     "op13_periodic_runs": (periodic_runs.op13_periodic_runs, None),
 }
