@@ -207,10 +207,11 @@ def planted(doc_id: Column, text: Column) -> Column:
     h = F.crc32(doc_id.cast("string").cast("binary"))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     g, n = F.floor(h / 10), F.size(words)
-    a = F.pmod(g, F.greatest(n, F.lit(1)))
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), repeated), " ")).otherwise(text)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
