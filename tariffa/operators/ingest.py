@@ -27,11 +27,24 @@ def typed(melted: DataFrame) -> DataFrame:
     return melted.withColumn("t", cells.typed_cell("cell")).select("*", "t.*").drop("t", "cell")
 
 
+#: A CSV field: in quotes, where a doubled quote counts once and line ends are text, then what follows the closing quote; or plain.
+#: Every repetition is possessive, so the pattern runs as a loop: its time is linear, its stack the same for a cell of any length.
+_QUOTED = r'"([^"]*+(?:""[^"]*+)*+)"([^,\r\n]*+)'
+_FIELD = '(?:' + _QUOTED.replace('(["^', '(?:["^').replace('([^', '(?:[^') + r'|[^,\r\n]*+)'
+_LINE = rf'(?:\r\n|\n|\r)({_FIELD}(?:,{_FIELD})*+)'
+
+
+def csv_lines(text: Column) -> Column:
+    """Lines of a CSV text; a line end within a quoted field does not end a line. A quote that never closes is plain text."""
+    return F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(_LINE), F.lit(1))
+
+
 def csv_fields(line: Column) -> Column:
     """Fields of one CSV line as text; quotes around a field go, doubled quotes inside it count once."""
-    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r'(,(?:"(?:[^"]|"")*"|[^,]*))'), F.lit(1))
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f"(,{_FIELD})"), F.lit(1))
+    quoted = rf'\A,{_QUOTED}\z'
     return F.transform(parts, lambda p: F.when(
-        p.startswith(',"') & p.endswith('"') & (F.length(p) > 2), F.replace(F.substr(p, F.lit(3), F.length(p) - 3), F.lit('""'), F.lit('"')))
+        p.startswith(',"') & p.rlike(quoted), F.concat(F.replace(F.regexp_extract(p, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(p, quoted, 2)))
         .otherwise(F.substr(p, F.lit(2))))
 
 
@@ -41,7 +54,7 @@ def sheet_rows(files: DataFrame) -> DataFrame:
     The as-of day is the one in the file name, else the day of an 'Updated' stamp above the
     headers, else the file's day. Without a number in the name the stay is one night.
     """
-    lines = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n|\r"), csv_fields)
+    lines = F.transform(csv_lines(F.regexp_replace("value", "^\ufeff", "")), csv_fields)
     at = F.coalesce(F.array_position(F.transform("lines", lambda f: F.array_contains(f, fv.SHEET_DATE_HEADER)), True), F.lit(0))
     above = F.flatten(F.slice("lines", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0)).cast("int")))
     stamp = F.filter(above, lambda c: c.rlike(fv.SHEET_UPDATED_PATTERN))
@@ -91,10 +104,20 @@ def checked_sheets(rows: DataFrame, slugs: dict, drop=(), required=fv.SHEET_REQU
     return rows
 
 
+def asserted_sheets(rows: DataFrame, slugs: dict, drop=(), required=fv.SHEET_REQUIRED_HEADERS) -> DataFrame:
+    """The sheet rows with the same check in the rows themselves, for streams: a file with an unknown or missing header
+    fails the batch that reads it, before any of its cells is written."""
+    known = F.array(*[F.lit(h) for h in dict.fromkeys([*fv.SHEET_METADATA_HEADERS, *slugs, *drop, ""])])
+    unknown = F.filter(F.array_except("headers", known), lambda h: ~h.startswith("Unnamed:"))
+    missing = F.array_except(F.array(*[F.lit(r) for r in required]), "headers")
+    said = F.concat(F.lit("sheet headers of "), F.col("file"), F.lit(": unknown ["), F.array_join(unknown, ", "), F.lit("], missing ["), F.array_join(missing, ", "), F.lit("]"))
+    return rows.withColumn("headers", F.when((F.size(unknown) == 0) & (F.size(missing) == 0), F.col("headers")).otherwise(F.raise_error(said)))
+
+
 def sheet_rows_panel(rows: DataFrame, slugs: dict, source: str, tier="any", drop=(), strict=True) -> DataFrame:
     """Panel rows of sheet rows, after the header check (unless strict is False). Rows without a date are left out."""
     if strict:
-        rows = checked_sheets(rows, slugs, drop)
+        rows = (asserted_sheets if rows.isStreaming else checked_sheets)(rows, slugs, drop)
     dated = rows.withColumn("arrival_date", cells.sheet_date(named_cell(fv.SHEET_DATE_HEADER))).where("arrival_date is not null")
     ids = {"dow": cells.day_label(named_cell("Day"), "arrival_date"), "market_demand_frac": cells.number(named_cell("Market demand")),
            "market_otb_frac": cells.number(named_cell("Market OTB"))}

@@ -22,6 +22,27 @@ def sheet(s, d):
     return fx.load(s, d, "sheet_wide")
 
 
+def csv_files(s, d):
+    """The sheet as one CSV text a month: cells in quotes, a note with quotes, commas and a line end, columns the other way round
+    in every second month. A month is at most 31 lines."""
+    wide = sheet(s, d).withColumn("month", F.date_format("arrival_date", "yyyy-MM"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.concat(F.lit('say "ok", '), F.col("month"), F.lit("\nsecond line"))
+    named = {"Date": F.datediff("arrival_date", F.lit("1899-12-30")).cast("string"), "Market demand": F.col("market_demand").cast("string"), "Market OTB": F.lit("0.5"),
+             "My OTB": note, **{h: F.col(h) for h in SLUGS}}
+    line = lambda names: F.concat_ws(",", *[quoted(named[n]) for n in names])
+    odd, names = F.month("arrival_date") % 2 == 1, list(named)
+    lines = F.array_sort(F.collect_list(F.struct("arrival_date", F.when(odd, line(names)).otherwise(line(names[::-1])).alias("text"))))
+    head = F.when(F.substr(F.col("month"), F.lit(6), F.lit(2)).cast("int") % 2 == 1, ",".join(names)).otherwise(",".join(names[::-1]))
+    return wide.groupBy("month").agg(lines.alias("lines")).select(
+        F.concat(F.lit("sheet_"), "month", F.lit("-01_los3_.csv")).alias("file"), F.to_timestamp(F.lit("2026-05-08 00:00:00")).alias("file_time"),
+        F.concat(head, F.lit("\r\n"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n")).alias("value"))
+
+
+def csv_panel(s, d):
+    return I.sheet_rows_panel(I.sheet_rows(csv_files(s, d)), SLUGS, "booking")
+
+
 def melted(s, d):
     return I.typed(I.melt(sheet(s, d), SLUGS))
 
@@ -127,6 +148,8 @@ def add(name, fn, sql=None):
 
 # ------------------------------------------------------------------ ingest
 add("melt_status", melted, MELT + f"SELECT arrival_date, property, availability_status, {R('rate_usd')}, los_restriction FROM ty")
+add("csv_sheets", lambda s, d: csv_panel(s, d).select("as_of_date", "arrival_date", "length_of_stay_nights", "property", "availability_status", "rate_usd", "los_restriction"),
+    MELT + f"""SELECT CAST(date_trunc('month', arrival_date) AS DATE) AS as_of_date, arrival_date, 3 AS length_of_stay_nights, property, availability_status, {R('rate_usd')}, los_restriction FROM ty""")
 add("unknown_tally", lambda s, d: I.unknown_statuses(melted(s, d)), MELT + """SELECT substr(availability_status, 18) AS cell_text, count(*) AS n FROM ty WHERE availability_status LIKE 'unknown_sentinel:%' GROUP BY ALL""")
 
 

@@ -32,11 +32,20 @@ def read_sheets(spark: SparkSession, glob) -> DataFrame:
 
     Columns: file, line, headers and cells (arrays of text, as long as that file's header
     row), length_of_stay_nights and as_of_date. Files may have other columns, in another
-    order. The header row is the first line with a date header; lines above it hold no
+    order. Quoted cells may hold commas, line ends and doubled quotes, and be of any length.
+    The header row is the first line with a date header; lines above it hold no
     cells, but one of them may show the 'Updated' stamp. A sheet covers a calendar, so each
     file is read whole into one row and then laid out.
     """
-    whole = spark.read.text(glob, wholetext=True)
+    return _sheets(spark.read.text(glob, wholetext=True))
+
+
+def stream_sheets(spark: SparkSession, folder, glob="*", files_a_batch=1000) -> DataFrame:
+    """The same rows of every sheet that is dropped into a folder, as a stream; each file still goes by its own headers."""
+    return _sheets(spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).text(str(folder), wholetext=True))
+
+
+def _sheets(whole: DataFrame) -> DataFrame:
     return sheet_rows(whole.select(
         F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("file_time"), "value"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tariffa import fixed_values as fv
-from tariffa.operators.ingest import melt, typed
+from tariffa.operators.ingest import melt, sheet_rows_panel, typed
 from tariffa.operators.upsert import KEY, upsert
-from tariffa.sources.readers import parse_log
+from tariffa.sources.readers import parse_log, stream_sheets
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +32,11 @@ def typed_sheets(sheets: DataFrame, slugs: dict, ids=("arrival_date",)) -> DataF
     return typed(melt(sheets, slugs, ids))
 
 
+def sheet_panel_stream(spark: SparkSession, folder, slugs: dict, source: str, tier="any", drop=(), strict=True, glob="*") -> DataFrame:
+    """Panel rows of CSV sheets as they are dropped into a folder (no state). Files may have other columns, in another order."""
+    return sheet_rows_panel(stream_sheets(spark, folder, glob), slugs, source, tier, drop, strict)
+
+
 def quote_partition(by="arrival_date"):
     return F.coalesce(F.date_format(by, "yyyy-MM"), F.lit("none"))
 
