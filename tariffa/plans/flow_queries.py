@@ -10,7 +10,9 @@ from tariffa.functions import cells
 from tariffa.operators import captures as C, gates as G, ingest as I, panel as P, quotes as Q_, reports as RP_, series as S, upsert as U, verify as Y
 from tariffa.plans import panel_queries as PQ, quote_queries as QQ
 from tariffa.plans.common import R, rounded
+from tariffa.session import work_folder
 from tariffa.sources import fixtures as fx
+from tariffa.sources.keyed_store import KeyedStore
 from tariffa.schemas import upgrade_quotes
 
 SLUGS = {f"c{i}": p for i, p in enumerate(fx.PROPERTIES)}
@@ -84,6 +86,14 @@ def old_new(s, d):
     return old, new
 
 
+def stored_upsert(s, d):
+    """The same rows through a stored table: the old ones as its first version, the batch as its second."""
+    store = KeyedStore(s, work_folder(s, "stored-upsert"))
+    for batch in old_new(s, d):
+        store.upsert(batch)
+    return store.read()
+
+
 def verify_cells(s, d):
     v = fx.load(s, d, "verify_cells")
     text_ = lambda c: F.col(c).cast("string")
@@ -202,7 +212,7 @@ def sampled(s, d):
 
 DRAWN = "(SELECT property, arrival_date, rate_usd FROM ty ORDER BY md5(concat_ws('|', '42', coalesce(property, ''), coalesce(CAST(arrival_date AS VARCHAR), ''))), property, arrival_date LIMIT 200)"
 add("sample_recheck", lambda s, d: I.sample_recheck(sampled(s, d), melted(s, d).select("property", "arrival_date", "rate_usd")),
-    MELT + f""", m AS (SELECT property, arrival_date, rate_usd + CASE WHEN day(arrival_date) = 13 THEN 1 ELSE 0 END AS r FROM {DRAWN})
+    MELT.replace(", ty AS (", ", ty AS MATERIALIZED (") + f""", m AS MATERIALIZED (SELECT property, arrival_date, rate_usd + CASE WHEN day(arrival_date) = 13 THEN 1 ELSE 0 END AS r FROM {DRAWN})
 SELECT property, arrival_date, {R('m.r', 'rate_usd')}, {R('t.rate_usd', 'source_usd')}, coalesce(abs(m.r - t.rate_usd) <= 1e-6, false) AS matches FROM m LEFT JOIN ty t USING (property, arrival_date)""")
 add("sample_rows", lambda s, d: P.sample_rows(melted(s, d), ["property", "arrival_date"], 20, 42), MELT + f"""SELECT property, arrival_date, {R('rate_usd')}, availability_status, los_restriction
  FROM ty ORDER BY md5(concat_ws('|', '42', coalesce(property, ''), coalesce(CAST(arrival_date AS VARCHAR), ''))), property, arrival_date LIMIT 20""")
@@ -210,6 +220,7 @@ add("sample_rows", lambda s, d: P.sample_rows(melted(s, d), ["property", "arriva
 # ------------------------------------------------------------------ upsert and queues
 add("keyed_upsert", lambda s, d: U.upsert(*old_new(s, d)), UPS + f"""SELECT {C4}, room_type_canonical, rate_plan_label, {R('rate_per_night_usd')}, mapped_ada FROM kept
  UNION ALL SELECT {C4}, room_type_canonical, rate_plan_label, {R('rate_per_night_usd')}, NULL FROM n""")
+add("stored_upsert", stored_upsert, Q["keyed_upsert"][1])
 add("upsert_report", lambda s, d: U.upsert_report(*old_new(s, d)), UPS + f"""SELECT (SELECT count(*) FROM o) AS old_rows, (SELECT count(*) FROM n) AS new_rows, (SELECT count(*) FROM nk) AS new_keys,
  (SELECT count(*) FROM (SELECT DISTINCT {C4} FROM n)) AS new_cells, (SELECT count(*) FROM o) - (SELECT count(*) FROM kept) AS dropped, (SELECT count(*) FROM kept) + (SELECT count(*) FROM n) AS final_rows,
  (SELECT count(*) FROM kept) + (SELECT count(*) FROM n) - (SELECT count(*) FROM o) AS delta""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,22 @@ def local_session(cpus="*", memory="8g", name="tariffa") -> SparkSession:
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_own: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the place that all executors share, named in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a session whose executors are threads of this process; any other
+    session must set it, because each of its machines would write to a disk of its own.
+    """
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base:
+        master = conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tariffa-work-"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

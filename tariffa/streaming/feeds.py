@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tariffa import fixed_values as fv
 from tariffa.operators.ingest import melt, sheet_rows_panel, typed
-from tariffa.operators.upsert import KEY, upsert
+from tariffa.operators.upsert import KEY
+from tariffa.sources.keyed_store import KeyedStore
 from tariffa.sources.readers import parse_log, stream_sheets
 
 
@@ -37,68 +38,17 @@ def sheet_panel_stream(spark: SparkSession, folder, slugs: dict, source: str, ti
     return sheet_rows_panel(stream_sheets(spark, folder, glob), slugs, source, tier, drop, strict)
 
 
-def quote_partition(by="arrival_date"):
-    return F.coalesce(F.date_format(by, "yyyy-MM"), F.lit("none"))
+def upsert_batches(target: str, keys=KEY, writer="stream", buckets=None):
+    """`foreachBatch` function: keyed upsert of quote files into a stored table (see `keyed_store`).
 
-
-MOST_MONTHS = 2400
-
-
-def upsert_batches(target: str, keys=KEY):
-    """`foreachBatch` function: keyed upsert of quote files into a table split by month.
-
-    Only the months that the batch touches are read and rewritten: their list, which the
-    calendar bounds, is a literal partition filter. The keys must hold the arrival date, as
-    rows of one key lie in one month. The new content is first written whole to a folder of
-    this batch beside the table, because Spark must not overwrite what it reads; its mark is
-    written last. A batch that is run again after a failure takes the marked content as it
-    is, so the table ends the same. The folder is deleted after the months are replaced.
-    Rows of one batch all enter, as in the batch form.
+    Each batch becomes visible as a whole, by one manifest, or not at all. A batch that is run again after a failure is either
+    written anew or, if it had been committed, skipped. A batch without rows only records its number. Rows of one
+    batch all enter, as in the batch form. `writer` names the stream: two streams into one table need two names.
     """
     if "arrival_date" not in keys:
         raise ValueError("the keys must hold arrival_date: months are replaced as a whole")
-    side = f"{target.rstrip('/')}_next"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        place = f"{side}/{batch_id}"
-        done = f"{place}/_done"
-        if not _exists(spark, done):
-            _delete(spark, place)
-            new = batch.withColumn("month", quote_partition())
-            content = new
-            if _exists(spark, target):
-                months = [r["month"] for r in new.select("month").distinct().limit(MOST_MONTHS + 1).collect()]
-                if len(months) > MOST_MONTHS:
-                    raise ValueError(f"a batch with over {MOST_MONTHS} months of arrival dates")
-                content = upsert(touched_months(spark, target, months), new, keys)
-            content.write.mode("overwrite").partitionBy("month").parquet(f"{place}/rows")
-            spark.range(1).write.mode("overwrite").parquet(done)
-        rows = spark.read.parquet(f"{place}/rows")
-        if "month" in rows.columns:  # an empty batch writes no month
-            rows.withColumn("month", F.col("month").cast("string")).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(target)
-        _delete(spark, place)
+        KeyedStore(batch.sparkSession, target, keys, buckets=buckets).upsert(batch, writer, batch_id)
 
     return apply
-
-
-def touched_months(spark: SparkSession, target: str, months) -> DataFrame:
-    """Rows of the listed months; other months' folders are not read."""
-    old = spark.read.option("basePath", target).parquet(target)
-    return old.where(F.col("month").cast("string").isin(*months)).withColumn("month", F.col("month").cast("string"))
-
-
-def _path(spark: SparkSession, name: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, name: str) -> bool:
-    path, fs = _path(spark, name)
-    return fs.exists(path)
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    path, fs = _path(spark, name)
-    fs.delete(path, True)

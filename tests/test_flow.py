@@ -169,39 +169,3 @@ def test_stream_of_sheets_equals_batch(spark, tmp_path):
     stream = feeds.typed_sheets(spark.readStream.schema(ddl).json(str(src)), {"A": "a", "B": "b"})
     batch = feeds.typed_sheets(spark.read.schema(ddl).json(str(src)), {"A": "a", "B": "b"})
     assert sorted(map(tuple, drain(stream, "sheets").collect())) == sorted(map(tuple, batch.collect()))
-
-
-def test_stream_upsert_equals_batch(spark, tmp_path):
-    src, target = tmp_path / "quotes_in", str(tmp_path / "table")
-    apply = feeds.upsert_batches(target)
-    apply(rows(spark, OLD), 0)
-    rows(spark, NEW).coalesce(1).write.parquet(str(src))
-    for run in range(2):  # the second run repeats the batch
-        q = spark.readStream.schema(DDL).parquet(str(src)).writeStream.foreachBatch(apply).trigger(availableNow=True).option(
-            "checkpointLocation", str(tmp_path / f"cp{run}")).start()
-        q.awaitTermination()
-        assert as_set(spark.read.parquet(target)) == WANT
-        assert not list((tmp_path / "table_next").iterdir())
-
-
-def test_stream_upsert_prunes_and_recovers(spark, tmp_path, monkeypatch):
-    target = str(tmp_path / "table")
-    apply = feeds.upsert_batches(target)
-    apply(rows(spark, OLD), 0)
-    plan = feeds.touched_months(spark, target, ["2026-05"])._jdf.queryExecution().executedPlan().toString()
-    assert "2026-05" in plan.split("PartitionFilters")[1].split("]")[0]
-    whole = feeds._delete
-
-    def lost(*a):
-        raise RuntimeError("lost")
-    real = feeds._exists  # a failure after the content is marked, before the months are replaced
-    read = type(spark.read).parquet
-    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p: lost() if str(p[0]).endswith("/rows") else read(self, *p))
-    with pytest.raises(RuntimeError):
-        apply(rows(spark, NEW), 1)
-    monkeypatch.undo()
-    assert feeds._delete is whole and feeds._exists is real and as_set(spark.read.parquet(target)) == as_set(rows(spark, OLD))
-    apply(rows(spark, NEW), 1)
-    assert as_set(spark.read.parquet(target)) == WANT and not list((tmp_path / "table_next").iterdir())
-    with pytest.raises(ValueError):
-        feeds.upsert_batches(target, ("property_id",))
