@@ -14,11 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tariffa.functions.text import any_of
+from tariffa.session import work_folder
 
 BUCKETS_PER_E = 1024  # relative bucket width of about 0.1%
 PARTS = 1024  # parts of a wanted bucket
 BLOCKS = 100_000  # of a running total
-TIE_LETTERS = 3
 
 
 def value_bucket(v: Column) -> Column:
@@ -154,30 +154,34 @@ def running_total(df: DataFrame, position: str, amount, name: str, block: int =
     )
 
 
-def ranked(df: DataFrame, keys, score, tie, name="rank") -> DataFrame:
+def laid_out(df: DataFrame, order, parts: int | None = None) -> DataFrame:
+    """The rows in `order` over several files: `_part` is the number of the range a row lies in, `_at` its place there.
+
+    The ranges are cut at sampled splitters of the whole order, so equal leading values are cut by the columns after them.
+    The rows are written to the work folder: the input runs once, and what is counted is what is ranked.
+    """
+    laid = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    laid = laid.withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)})
+    path = work_folder(df.sparkSession, "laid-out")
+    laid.write.parquet(path)
+    return df.sparkSession.read.schema(laid.schema).parquet(path)
+
+
+def ranked(df: DataFrame, keys, score, tie, name="rank", parts: int | None = None) -> DataFrame:
     """1-based rank by score, best first, null scores last, ties by `tie` (a unique order).
 
-    The count of rows in better score buckets comes from a bounded histogram, so each
-    bucket is ordered on its own. Values that many rows share (no score, zero) are further
-    cut by the first letters of the first tie column, which keep its order.
+    The rows are laid out by range of keys, score and tie. A row's rank is its place in its range, plus the rows that its
+    group has in earlier ranges: a running sum over one count a range and group. No range grows with the rows that share a
+    score, and the rows are shuffled once.
     """
     keys = list(keys)
     score = F.col(score) if isinstance(score, str) else score
     ties = [F.col(t) if isinstance(t, str) else t for t in ([tie] if isinstance(tie, (str, Column)) else tie)]
-    rows = df.withColumn("_score", score.cast("double")).withColumn("_bucket", F.when(
-        F.col("_score").isNotNull(), -value_bucket(F.col("_score"))).otherwise(F.lit(2**40)))
-    # only a bucket of one value (null, or zero with its own bucket) may be cut by the tie
-    single = F.col("_score").isNull() | (F.col("_score") == 0)
-    text = df.select(ties[0]).schema[0].dataType.typeName() == "string" if isinstance(ties[0], Column) else False
-    cut = F.when(single, F.coalesce(F.substring(ties[0], 1, TIE_LETTERS), F.lit(""))).otherwise("") if text else F.lit("")
-    rows = rows.withColumn("_zero", F.when(F.col("_score") == 0, 0).when(F.col("_score") > 0, -1).otherwise(1)).withColumn("_cut", cut)
-    group = [*keys, "_bucket", "_zero", "_cut"]
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    better = Window.partitionBy(*keys).orderBy("_bucket", "_zero", "_cut").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*group).orderBy(F.desc_nulls_last("_score"), *ties)
-    return (
-        join_on(rows, counts, group)
-        .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_zero", "_cut", "_before", "_score")
-    )
+    rows = df.withColumn("_score", score.cast("double") + F.lit(0.0))  # one zero
+    laid = laid_out(rows, [*[F.asc_nulls_first(k) for k in keys], F.desc_nulls_last("_score"), *ties], parts)
+    group = ["_part", *keys]
+    counts = laid.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_before"))
+    return join_on(laid, counts, group).withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before", "_score")

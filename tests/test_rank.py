@@ -108,6 +108,28 @@ def test_equal_scores_of_many_rows_are_spread(spark):
     assert got == [(p, i + 1) for i, (p, _) in enumerate(want)]
 
 
+def test_equal_scores_with_like_ties_lie_on_many_parts(spark):
+    rows = spark.range(100_000).select(F.format_string("Property#%09d", "id").alias("p"), F.when(F.col("id") % 50 > 0, 7.5).alias("s"))
+    parts = rank.laid_out(rows, [F.desc_nulls_last("s"), F.col("p")], 8).groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("lo"), F.max("_at").alias("hi")).collect()
+    assert len(parts) == 8 and max(r.n for r in parts) < 25_000 and all(r.lo == 0 and r.hi == r.n - 1 for r in parts)
+    got = rank.ranked(rows, [], "s", "p", parts=8).select("p", "s", "rank").collect()
+    want = sorted(((r.p, r.s) for r in got), key=lambda r: (r[1] is None, r[0]))
+    assert [(p, s) for p, s, _ in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 100_001))
+
+
+def test_ranks_within_groups_over_parts(spark):
+    rnd = random.Random(7)
+    data = [(rnd.choice([None, "a", "b"]), rnd.choice([None, 0.0, -0.0, 1.0, float("nan")]), i) for i in range(3000)] + [(f"k{i}", 1.0, i) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, s double, i int")
+    by_group = {}
+    for k, s, i in data:
+        by_group.setdefault(k, []).append((s is None, -(1e9 if s != s else s) if s is not None else 0, i))
+    want = {(k, i): n for k, rs in by_group.items() for n, (_, _, i) in enumerate(sorted(rs), 1)}
+    for parts in (None, 1, 6):
+        assert {(r.k, r.i): r.rank for r in rank.ranked(df, ["k"], "s", "i", parts=parts).collect()} == want
+    assert rank.ranked(df.limit(0), ["k"], "s", "i").collect() == []
+
+
 def test_running_total_over_wide_gaps(spark):
     rows = spark.range(3000).select((F.col("id") * 10**9).alias("at"), F.lit(2).alias("n"))
     out = rank.running_total(rows, "at", "n", "before")
