@@ -35,14 +35,18 @@ def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
     return left.join(right, cond, how).drop(*names.values())
 
 
-def _holding(histogram: DataFrame, by, order: str, before, ranks: dict) -> DataFrame:
-    """The histogram rows that hold any wanted rank, with the count before them as `_before`."""
+def _holding(histogram: DataFrame, by, order: str, before, ranks: dict, also: Column | None = None) -> DataFrame:
+    """The histogram rows that hold any wanted rank (or are wanted also), with the count before them as `_start`."""
     upto = before + F.sum("_n").over(Window.partitionBy(*by).orderBy(order))
     rows = histogram.select("*", (upto - F.col("_n")).alias("_start"), upto.alias("_upto"))
-    return rows.where(any_of((fn(F.col("_total")) >= F.col("_start")) & (fn(F.col("_total")) < F.col("_upto")) for fn in ranks.values()))
+    return rows.where(any_of([*([] if also is None else [also]), *((fn(F.col("_total")) >= F.col("_start")) & (fn(F.col("_total")) < F.col("_upto")) for fn in ranks.values())]))
 
 
-def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False) -> DataFrame:
+#: How the parts of an aggregate are put together.
+MERGE = {"min": F.min, "max": F.max, "sum": F.sum}
+
+
+def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False, merged: dict | None = None) -> DataFrame:
     """Exact values at given ranks.
 
     `values` maps a name to a column; `ranks` maps a suffix to a function from the
@@ -56,26 +60,37 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False)
     so that also many values in one bucket are ranked in many tasks. With `fine` keys (about
     as many groups as rows) the input is shuffled once, by group and bucket; counts, ranks
     and values stay on that partitioning and only the histogram moves.
+
+    `merged` (fine keys and one value only) maps a name to (column, "min", "max" or "sum"): plain aggregates of the same groups
+    in the same pass, over all their rows. Then groups without a value are there too, with null ranks.
     """
+    merged = merged or {}
+    if merged and not (fine and len(values) == 1):
+        raise ValueError("merged aggregates need fine keys and one value")
     keys = list(keys)
     cols = {name: F.col(c) if isinstance(c, str) else c for name, c in values.items()}
     key = F.struct(*[F.col(k) for k in keys])
     if len(cols) == 1:
         (only, c), = cols.items()
-        rows = df.select(F.struct(key.alias("k")).alias("_k"), c.cast("double").alias("_v"))
+        rows = df.select(F.struct(key.alias("k")).alias("_k"), F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias("_v"), *[x.alias(f"_m_{n}") for n, (x, _) in merged.items()])
     else:
         only = None
         rows = df.select(key.alias("_g"), F.inline(F.array(*[
             F.struct(F.lit(name).alias("_metric"), c.cast("double").alias("_v")) for name, c in cols.items()]))).select(
             F.struct(F.col("_g").alias("k"), F.col("_metric").alias("metric")).alias("_k"), "_v")
-    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if not merged:
+        rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     # never null, so that a join adds no filter to one of its sides and the shuffles stay alike
     rows = rows.withColumn("_bucket", F.coalesce(value_bucket(F.col("_v")), F.lit(0).cast("long")))
     total = F.sum("_n").over(Window.partitionBy("_k")).alias("_total")
+    put = [MERGE[how](f"_m_{n}").alias(f"_m_{n}") for n, (_, how) in merged.items()]
     if fine:
-        counted = rows.repartition("_k", "_bucket").groupBy("_k", "_bucket", "_v").agg(F.count(F.lit(1)).alias("_w"))
-        histogram = counted.groupBy("_k", "_bucket").agg(F.sum("_w").alias("_n")).select("*", total)
-        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks).select("_k", "_bucket", F.col("_start").alias("_before"), "_total")
+        counted = rows.repartition("_k", "_bucket").groupBy("_k", "_bucket", "_v").agg(F.count("_v").alias("_w"), *put)
+        whole = [MERGE[how](f"_m_{n}").over(Window.partitionBy("_k")).alias(f"_all_{n}") for n, (_, how) in merged.items()]
+        histogram = counted.groupBy("_k", "_bucket").agg(F.sum("_w").alias("_n"), *put).select("_k", "_bucket", "_n", total, *whole)
+        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks, F.col("_total") == 0 if merged else None).select(
+            "_k", "_bucket", F.col("_start").alias("_before"), "_total", *[f"_all_{n}" for n in merged])
+        counted = counted.drop(*[f"_m_{n}" for n in merged])
         near, inside = counted.join(wanted, ["_k", "_bucket"]), ["_k", "_bucket"]
     else:
         histogram = rows.groupBy("_k", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")).select("*", total)
@@ -92,16 +107,17 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False)
         .alias(name + suffix)
         for name in cols for suffix, fn in ranks.items()
     ]
-    return counted.groupBy(F.col("_k.k").alias("_g")).agg(*out).select(*[F.col(f"_g.{k}").alias(k) for k in keys], *[n + s for n in cols for s in ranks])
+    out += [F.first(f"_all_{n}").alias(n) for n in merged]
+    return counted.groupBy(F.col("_k.k").alias("_g")).agg(*out).select(*[F.col(f"_g.{k}").alias(k) for k in keys], *[n + s for n in cols for s in ranks], *merged)
 
 
-def exact_median(df: DataFrame, keys, values, fine=False) -> DataFrame:
-    """Exact interpolated median per group, one column for each entry of `values`."""
+def exact_median(df: DataFrame, keys, values, fine=False, merged: dict | None = None) -> DataFrame:
+    """Exact interpolated median per group, one column for each entry of `values`, and those of `merged`."""
     values = {values: values} if isinstance(values, str) else dict(values)
     both = order_statistics(df, keys, values, {
         "_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2),
-    }, fine)
-    return both.select(*keys, *[
+    }, fine, merged)
+    return both.select(*keys, *(merged or {}), *[
         ((F.col(f"{v}_lo") + F.col(f"{v}_hi")) / 2).alias(v) for v in values
     ])
 

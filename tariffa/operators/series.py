@@ -170,9 +170,9 @@ def yield_composite(yields: DataFrame, subject: str) -> DataFrame:
     mine = F.col("property") == subject
     pct = F.col("pct_above_baseline")
     peer = F.when(~mine, pct)
-    return describe(yields, ["arrival_date"], [
-        F.max(F.when(mine, pct)).alias("subject_pct"), F.min(peer).alias("peer_min_pct"),
-        F.max(peer).alias("peer_max_pct"), F.count_if(~mine).alias("n_peers")], {"peer_median_pct": peer}, fine=True).select(
+    return exact_median(yields, ["arrival_date"], {"peer_median_pct": peer}, fine=True, merged={
+        "subject_pct": (F.when(mine, pct), "max"), "peer_min_pct": (peer, "min"), "peer_max_pct": (peer, "max"),
+        "n_peers": (F.when(~mine, 1).otherwise(0), "sum")}).select(
         "arrival_date", "subject_pct", "peer_median_pct", "peer_min_pct", "peer_max_pct", "n_peers")
 
 

@@ -14,8 +14,8 @@ from tariffa.operators.series import dual_baseline
 
 def peer_median(rows: DataFrame, peers) -> DataFrame:
     """Per date: median and number of the peers' quoted rows (all stays pooled)."""
-    return describe(rows.where(F.col("property").isin(*peers)), ["arrival_date"],
-                    [F.count(F.lit(1)).alias("n_peers")], {"peer_median_usd": "rate_usd"}, fine=True)
+    return exact_median(rows.where(F.col("property").isin(*peers)), ["arrival_date"], {"peer_median_usd": "rate_usd"}, fine=True,
+                        merged={"n_peers": (F.lit(1), "sum")})
 
 
 def spread_rows(rows: DataFrame, subject: str, peers, keep=()) -> DataFrame:

@@ -101,6 +101,18 @@ def test_null_keys_and_several_metrics(spark):
         assert got == {None: (2.0, 5.0), "a": (2.0, 5.0)}
 
 
+def test_merged_aggregates_come_from_the_same_pass(spark):
+    rnd = random.Random(11)
+    data = [(rnd.choice([None, "a", "b", "c"]), rnd.choice([None, float("nan"), 0.0, 1.0, 2.5]), rnd.randrange(9)) for _ in range(200)] + [("none", None, 4), ("none", None, 1)]
+    df = spark.createDataFrame(data, "k string, v double, w int")
+    out = rank.exact_median(df, ["k"], {"mid": "v"}, fine=True, merged={"n": (F.lit(1), "sum"), "lo": (F.col("w"), "min"), "hi": (F.when(F.col("v") > 1, F.col("w")), "max")})
+    want = df.groupBy("k").agg(F.count("*").alias("n"), F.min("w").alias("lo"), F.max(F.when(F.col("v") > 1, F.col("w"))).alias("hi"), F.median(F.nanvl("v", F.lit(None).cast("double"))).alias("mid"))
+    assert out.columns == ["k", "n", "lo", "hi", "mid"] and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2  # once for the counts, once for the histogram on the same shuffle
+    with pytest.raises(ValueError):
+        rank.exact_median(df, ["k"], {"mid": "v"}, merged={"n": (F.lit(1), "sum")})
+
+
 def test_equal_scores_of_many_rows_are_spread(spark):
     rows = spark.range(10_000).select(F.format_string("p%05d", "id").alias("p"), F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 3 == 1, 0.00001).alias("s"))
     got = [(r.p, r.rank) for r in rank.ranked(rows, [], "s", "p").orderBy("rank").collect()]
