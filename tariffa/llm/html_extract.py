@@ -5,7 +5,9 @@ that are boilerplate by their element, role, class or id leave a run of empty li
 paragraphs of one parent element, so an advert doesn't split a text; the borders of an article or main element leave one.
 The text lengths (link text counts a tenth) are summed over a sliding window of lines. Where the sum surges over a
 threshold, text begins; where it dives to nothing, it ends; all lines between are kept. The threshold is a part of the
-page's own largest sum, so that short articles are found too. If one article or main element holds most of the kept text,
+page's own largest sum, so that short articles are found too. A class counts by whole tokens (`menu-item`, not `has-sidebar`), and a
+part that holds nearly all text of the page is a wrapper whatever its class, unless it is named as reader comments. A list of links outside
+articles is a menu and goes with its heading. If one article or main element holds most of the kept text,
 lines outside such elements count as empty.
 
 If nothing is left, or less than a tenth of an article inside a removed part, the page is read again without the class
@@ -48,6 +50,13 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal "
             "overlay sidebar side aside rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer copyright comment comments commentlist disqus "
             "discussion reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager skip form".split())
+#: Words beside those above in a class token that still name the part, not what it is about: `menu-item`, but not `has-sidebar` or `social-impact`.
+NEUTRAL = set("main top bottom left right inner outer box block list item items link links bar button buttons icon icons wrapper wrap container area section content contents group row col "
+              "column panel unit slot zone space site page post posts entry article articles story stories primary secondary global mobile desktop fixed sticky small large latest more also us this".split())
+REMARKS = {"comment", "comments", "commentlist", "disqus", "discussion", "reply", "replies", "respond"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: A list outside articles is a menu if links are over this part of its text. A part removed by its class stays if it holds so many times the text of all else.
+MENU, MOST, DEPTH = 0.8, 9, 8
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -55,26 +64,37 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSE = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
-def _boilerplate(name: str, attrs: str, in_main: bool, rules: int) -> bool:
-    """Whether an element is boilerplate. rules: 2 all, 1 without class words, 0 none."""
+def _named(value: str) -> set[str]:
+    """The boilerplate words of the class tokens that consist of such words and neutral ones."""
+    found = set()
+    for token in value.split():
+        words = {w.lower() for w in _PART.findall(token) if not w.isdigit()}
+        if words <= WORDS | NEUTRAL:
+            found |= words & WORDS
+    return found
+
+
+def _boilerplate(name: str, attrs: str, in_main: bool, rules: int) -> str:
+    """Why an element is boilerplate: `element`, `class`, `remarks` (a class of reader comments), or empty. rules: 2 all, 1 without class words, 0 none."""
     if rules and (name in BOILER or name == "header" and not in_main):
-        return True
+        return "element"
     if not rules or not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return ""
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value) or key == "role" and value.lower() in ROLES and not (in_main and value == "banner"):
-            return True
+            return "element"
         if rules > 1 and key in ("class", "id"):
-            words = {w.lower() for w in _PART.findall(value)} & WORDS
-            if words - ({"header"} if in_main else set()):
-                return True
-    return False
+            words = _named(value) - ({"header", "masthead"} if in_main or name in HEADINGS else set())
+            if words:
+                return "remarks" if words & REMARKS else "class"
+    return ""
 
 
-def lines(page: str, rules: int = 2) -> tuple[list[tuple[str, float, int]], int]:
+def lines(page: str, rules: int = 2, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, float, int]], int, list[tuple[int, int]]]:
     """(text, weight, number of the article or main element around it or 0) of each line, with empty lines for borders
-    and removed parts; and the length of the longest article inside a removed part."""
+    and removed parts; the length of the longest article inside a removed part; and (length, number) of the parts removed by class,
+    but for reader comments. Elements whose number is spared are not removed by class."""
     out: list[tuple[str, float, int]] = []
     text: list[str] = []
     links = at = 0
@@ -83,6 +103,10 @@ def lines(page: str, rules: int = 2) -> tuple[list[tuple[str, float, int]], int]
     dropped = main = link = inner = None  # positions in the stack; inner: an article in a removed part
     opened = articles = size = lost = 0
     place = None  # (id, its parent's id, name, whether the parent is the body) of the element that holds the last line
+    lists: list[tuple[int, int]] = []  # (position in the stack, first line) of open lists outside articles
+    heads: list[int] = []  # lines of headings
+    parts: list[tuple[int, int]] = []
+    named = weight = 0  # number and length of the open part that is removed by its class
     removed: list[tuple[int, bool, bool]] = []  # (id of the parent, by class, whether that is the body) of parts since the last line
     end = len(page)
 
@@ -111,6 +135,8 @@ def lines(page: str, rules: int = 2) -> tuple[list[tuple[str, float, int]], int]
                     out.extend([("", 0.0, 0)] * WINDOW)
                 removed.clear()
                 place = here
+                if here[2] in HEADINGS:
+                    heads.append(len(out))
                 out.append((line, max(1.0, len(line) - (1 - LINK) * min(links, len(line))), articles if main is not None else 0))
         links = 0
 
@@ -120,15 +146,28 @@ def lines(page: str, rules: int = 2) -> tuple[list[tuple[str, float, int]], int]
 
     def pop(k):
         """End the element at k of the stack and all in it."""
-        nonlocal dropped, link, main, inner, lost
+        nonlocal dropped, link, main, inner, lost, named, weight
         if inner is not None and k <= inner:
             inner, lost = None, max(lost, size)
         if dropped is not None and k <= dropped:
             dropped = None
+            if named:
+                parts.append((weight, named))
+            named = weight = 0
         if dropped is None and any(x in BLOCK for x in stack[k:]):
             flush()
         if link is not None and k <= link:
             link = None
+        while lists and k <= lists[-1][0]:
+            first = lists.pop()[1]
+            menu = [x for x in out[first:] if x[0]]
+            total = sum(len(x[0]) for x in menu)
+            if main is None and len(menu) > 1 and total - sum(x[1] for x in menu) > MENU * (1 - LINK) * total:
+                if heads and heads[-1] == first - 1:  # the heading of a menu goes with it
+                    first -= 1
+                del out[first:]
+                heads[:] = [x for x in heads if x < first]
+                out.extend([("", 0.0, 0)] * WINDOW)
         if main is not None and k <= main:
             flush()
             main = None
@@ -151,8 +190,9 @@ def lines(page: str, rules: int = 2) -> tuple[list[tuple[str, float, int]], int]
             text.append(page[at:i])
             if link is not None:
                 links += i - at
-        elif inner is not None:
-            size += len(page[at:i].strip())
+        elif inner is not None or named:
+            n = len(page[at:i].strip())
+            size, weight = size + n, weight + n
         if i == end:
             break
         if page.startswith("<!--", i):
@@ -204,19 +244,24 @@ def lines(page: str, rules: int = 2) -> tuple[list[tuple[str, float, int]], int]
                 inner, size = len(stack), 0
             elif dropped is None and name in UNSEEN:
                 dropped = len(stack)
-            elif dropped is None and _boilerplate(name, attrs, main is not None, rules):
+            elif dropped is None and (why := _boilerplate(name, attrs, main is not None, rules)) and (why == "element" or opened not in spared):
                 flush()
                 dropped = len(stack)
+                named, weight = opened if why == "class" else 0, 0
                 if main is None:  # a part taken out of an article doesn't split it
                     removed.append((top()[0], name not in BOILER and name != "header", not stack or stack[-1] in ("html", "body")))
             elif name == "a" and link is None:
                 link = len(stack)
+            if name in ("ul", "ol") and rules and dropped is None and main is None:
+                lists.append((len(stack), len(out)))
             if name in TRACKED or dropped == len(stack):
                 stack.append(name)
                 ids.append(opened)
     if dropped is None:
         flush()
-    return out, max(lost, size if inner is not None else 0)
+    elif named:
+        parts.append((weight, named))
+    return out, max(lost, size if inner is not None else 0), parts
 
 
 def _surging(size: np.ndarray) -> np.ndarray:
@@ -249,9 +294,17 @@ def kept(found: list[tuple[str, float, int]]) -> list[str]:
 
 
 def extract(page: str | None) -> str:
+    spared: frozenset[int] = frozenset()
     for rules in (2, 1, 0):
-        found, lost = lines(page or "", rules)
+        found, lost, parts = lines(page or "", rules, spared)
         text = " ".join(kept(found))
+        for _ in range(DEPTH):
+            size, number = max(parts, default=(0, 0))
+            if size <= MOST * len(text) or not size:
+                break
+            spared |= {number}  # a wrapper of the page
+            found, lost, parts = lines(page or "", rules, spared)
+            text = " ".join(kept(found))
         if text and (not rules or len(text) >= SURGE * lost):
             return text
     return text

@@ -86,3 +86,24 @@ def test_adverts_do_not_split_the_text_of_their_parent():
     # a part between other parts than paragraphs still splits
     assert hx.extract(f"<body><div>Site name</div><nav>n</nav><div><p>{long}</p></div><footer>f</footer><div>Imprint</div></body>") == long
     assert hx.lines("<div><p>one <button>x</p>two</div>")[0] == [("one", 3.0, 0), ("two", 3.0, 0)]
+
+
+def test_class_tokens_and_wrappers():
+    body, side = " ".join(["The body of the page stands in a plain div and is long."] * 8), "Read these other pages of ours today."
+    for name in ("content-with-sidebar", "has-sidebar", "no-ads", "menu-open", "menu-content", "page-menu", "sidebar"):  # wrappers, some named like boilerplate
+        page = f"<body><div class='{name}'><h1>Head</h1><p>{body}</p><div class='sidebar left'><p>{side}</p></div><div id=comments><p>{side}</p></div></div></body>"
+        assert hx.extract(page) == f"Head {body}", name
+    assert hx.extract(f"<div class='menu-page'><div class='main-menu'><p>{body}</p></div></div>") == body
+    assert hx.extract(f"<article><p>{body}</p><div class='social-impact'><p>{side}</p></div><div class='social-links'><p>x</p></div></article>") == f"{body} {side}"
+    assert hx.extract(f"<div><h1 class='entry-header'>Head</h1><p>{body}</p></div>") == f"Head {body}"
+    remarks = f"<div class='post-comments'>{'<p>' + body + ' says a reader</p>' * 40}</div>"
+    assert hx.extract(f"<div><h1>Head</h1><p>{side}</p></div>{remarks}") == f"Head {side}"
+
+
+def test_lists_of_links_outside_articles():
+    body = " ".join(["The body of the page stands in a plain div and is long."] * 3)
+    menu = "<ul><li><a href=1>One page</a><li><a href=2>Two pages</a><li><a href=3>Three</a></ul>"
+    assert hx.extract(f"{menu}<div><h2>Head</h2><p>{body}</p><h3>More</h3>{menu}</div>") == f"Head {body}"
+    assert hx.extract(f"<div><p>{body}</p><ul><li>One thing<li>Another <a href=x>thing</a></ul></div>") == f"{body} One thing Another thing"
+    assert hx.extract(f"<article><p>{body}</p><h3>Sources</h3>{menu}</article>") == f"{body} Sources One page Two pages Three"
+    assert hx.extract(menu) == "One page Two pages Three"
