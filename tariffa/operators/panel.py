@@ -34,16 +34,19 @@ def status_breakdown(panel: DataFrame, keys=("property",)) -> DataFrame:
 
 
 def ingest_counts(panel: DataFrame) -> DataFrame:
-    """Long diagnostics: rows per status, per property for two statuses, distinct stays."""
-    by_status = panel.groupBy(F.lit("status").alias("what"), F.col("availability_status").alias("name")).count()
-    marks = F.col("availability_status").isin("not_loaded", "sold_out")
-    by_property = panel.where(marks).groupBy(
-        F.concat(F.col("availability_status"), F.lit("_by_property")).alias("what"), F.col("property").alias("name")
-    ).count()
-    stays = panel.where(F.col("length_of_stay_nights").isNotNull()).groupBy(
-        F.lit("length_of_stay").alias("what"), F.col("length_of_stay_nights").cast("string").alias("name")
-    ).count()
-    return by_status.unionByName(by_property).unionByName(stays).withColumnRenamed("count", "n")
+    """Long diagnostics: rows per status, per property for two statuses, distinct stays.
+
+    One pass: rows are counted by status, property and stay first, and these few counts are laid out as lines.
+    """
+    few = panel.groupBy("availability_status", "property", "length_of_stay_nights").agg(F.count(F.lit(1)).alias("n"))
+    marked = F.col("availability_status").isin("not_loaded", "sold_out")
+    def line(what, name, when):
+        return F.when(when, F.struct(what.alias("what"), F.col(name).cast("string").alias("name"), "n"))
+    lines = F.array(
+        line(F.lit("status"), "availability_status", F.lit(True)),
+        line(F.concat("availability_status", F.lit("_by_property")), "property", F.coalesce(marked, F.lit(False))),
+        line(F.lit("length_of_stay"), "length_of_stay_nights", F.col("length_of_stay_nights").isNotNull()))
+    return few.select(F.inline(F.filter(lines, lambda x: x.isNotNull()))).groupBy("what", "name").agg(F.sum("n").alias("n"))
 
 
 def first_per_date(rows: DataFrame, order, columns, keys=("property", "arrival_date")) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from tariffa.operators import ingest
-from tariffa.sources import readers
+from tariffa import fixed_values as fv
+from tariffa.operators import ingest, panel as P
+from tariffa.sources import readers, writers
 from tariffa.streaming import feeds
 
 HEAD = "Date,Market demand,Market OTB,Hotel A,Hotel B"
@@ -90,3 +91,19 @@ def test_an_unknown_header_stops_the_stream_before_any_cell(spark, tmp_path):
     drop(src, "b.csv", "Date,Market demand,Hotel A\n46150,0.5,1\n")
     with pytest.raises(StreamingQueryException, match="missing .Market OTB."):
         run(drop=["Hotel C"], tier="any")
+
+
+def test_counts_observed_while_writing_equal_those_of_the_panel(spark, tmp_path):
+    (tmp_path / "a_2026-05-08_los3_x.csv").write_text(f'{HEAD}\n46150,0.5,0.4,199,Sold out\nTotal,,,1,2\n46151,0.5,0.4,LOS2,Mystery\n46152,,,--,--\n')
+    (tmp_path / "b_2026-05-09_los1_x.csv").write_text("Hotel B,Date,Market OTB,Market demand\nMystery,46150,0.4,0.5\n,0\n")
+    rows = readers.read_sheets(spark, str(tmp_path / "*.csv"))
+    got = writers.write_sheets(rows, SLUGS, "booking", str(tmp_path / "panel"))
+    stored = readers.read_panel(spark, str(tmp_path / "panel"))
+    counts = {(r.what, r.name): r.n for r in P.ingest_counts(stored).collect()}
+    assert (got["n_sheet_rows"], got["n_undated"], got["n_rows"]) == (6, 2, 7) and stored.count() == 7
+    assert {s: got[f"n_{s}"] for s in fv.STATUSES} == {s: counts.get(("status", s), 0) for s in fv.STATUSES}
+    assert got["n_unknown"] == sum(n for (what, s), n in counts.items() if what == "status" and s.startswith(fv.UNKNOWN_STATUS_PREFIX)) == 2
+    assert sum(r.n for r in ingest.unknown_statuses(stored).collect()) == got["n_unknown"]
+    assert counts[("sold_out_by_property", "b")] == 1 and counts[("not_loaded_by_property", "a")] == 1 and counts[("length_of_stay", "3")] == 6
+    plan = P.ingest_counts(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
