@@ -70,9 +70,11 @@ def pages_df(s, d):
     return fx.load(s, d, "page_text")
 
 
+GATE = {"subject_properties": ["src1", "src2", "src3", "src4"], "expected": (("direct", 1), ("booking", 2), ("hotels_com", 2)), "detailed_properties": ["src5", "src6"]}
+
+
 def gated(s, d):
-    return G.gate(captures(s, d), subject_properties=["src1", "src2", "src3", "src4"], expected=(("direct", 1), ("booking", 2), ("hotels_com", 2)),
-                  detailed_properties=["src5", "src6"])
+    return G.gate(captures(s, d), **GATE)
 
 
 def flat(s, d):
@@ -236,6 +238,9 @@ add("kept_rows", lambda s, d: C.quote_rows(C.flatten(gated(s, d).where("keep = '
  UNION ALL SELECT doc_id, name_b, '', NULL, NULL, false, 'FAIL_NO_BARE_NON_REF', 'FAIL_NO_BARE_NON_REF', NULL, NULL, missed_penthouse FROM b JOIN k USING (doc_id) WHERE n_rooms >= 2)
 SELECT 'https://rates.example/' || doc_id AS source_url, room AS scraped_marketing_name, label AS rate_plan_label, rate AS rate_per_night_usd, refundable, is_bar, status, bucket AS rate_plan_canonical,
  bundles AS bundle_inclusions, sp AS strikethrough_pct, CASE WHEN missed_penthouse THEN 'penthouse' ELSE '' END AS missed_patterns FROM x""")
+add("capture_rows", lambda s, d: G.capture_rows(captures(s, d), **GATE).select(*KEPT), Q["kept_rows"][1] + """ UNION ALL
+SELECT 'https://rates.example/' || doc_id, '', '', NULL, NULL, false, status, CASE status WHEN 'no_inventory' THEN 'NO_INVENTORY' ELSE status END, NULL, NULL, reason
+ FROM g4 WHERE status IN ('no_inventory','FAIL_ROOM_COUNT_SHORT')""")
 add("smoke_summary", lambda s, d: G.smoke_summary(captures(s, d).withColumn("nights", F.col("doc_id")), 2).select(
     F.col("nights").alias("doc_id"), "status", "n_rooms", F.array_join("sample_rates.marketing_name", ",").alias("rooms"), F.array_join("notes", "|").alias("notes")), GATES + """
 SELECT doc_id, CASE WHEN sig IS NOT NULL THEN 'bot_blocked' WHEN n_rooms = 0 AND coalesce(empty_class = 'PASS_NO_INVENTORY', false) THEN 'no_inventory' WHEN n_rooms = 0 THEN 'url_broken' WHEN n_rooms < 2 THEN 'extraction_incomplete' ELSE 'ok' END AS status,
