@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tariffa.session import work_folder
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot if it holds over this part of all rows; so there are at most as many hot keys.
 HOT_SHARE = 1000
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that the cluster names in spark.checkpoint.dir.
-
-    Where that is unset, as in tests on one machine, a temporary folder of the session is used.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tariffa-llm-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: A new folder in the place that the cluster names in spark.checkpoint.dir; unset, it is allowed only in a session of one process.
+shared_folder = work_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,12 @@ document to document, with a gap). The table of segments is written to the share
 
 A phrase is looked up in each segment from its rarest term: its list, moved by the term's offset, is intersected
 with the moved lists of the next rarer terms. With a slop, a term may stand that many words off its place, which
-gives proximity matches. Test items are sent to the segments in blocks of at most BLOCK bytes of text.
+gives proximity matches.
+
+Which segments an item is looked up in is decided by a join: every window of an item is anchored at its word that is rarest in the
+whole index, and (item, segment) pairs are those whose segment holds an anchor. So an item meets only segments that may hold
+it, a window with a word that no document has meets none, and neither items nor terms go through the driver or a broadcast. The items of a segment
+are streamed to the task that has it open.
 
 Defined results: a null or empty text has no words; an item without words has no window. Items that share an
 id are one item. A null item id counts as the empty string. Repeated documents return repeatedly. Extra columns are not read.
@@ -18,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tariffa.llm.common import free, stored, table
+from tariffa.llm.common import free, lookup, stored, table
 
 WINDOW, SHARE = 13, 20
-SEGMENT, BLOCK, GAP = 4_000_000, 8_000_000, 64
+SEGMENT, GAP = 4_000_000, 64
 KEPT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 INDEX = "segment string, doc_ids array<long>, n_words array<int>, terms binary, starts binary, positions binary"
 
@@ -46,30 +52,32 @@ def _packed(ids: list, lengths: list[int], code: np.ndarray, terms: dict, name:
         ["segment", "doc_ids", "n_words", "terms", "starts", "positions"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _segments(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    ids, lengths, codes, terms, size, k = [], [], [], {}, 0, 0
-    task = TaskContext.get().partitionId()
-    for b in batches:
-        for i, x in zip(b.column(0).to_pylist(), b.column(1)):
-            text = x.as_buffer().to_pybytes() if x.is_valid else b""
-            own = words(text)
-            ids.append(i)
-            lengths.append(len(own))
-            codes.append(np.fromiter((terms.setdefault(w, len(terms)) for w in own), np.int64, len(own)))
-            size += len(text)
-            if size >= SEGMENT:
-                yield _packed(ids, lengths, np.concatenate(codes), terms, f"{task}-{k}")
-                ids, lengths, codes, terms, size, k = [], [], [], {}, 0, k + 1
-    if ids:
-        yield _packed(ids, lengths, np.concatenate(codes), terms, f"{task}-{k}")
-
-
-def build_index(docs: DataFrame) -> DataFrame:
-    """Write the positional index of all tokens of docs; returns the table of segments."""
+        ids, lengths, codes, terms, size, k = [], [], [], {}, 0, 0
+        task = TaskContext.get().partitionId()
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                text = x.as_buffer().to_pybytes() if x.is_valid else b""
+                own = words(text)
+                ids.append(i)
+                lengths.append(len(own))
+                codes.append(np.fromiter((terms.setdefault(w, len(terms)) for w in own), np.int64, len(own)))
+                size += len(text)
+                if size >= most:
+                    yield _packed(ids, lengths, np.concatenate(codes), terms, f"{task}-{k}")
+                    ids, lengths, codes, terms, size, k = [], [], [], {}, 0, k + 1
+        if ids:
+            yield _packed(ids, lengths, np.concatenate(codes), terms, f"{task}-{k}")
+    return run
+
+
+def build_index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Write the positional index of all tokens of docs; returns the table of segments of about so many bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return stored(rows.mapInArrow(_segments, INDEX), "postings")
+    return stored(rows.mapInArrow(_segments(segment), INDEX), "postings")
 
 
 class Segment:
@@ -125,57 +133,105 @@ def find(seg: Segment, item: list[bytes], slop: int = 0, window: int = WINDOW) -
     return first, first + k
 
 
-def _search(shared, slop: int):
+def _term(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+def _segment_terms(batches):
+    """(h, segment, n): the terms of each segment and how many tokens they have there."""
+    for b in batches:
+        for name, terms, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            h = np.array([_term(t) for t in terms.split()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([name] * len(h), pa.string()), pa.array(np.diff(np.frombuffer(starts, np.int32)).astype(np.int64))], ["h", "segment", "n"])
+
+
+def _item_terms(batches):
+    """(h, iid, at) of every word of items (iid, text)."""
+    for b in batches:
+        for iid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            h = np.array([_term(w) for w in words(text)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([iid] * len(h), pa.string()), pa.array(np.arange(len(h)))], ["h", "iid", "at"])
+
+
+def _anchors(window: int):
+    """(iid, h): the rarest term of each window of the items, from rows (iid, w) with w the (at, h, n) of all words."""
+    def run(batches):
+        for b in batches:
+            for iid, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = sorted((x["at"], x["h"], x["n"]) for x in w)
+                h, n, k = np.array([x[1] for x in w]), np.array([x[2] for x in w]), min(window, len(w))
+                view = np.lib.stride_tricks.sliding_window_view(n, k)
+                rarest = np.unique((view.argmin(axis=1) + np.arange(len(view)))[view.min(axis=1) > 0])
+                own = np.unique(h[rarest])
+                yield pa.RecordBatch.from_arrays([pa.array([iid] * len(own), pa.string()), pa.array(own, pa.int64())], ["iid", "h"])
+    return run
+
+
+def meeting(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(segment, iid) of all segments that may hold a window of an item (iid, text)."""
+    there = index.select("segment", "terms", "starts").mapInArrow(_segment_terms, "h long, segment string, n long")
+    own = stored(items.select("iid", F.col("text").cast("binary").alias("text")).mapInArrow(_item_terms, "h long, iid string, at long"), "item-terms")
+    used = own.groupBy("h").agg(F.count(F.lit(1)).alias("rows"))
+    postings = stored(there.join(used.select("h"), "h", "left_semi"), "item-postings")
+    entries = postings.groupBy("h").agg(F.sum("n").alias("n")).join(used, "h")
+    counted = lookup(own, entries, "h", "rows", own.count(), F.xxhash64("iid", "at"))
+    whole = counted.groupBy("iid").agg(F.collect_list(F.struct("at", "h", F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("w"))
+    anchors = whole.mapInArrow(_anchors(window), "iid string, h long")
+    return anchors.join(postings.select("h", "segment"), "h").select("segment", "iid").distinct()
+
+
+def _search(slop: int, window: int):
+    """Rows sorted by segment: the segment itself first, then the items to look up in it."""
+    def ended(row, spans, found):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row["segment"]] * len(spans)), pa.array(range(len(spans)), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()),
+             pa.array([[{"a": a, "b": e} for a, e in sorted(set(s))] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+             pa.array([sorted(f) for f in found], pa.list_(pa.string()))], ["segment", "k", "doc_id", "n_words", "spans", "items"])
+
     def run(batches):
-        items = shared.value
+        row = seg = None
         for b in batches:
-            for row in b.to_pylist():
-                seg = Segment(row)
-                spans = [[] for _ in row["doc_ids"]]
-                found = [set() for _ in row["doc_ids"]]
-                for item_id, item in items:
-                    first, end = find(seg, item, slop)
-                    if len(first):
-                        d = np.searchsorted(seg.base, first, "right") - 1
-                        for k, lo, hi in zip(d.tolist(), (first - seg.base[d]).tolist(), (end - seg.base[d]).tolist()):
-                            found[k].add(item_id)
-                            spans[k].append((max(lo, 0), min(hi, int(seg.n[k]))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["segment"]] * len(spans)), pa.array(range(len(spans)), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()),
-                     pa.array([[{"a": a, "b": e} for a, e in sorted(set(s))] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                     pa.array([sorted(f) for f in found], pa.list_(pa.string()))], ["segment", "k", "doc_id", "n_words", "spans", "items"])
+            for at in range(len(b)):
+                own = {c: b.column(k)[at].as_py() for k, c in enumerate(b.schema.names)}
+                if own["item_id"] is None:
+                    if row is not None:
+                        yield ended(row, spans, found)
+                    row, seg = own, None
+                    spans, found = [[] for _ in row["doc_ids"]], [set() for _ in row["doc_ids"]]
+                    continue
+                seg = seg or Segment(row)  # opened once an item is there
+                first, end = find(seg, words(own["text"].encode()), slop, window)
+                if len(first):
+                    d = np.searchsorted(seg.base, first, "right") - 1
+                    for k, lo, hi in zip(d.tolist(), (first - seg.base[d]).tolist(), (end - seg.base[d]).tolist()):
+                        found[k].add(own["item_id"])
+                        spans[k].append((max(lo, 0), min(hi, int(seg.n[k]))))
+        if row is not None:
+            yield ended(row, spans, found)
     return run
 
 
 HITS = "segment string, k int, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def search(index: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, slop: int = 0, window: int = WINDOW) -> DataFrame:
     """Per document of the index: the spans (a, b) where windows of items (item_id, text) stand, and those items' ids.
 
     slop 0 gives exact phrases; else each term may stand that many words (at most GAP - WINDOW) off its place.
     """
-    spark = index.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK) or 1
-    parts = []
-    for i in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        block = [(r["item_id"], words(r["text"].encode())) for r in own.toLocalIterator()]
-        parts.append(index.mapInArrow(_search(spark.sparkContext.broadcast(block), slop), HITS))
-    if blocks == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("segment", "k", "doc_id", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-
-
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    item_id, text = F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = items.select(item_id.alias("item_id"), text.alias("text")).distinct()
+    own = stored(own.withColumn("iid", F.md5(F.concat(F.length("item_id").cast("string"), F.lit(":"), "item_id", "text").cast("binary"))), "items")
+    asked = meeting(index, own, window).join(own, "iid").select("segment", "item_id", "text")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields if f.name != "segment"}
+    rows = index.select("*", F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("string").alias("text")).unionByName(asked.select("segment", *none.values(), "item_id", "text"))
+    laid = rows.repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("item_id"))
+    return laid.mapInArrow(_search(slop, window), HITS)
+
+
+def contamination(docs: DataFrame, items: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """segment, k, doc_id, n_words, n_hit, items, contaminated of every document."""
-    out = search(build_index(docs), items)
+    out = search(build_index(docs, segment), items)
     covered = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'to', 0), (c, s) -> named_struct("
                      "'n', c.n + greatest(0, s.b - greatest(s.a, c.to)), 'to', greatest(c.to, s.b)), c -> c.n)")
     out = out.withColumn("n_hit", covered).withColumn("items", F.array_sort(F.array_distinct("items")))

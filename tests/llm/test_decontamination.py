@@ -18,16 +18,15 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-def test_awkward_rows_equal_brute_force(spark, docs, no_docs, monkeypatch):
+def test_awkward_rows_equal_brute_force(spark, docs, no_docs):
     phrase = [f"t{i}" for i in range(40)]
     extra = [(100, "x " + " ".join(phrase[3:20]) + " y " + " ".join(phrase[20:32]) + " z ONE!"), (101, " ".join(phrase + phrase)), (102, "t0 " * 50), (103, "one one, One")]
     rows = spark.createDataFrame(extra, "doc_id long, text string").unionByName(docs.where("doc_id is null or doc_id not in (7, 8)").select("doc_id", "text"))
     items = [("a", " ".join(phrase)), ("a", "lazy-dog"), ("b", "ONE"), ("c", None), ("d", "..."), (None, "wörds Ünïcode"), ("e", "t0 " * 14), ("f", "absent " + " ".join(phrase[:11])), ("b", "ONE")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = brute([(r[0], r[1]) for r in rows.collect()], items)
-    for block in (dc.BLOCK, 60):  # the small size sends the items in several blocks
-        monkeypatch.setattr(dc, "BLOCK", block)
-        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in dc.contamination(rows, bench).collect()), key=str)
+    for size in (dc.SEGMENT, 60):  # the small size cuts the index into many segments
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in dc.contamination(rows, bench, size).collect()), key=str)
         assert got == want
     assert dc.contamination(no_docs, bench).collect() == []
     assert all(r["n_hit"] == 0 for r in dc.contamination(rows, bench.limit(0)).collect())
@@ -48,3 +47,16 @@ def test_proximity(spark):
     item = spark.createDataFrame([("a", text)], "item_id string, text string")
     near = {s: sorted(r["doc_id"] for r in dc.search(index, item, s).collect() if r["items"]) for s in (0, 1, 4)}
     assert near == {0: [3], 1: [1, 3], 4: [1, 3]}  # measured from the rarest term, so a reversed phrase lies further off
+
+
+def test_items_meet_only_segments_that_may_hold_them(spark):
+    rows = spark.createDataFrame([(i, f"common words here and own{i}") for i in range(20)] + [(50, "common"), (51, None)], "doc_id long, text string").coalesce(2)
+    index = dc.build_index(rows, 1)  # a segment a document, but for those without text
+    items = [("rare", "here and own3"), ("absent", "own3 and nowhere"), ("all", "common words"), ("two", "own4 " + "x " * 12 + "own5"), ("none", "")]
+    df = spark.createDataFrame([(i, i, t) for i, t in items], "iid string, item_id string, text string")
+    met = {}
+    for r in dc.meeting(index, df).collect():
+        met.setdefault(r["iid"], set()).add(r["segment"])
+    assert {k: len(v) for k, v in met.items()} == {"rare": 1, "all": 20}
+    got = {r["doc_id"]: r["items"] for r in dc.search(index, df).collect() if r["items"]}
+    assert got == {i: ["all", "rare"] if i == 3 else ["all"] for i in range(20)}
