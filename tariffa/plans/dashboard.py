@@ -8,7 +8,7 @@ from tariffa.operators import panel as P, quotes as Q, series as S, spread as X,
 
 
 def panel_results(panel: DataFrame, subject: str, peers, order, source=None, tier=None, quarters=()) -> dict:
-    """Named result frames of the panel. Nothing runs until they are written."""
+    """Named result frames of the panel. Only the ranked verdicts are laid out at once; all else runs when it is written."""
     everyone = [subject, *peers]
     scoped = P.panel_slice(panel, source, tier, available=False)
     rows = P.panel_slice(scoped)
