@@ -239,9 +239,10 @@ def contamination(docs: DataFrame, items: DataFrame, segment: int = SEGMENT) ->
 
 
 def kept_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. Verdicts are joined by a hash of id and text."""
+    """The documents that aren't contaminated, with all their columns. Verdicts are joined by a hash of id and text; they are
+    stored first, so that Spark knows their size and shuffles the documents only where they are many."""
     key = F.xxhash64("doc_id", "text")
-    bad = contamination(docs.select(key.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = stored(contamination(docs.select(key.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "verdicts")
     name = free(docs, "_key")
     return docs.withColumn(name, key).join(bad.withColumnRenamed("_bad", f"{name}_bad"), F.col(name) == F.col(f"{name}_bad"), "left_anti").select(*docs.columns)
 
