@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tariffa import fixed_values as fv
 from tariffa.functions import cells, stats
 from tariffa.functions.text import fields_contain
-from tariffa.operators.rank import describe, exact_median, first_row, ranked
+from tariffa.operators.rank import describe, exact_median, first_row, ranked, weighted
 
 
 def _matches(name: str, wanted) -> Column:
@@ -164,14 +164,14 @@ def explorer_feed(rows: DataFrame, labels: dict, channel="direct") -> DataFrame:
         "rate_usd", "room_tier", F.lit(channel).alias("channel"))
 
 
-def explorer_profile(rows: DataFrame) -> DataFrame:
+def explorer_profile(rows: DataFrame, weight=None) -> DataFrame:
     """Count, range, median and distinct dates per property."""
     per_date = rows.groupBy("property", "arrival_date").agg(
-        F.count(F.lit(1)).alias("n"), F.min("rate_usd").alias("lo"), F.max("rate_usd").alias("hi"))
+        weighted(weight).alias("n"), F.min("rate_usd").alias("lo"), F.max("rate_usd").alias("hi"))
     plain = per_date.groupBy("property").agg(
         F.sum("n").alias("n"), F.min("lo").alias("min_usd"), F.max("hi").alias("max_usd"),
         F.count(F.lit(1)).alias("n_dates"))
-    return plain.join(exact_median(rows, ["property"], {"median_usd": "rate_usd"}), "property", "left")
+    return plain.join(exact_median(rows, ["property"], {"median_usd": "rate_usd"}, weight=weight), "property", "left")
 
 
 def quarter_lines(rows: DataFrame, ranges) -> DataFrame:

@@ -46,7 +46,17 @@ def _holding(histogram: DataFrame, by, order: str, before, ranks: dict, also: Co
 MERGE = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
-def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False, merged: dict | None = None) -> DataFrame:
+def weight_of(weight) -> Column:
+    """How many rows a row stands for: one, or the column named."""
+    return F.lit(1) if weight is None else F.col(weight)
+
+
+def weighted(weight, when: Column | None = None) -> Column:
+    """The number of rows (for which `when` is true) that a group of weighted rows stands for."""
+    return F.coalesce(F.sum(weight_of(weight) if when is None else F.when(when, weight_of(weight))), F.lit(0)).cast("long")
+
+
+def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False, merged: dict | None = None, weight=None) -> DataFrame:
     """Exact values at given ranks.
 
     `values` maps a name to a column; `ranks` maps a suffix to a function from the
@@ -63,6 +73,8 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False,
 
     `merged` (fine keys and one value only) maps a name to (column, "min", "max" or "sum"): plain aggregates of the same groups
     in the same pass, over all their rows. Then groups without a value are there too, with null ranks.
+
+    `weight` names a column of positive whole numbers: a row then counts as that many equal rows.
     """
     merged = merged or {}
     if merged and not (fine and len(values) == 1):
@@ -70,32 +82,33 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False,
     keys = list(keys)
     cols = {name: F.col(c) if isinstance(c, str) else c for name, c in values.items()}
     key = F.struct(*[F.col(k) for k in keys])
+    times = [] if weight is None else [F.col(weight).cast("long").alias("_times")]
     if len(cols) == 1:
         (only, c), = cols.items()
-        rows = df.select(F.struct(key.alias("k")).alias("_k"), F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias("_v"), *[x.alias(f"_m_{n}") for n, (x, _) in merged.items()])
+        rows = df.select(F.struct(key.alias("k")).alias("_k"), F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias("_v"), *times, *[x.alias(f"_m_{n}") for n, (x, _) in merged.items()])
     else:
         only = None
-        rows = df.select(key.alias("_g"), F.inline(F.array(*[
+        rows = df.select(key.alias("_g"), *times, F.inline(F.array(*[
             F.struct(F.lit(name).alias("_metric"), c.cast("double").alias("_v")) for name, c in cols.items()]))).select(
-            F.struct(F.col("_g").alias("k"), F.col("_metric").alias("metric")).alias("_k"), "_v")
+            F.struct(F.col("_g").alias("k"), F.col("_metric").alias("metric")).alias("_k"), "_v", *([] if weight is None else ["_times"]))
     if not merged:
         rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     # never null, so that a join adds no filter to one of its sides and the shuffles stay alike
     rows = rows.withColumn("_bucket", F.coalesce(value_bucket(F.col("_v")), F.lit(0).cast("long")))
+    many = (F.count("_v") if weight is None else F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_times"))), F.lit(0))).alias("_w")
     total = F.sum("_n").over(Window.partitionBy("_k")).alias("_total")
     put = [MERGE[how](f"_m_{n}").alias(f"_m_{n}") for n, (_, how) in merged.items()]
     if fine:
-        counted = rows.repartition("_k", "_bucket").groupBy("_k", "_bucket", "_v").agg(F.count("_v").alias("_w"), *put)
+        counted = rows.repartition("_k", "_bucket").groupBy("_k", "_bucket", "_v").agg(many, *put)
         whole = [MERGE[how](f"_m_{n}").over(Window.partitionBy("_k")).alias(f"_all_{n}") for n, (_, how) in merged.items()]
         histogram = counted.groupBy("_k", "_bucket").agg(F.sum("_w").alias("_n"), *put).select("_k", "_bucket", "_n", total, *whole)
         wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks, F.col("_total") == 0 if merged else None).select(
             "_k", "_bucket", F.col("_start").alias("_before"), "_total", *[f"_all_{n}" for n in merged])
-        counted = counted.drop(*[f"_m_{n}" for n in merged])
         near, inside = counted.join(wanted, ["_k", "_bucket"]), ["_k", "_bucket"]
     else:
-        histogram = rows.groupBy("_k", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")).select("*", total)
+        histogram = rows.groupBy("_k", "_bucket").agg(many.alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")).select("*", total)
         wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks).select("_k", "_bucket", F.col("_start").alias("_base"), "_total", "_min", "_max")
-        counted = rows.join(wanted, ["_k", "_bucket"]).groupBy("_k", "_bucket", "_base", "_total", "_min", "_max", "_v").agg(F.count(F.lit(1)).alias("_w"))
+        counted = rows.join(wanted, ["_k", "_bucket"]).groupBy("_k", "_bucket", "_base", "_total", "_min", "_max", "_v").agg(many)
         part = F.coalesce(F.least(F.floor(F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min")) * PARTS), F.lit(PARTS - 1).cast("long")), F.lit(0).cast("long"))
         counted = counted.withColumn("_part", part)
         parts = counted.groupBy("_k", "_bucket", "_base", "_total", "_part").agg(F.sum("_w").alias("_n"))
@@ -107,30 +120,31 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False,
         .alias(name + suffix)
         for name in cols for suffix, fn in ranks.items()
     ]
-    out += [F.first(f"_all_{n}").alias(n) for n in merged]
+    # the parts are named too (they are null where the whole is), so that both uses of `counted` read one shuffle of all columns
+    out += [F.coalesce(F.first(f"_all_{n}"), F.max(f"_m_{n}")).alias(n) for n in merged]
     return counted.groupBy(F.col("_k.k").alias("_g")).agg(*out).select(*[F.col(f"_g.{k}").alias(k) for k in keys], *[n + s for n in cols for s in ranks], *merged)
 
 
-def exact_median(df: DataFrame, keys, values, fine=False, merged: dict | None = None) -> DataFrame:
+def exact_median(df: DataFrame, keys, values, fine=False, merged: dict | None = None, weight=None) -> DataFrame:
     """Exact interpolated median per group, one column for each entry of `values`, and those of `merged`."""
     values = {values: values} if isinstance(values, str) else dict(values)
     both = order_statistics(df, keys, values, {
         "_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2),
-    }, fine, merged)
+    }, fine, merged, weight)
     return both.select(*keys, *(merged or {}), *[
         ((F.col(f"{v}_lo") + F.col(f"{v}_hi")) / 2).alias(v) for v in values
     ])
 
 
-def describe(df: DataFrame, keys, aggs, medians: dict, fine=False) -> DataFrame:
+def describe(df: DataFrame, keys, aggs, medians: dict, fine=False, weight=None) -> DataFrame:
     """Plain aggregates and exact medians of the same groups, joined on the keys."""
     keys = list(keys)
     if not keys:  # one row also for empty input
         plain = df.agg(*aggs).withColumn("_all", F.lit(1))
-        middle = exact_median(df.withColumn("_all", F.lit(1)), ["_all"], medians, fine)
+        middle = exact_median(df.withColumn("_all", F.lit(1)), ["_all"], medians, fine, weight=weight)
         return plain.join(middle, "_all", "left").drop("_all")
     plain = df.groupBy(*keys).agg(*aggs)
-    return join_on(plain, exact_median(df, keys, medians, fine), keys, "left")
+    return join_on(plain, exact_median(df, keys, medians, fine, weight=weight), keys, "left")
 
 
 def first_row(df: DataFrame, keys, order, columns) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tariffa.operators.rank import weighted
 from tariffa.schemas import union_all
 
 
@@ -48,9 +49,9 @@ def _checked(df: DataFrame, rows) -> DataFrame:
 
 
 def invariants(panel: DataFrame, verdicts: DataFrame, compression: DataFrame, profile: DataFrame, explorer: DataFrame,
-               composite: DataFrame, subject: str, min_rows=1500, min_dates=360, min_cells=200) -> DataFrame:
-    """Checks on finished results as (check, value, ok) rows."""
-    per_date = panel.groupBy("arrival_date").agg(F.count(F.lit(1)).alias("n"))
+               composite: DataFrame, subject: str, min_rows=1500, min_dates=360, min_cells=200, weight=None) -> DataFrame:
+    """Checks on finished results as (check, value, ok) rows; `weight` names the panel's count column, if it has one."""
+    per_date = panel.groupBy("arrival_date").agg(weighted(weight).alias("n"))
     mine = F.col("property") == subject
     pct = F.array("subject_pct", "peer_pct")
     at = lambda c: F.max(F.when(mine, F.col(c)))

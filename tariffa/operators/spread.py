@@ -1,4 +1,7 @@
-"""Subject price against the peers' median, by demand."""
+"""Subject price against the peers' median, by demand.
+
+`weight` names the column that says how many rows a row stands for (see `price_days`); without it each counts once.
+"""
 
 from __future__ import annotations
 
@@ -8,39 +11,40 @@ from tariffa import fixed_values as fv
 from tariffa.functions.plans import demand_bucket, spread_verdict
 from tariffa.functions.text import case
 from tariffa.operators.panel import first_series, top_dates
-from tariffa.operators.rank import describe, exact_median, first_row
+from tariffa.operators.rank import describe, exact_median, first_row, weight_of, weighted
 from tariffa.operators.series import dual_baseline
 
 
-def peer_median(rows: DataFrame, peers) -> DataFrame:
+def peer_median(rows: DataFrame, peers, weight=None) -> DataFrame:
     """Per date: median and number of the peers' quoted rows (all stays pooled)."""
     return exact_median(rows.where(F.col("property").isin(*peers)), ["arrival_date"], {"peer_median_usd": "rate_usd"}, fine=True,
-                        merged={"n_peers": (F.lit(1), "sum")})
+                        merged={"n_peers": (weight_of(weight), "sum")}, weight=weight)
 
 
-def spread_rows(rows: DataFrame, subject: str, peers, keep=()) -> DataFrame:
+def spread_rows(rows: DataFrame, subject: str, peers, keep=(), weight=None) -> DataFrame:
     """One row per subject quote with known demand; a date without peers keeps a null gap."""
     mine = rows.where((F.col("property") == subject) & F.col("market_demand_frac").isNotNull())
+    dated = rows.where(F.col("arrival_date").isNotNull())  # said here, the join's own filter finds both uses of the shuffled rows alike
     return (
-        mine.select("arrival_date", "rate_usd", "market_demand_frac", *keep)
-        .join(peer_median(rows, peers), "arrival_date", "left")
+        mine.select("arrival_date", "rate_usd", "market_demand_frac", *keep, *([] if weight is None else [weight]))
+        .join(peer_median(dated, peers, weight), "arrival_date", "left")
         .withColumn("n_peers", F.coalesce("n_peers", F.lit(0)))
         .withColumn("delta_usd", F.col("rate_usd") - F.col("peer_median_usd"))
         .withColumn("bucket", demand_bucket("market_demand_frac")))
 
 
-def spread_by_bucket(spread: DataFrame) -> DataFrame:
+def spread_by_bucket(spread: DataFrame, weight=None) -> DataFrame:
     """Rows, rows with a gap, distinct dates and median gap per demand bucket."""
     per_date = spread.groupBy("bucket", "arrival_date").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("delta_usd").alias("gaps"))
+        weighted(weight).alias("rows"), weighted(weight, F.col("delta_usd").isNotNull()).alias("gaps"))
     plain = per_date.groupBy("bucket").agg(
         F.sum("rows").alias("n_rows"), F.sum("gaps").alias("n_deltas"), F.count(F.lit(1)).alias("n_dates"))
-    return plain.join(exact_median(spread, ["bucket"], {"median_delta_usd": "delta_usd"}), "bucket", "left")
+    return plain.join(exact_median(spread, ["bucket"], {"median_delta_usd": "delta_usd"}, weight=weight), "bucket", "left")
 
 
-def spread_headline(spread: DataFrame) -> DataFrame:
+def spread_headline(spread: DataFrame, weight=None) -> DataFrame:
     """Median gap on normal and high-demand rows, the move between them, and the verdict."""
-    buckets = spread_by_bucket(spread)
+    buckets = spread_by_bucket(spread, weight)
     at = lambda name, c: F.max(F.when(F.col("bucket") == name, F.col(c)))
     n = lambda name: F.coalesce(at(name, "n_deltas"), F.lit(0))
     head = buckets.agg(
@@ -54,12 +58,12 @@ def spread_headline(spread: DataFrame) -> DataFrame:
         .withColumn("label", case([(F.col("classification") == k, v) for k, v in fv.SPREAD_LABELS])))
 
 
-def collapse_dates(spread: DataFrame) -> DataFrame:
+def collapse_dates(spread: DataFrame, weight=None) -> DataFrame:
     """One point per date: medians over stays; demand, bucket and peer count as they are."""
     return describe(spread, ["arrival_date"], [
         F.min("market_demand_frac").alias("market_demand_frac"), F.min("bucket").alias("bucket"),
         F.min("n_peers").alias("n_peers")],
-        {"rate_usd": "rate_usd", "peer_median_usd": "peer_median_usd", "delta_usd": "delta_usd"}, fine=True)
+        {"rate_usd": "rate_usd", "peer_median_usd": "peer_median_usd", "delta_usd": "delta_usd"}, fine=True, weight=weight)
 
 
 # ------------------------------------------------------------------ high-bucket audit
@@ -70,12 +74,12 @@ def peer_status(panel: DataFrame, order) -> DataFrame:
                      ["availability_status", "rate_usd"])
 
 
-def audit_grid(spread: DataFrame, panel: DataFrame, peers, order) -> DataFrame:
+def audit_grid(spread: DataFrame, panel: DataFrame, peers, order, weight=None) -> DataFrame:
     """Every peer on every high-demand date, with its status or `absent_row`.
 
     The peer list is a literal of fixed size, laid out per date.
     """
-    dates = spread.where(F.col("bucket") == "high").groupBy("arrival_date").agg(F.count(F.lit(1)).alias("n_rows"))
+    dates = spread.where(F.col("bucket") == "high").groupBy("arrival_date").agg(weighted(weight).alias("n_rows"))
     grid = dates.select("*", F.explode(F.array(*map(F.lit, peers))).alias("property"))
     status = peer_status(panel.where(F.col("property").isin(*peers)), order)
     return grid.join(status, ["property", "arrival_date"], "left").withColumn(
@@ -102,25 +106,25 @@ def audit_status_tally(grid: DataFrame) -> DataFrame:
         F.sum("n_rows").alias("n_rows"))
 
 
-def audit_sensitivity(spread: DataFrame, grid: DataFrame, min_peers=4) -> DataFrame:
+def audit_sensitivity(spread: DataFrame, grid: DataFrame, min_peers=4, weight=None) -> DataFrame:
     """Median high-demand gap as it is and on dates with enough peers."""
     sizes = audit_dates(grid).select("arrival_date", "n_included")
     high = spread.where((F.col("bucket") == "high") & F.col("delta_usd").isNotNull()).join(sizes, "arrival_date")
     full = F.when(F.col("n_included") >= min_peers, F.col("delta_usd"))
     return describe(high.withColumn("full", full), [], [
-        F.count("delta_usd").alias("n_asis"), F.count("full").alias("n_full")],
-        {"delta_high_asis": "delta_usd", "delta_high_full": "full"}).withColumn(
+        weighted(weight).alias("n_asis"), weighted(weight, F.col("full").isNotNull()).alias("n_full")],
+        {"delta_high_asis": "delta_usd", "delta_high_full": "full"}, weight=weight).withColumn(
         "shift_usd", F.col("delta_high_full") - F.col("delta_high_asis"))
 
 
 # ------------------------------------------------------------------ compression table
-def compression(rows: DataFrame, demand: DataFrame, subject: str, peers, order, top_n=60) -> DataFrame:
+def compression(rows: DataFrame, demand: DataFrame, subject: str, peers, order, top_n=60, weight=None) -> DataFrame:
     """Top dates by demand with price, baseline and percent of the subject and of the peers.
 
     The peers' median per date is treated as one price series.
     """
     mine = first_series(rows.where(F.col("property") == subject), order)
-    peer = peer_median(rows, peers).select(F.lit("peers").alias("property"), "arrival_date",
+    peer = peer_median(rows, peers, weight).select(F.lit("peers").alias("property"), "arrival_date",
                                            F.col("peer_median_usd").alias("rate_usd"))
 
     def side(series, name):
@@ -139,7 +143,7 @@ def anti_yield(table: DataFrame, below=fv.ANTI_YIELD) -> DataFrame:
 
 
 # ------------------------------------------------------------------ recheck
-def recheck(rows: DataFrame, spread: DataFrame, subject: str, peers, order, tolerance=0.50) -> DataFrame:
+def recheck(rows: DataFrame, spread: DataFrame, subject: str, peers, order, tolerance=0.50, weight=None) -> DataFrame:
     """Recompute the first row with a gap of each bucket from the slice, by another plan.
 
     The dates are picked first; then only the rows of those dates are read again.
@@ -148,7 +152,7 @@ def recheck(rows: DataFrame, spread: DataFrame, subject: str, peers, order, tole
                       ["arrival_date", "rate_usd", "peer_median_usd", "delta_usd"])
     at_dates = first.select("bucket", "arrival_date")
     peer = exact_median(
-        rows.where(F.col("property").isin(*peers)).join(at_dates, "arrival_date"), ["bucket"], {"again_peer_usd": "rate_usd"})
+        rows.where(F.col("property").isin(*peers)).join(at_dates, "arrival_date"), ["bucket"], {"again_peer_usd": "rate_usd"}, weight=weight)
     mine = first_row(
         rows.where((F.col("property") == subject) & F.col("market_demand_frac").isNotNull()).join(at_dates, "arrival_date"),
         ["bucket"], order, [F.col("rate_usd").alias("again_rate_usd")])

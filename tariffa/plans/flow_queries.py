@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tariffa.functions import cells
-from tariffa.operators import captures as C, gates as G, ingest as I, panel as P, quotes as Q_, reports as RP_, series as S, upsert as U, verify as Y
+from tariffa.operators import captures as C, gates as G, ingest as I, panel as P, price_days as D, quotes as Q_, reports as RP_, series as S, upsert as U, verify as Y
 from tariffa.plans import panel_queries as PQ, quote_queries as QQ
 from tariffa.plans.common import R, rounded
 from tariffa.session import work_folder
@@ -315,7 +315,17 @@ INVARIANTS = [
     ("series_profile", "peers_p95_over_25", f"count(*) FILTER (WHERE property <> '{fx.SUBJECT}' AND p95_pct >= 0.25)", ">= 3"),
     ("yield_composite", "diagnostic_dates", "count(*) FILTER (WHERE peer_median_pct - subject_pct >= 0.20)", ">= 30"),
     ("explorer_profile", "cells_per_property", "min(n)", ">= 200")]
-add("invariants", lambda s, d: RP_.invariants(PQ.panel(s, d), PQ.verdicts(s, d), PQ.compression(s, d), S.series_profile(PQ.yields(s, d)), P.explorer_profile(PQ.rows(s, d)),
-    S.yield_composite(PQ.yields(s, d), fx.SUBJECT), fx.SUBJECT), "SELECT q.check_name AS \"check\", (round(v, 6) + 0.0) AS value, coalesce(ok, true) AS ok FROM (" + " UNION ALL ".join(
+
+
+def checked_results(spark, d):
+    """The pass table: all but the verdicts (moments over the raw rows) from the counted panel."""
+    days = PQ.days(spark, d)
+    rows = PQ.day_rows(days)
+    yields = S.yield_series(P.first_series(rows, PQ.KEY))
+    return RP_.invariants(days, PQ.verdicts(spark, d), PQ.day_compression(days), S.series_profile(yields), P.explorer_profile(rows, D.N_ROWS),
+                          S.yield_composite(yields, fx.SUBJECT), fx.SUBJECT, weight=D.N_ROWS)
+
+
+add("invariants", checked_results, "SELECT q.check_name AS \"check\", (round(v, 6) + 0.0) AS value, coalesce(ok, true) AS ok FROM (" + " UNION ALL ".join(
     f"SELECT '{name}' AS check_name, CAST({value} AS DOUBLE) AS v, CAST({value} AS DOUBLE) {test} AS ok FROM " + (_from(query) if query else f"({fx.cte('rate_panel')} SELECT * FROM rate_panel)") + " z"
     for query, name, value, test in INVARIANTS) + ") q")

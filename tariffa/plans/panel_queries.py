@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tariffa.operators import panel as P, series as S, spread as X, verdicts as V
+from tariffa.operators import panel as P, price_days as D, series as S, spread as X, verdicts as V
 from tariffa.plans.common import R, rounded
 from tariffa.sources import fixtures as fx
 from pyspark.sql import functions as F
@@ -46,8 +46,35 @@ def audit(spark, d):
     return X.audit_grid(spread(spark, d), panel(spark, d), fx.PEERS, KEY)
 
 
+def days(spark, d):
+    """The panel as one small table with counts; a query calls it once and takes all its parts from it."""
+    return D.counted(panel(spark, d), KEY)
+
+
+def day_rows(days):
+    return P.panel_slice(days)
+
+
+def day_spread(days):
+    return X.spread_rows(day_rows(days), SUBJECT, fx.PEERS, ("length_of_stay_nights", *KEY), D.N_ROWS)
+
+
+def day_compression(days):
+    demand = P.demand_series(P.panel_slice(days, source=DEMAND_SOURCE, available=False), KEY)
+    return X.compression(day_rows(days), demand, SUBJECT, fx.PEERS, KEY, weight=D.N_ROWS)
+
+
+def day_sensitivity(days, min_peers=12):
+    spread = day_spread(days)
+    return X.audit_sensitivity(spread, X.audit_grid(spread, days, fx.PEERS, KEY, D.N_ROWS), min_peers, D.N_ROWS)
+
+
+def day_recheck(days):
+    return X.recheck(day_rows(days), day_spread(days), SUBJECT, fx.PEERS, ["length_of_stay_nights", *KEY], weight=D.N_ROWS)
+
+
 def compression(spark, d):
-    return X.compression(rows(spark, d), demand(spark, d), SUBJECT, fx.PEERS, KEY)
+    return day_compression(days(spark, d))
 
 
 def stretches(spark, d):
@@ -309,15 +336,15 @@ add("median_range", lambda s, d: V.median_range(verdicts(s, d)), VERDICT + f"SEL
 # ------------------------------------------------------------------ subject against peers
 add("spread_rows", lambda s, d: spread(s, d).drop(*KEY), SPREAD + f"""SELECT arrival_date, {R('rate_usd')}, {R('market_demand_frac')}, length_of_stay_nights, n_peers,
  {R('peer_median_usd')}, {R('delta_usd')}, bucket FROM sp""")
-add("spread_by_bucket", lambda s, d: X.spread_by_bucket(spread(s, d)), SPREAD + f"""SELECT bucket, count(*) AS n_rows, count(delta_usd) AS n_deltas,
+add("spread_by_bucket", lambda s, d: X.spread_by_bucket(day_spread(days(s, d)), D.N_ROWS), SPREAD + f"""SELECT bucket, count(*) AS n_rows, count(delta_usd) AS n_deltas,
  count(DISTINCT arrival_date) AS n_dates, {R('median(delta_usd)', 'median_delta_usd')} FROM sp GROUP BY bucket""")
-add("spread_headline", lambda s, d: X.spread_headline(spread(s, d)).drop("label"), SPREAD + f""", h AS (SELECT median(delta_usd) FILTER (WHERE bucket = 'normal') AS a,
+add("spread_headline", lambda s, d: X.spread_headline(day_spread(days(s, d)), D.N_ROWS).drop("label"), SPREAD + f""", h AS (SELECT median(delta_usd) FILTER (WHERE bucket = 'normal') AS a,
  median(delta_usd) FILTER (WHERE bucket = 'high') AS b, count(delta_usd) FILTER (WHERE bucket = 'normal') AS n_normal, count(delta_usd) FILTER (WHERE bucket = 'shoulder') AS n_shoulder,
  count(delta_usd) FILTER (WHERE bucket = 'high') AS n_high, count(DISTINCT arrival_date) FILTER (WHERE bucket = 'high') AS n_high_dates FROM sp)
 SELECT {R('a', 'delta_typical_usd')}, {R('b', 'delta_high_usd')}, n_normal, n_shoulder, n_high, n_high_dates, {R('b - a', 'spread_movement_usd')},
  CASE WHEN n_high < 5 OR b - a IS NULL THEN 'INSUFFICIENT_DEMAND_WINDOW' WHEN b - a >= 50 THEN 'YIELDS_WITH_MARKET' WHEN abs(b - a) < 25 THEN 'ANCHORED'
  WHEN b - a <= -25 THEN 'ANTI_YIELDS' ELSE 'PARTIALLY_DYNAMIC' END AS classification FROM h""")
-add("by_date_collapse", lambda s, d: X.collapse_dates(spread(s, d)), SPREAD + f"""SELECT arrival_date, {R('min(market_demand_frac)', 'market_demand_frac')}, min(bucket) AS bucket, min(n_peers) AS n_peers,
+add("by_date_collapse", lambda s, d: X.collapse_dates(day_spread(days(s, d)), D.N_ROWS), SPREAD + f"""SELECT arrival_date, {R('min(market_demand_frac)', 'market_demand_frac')}, min(bucket) AS bucket, min(n_peers) AS n_peers,
  {R('median(rate_usd)', 'rate_usd')}, {R('median(peer_median_usd)', 'peer_median_usd')}, {R('median(delta_usd)', 'delta_usd')} FROM sp GROUP BY arrival_date""")
 add("audit_grid", audit, AUDIT + f"SELECT arrival_date, n_rows, property, availability_status, {R('rate_usd')} FROM grid")
 add("audit_dates", lambda s, d: X.audit_dates(audit(s, d)).select(
@@ -329,14 +356,14 @@ SELECT arrival_date, n_rows, count(*) FILTER (WHERE availability_status = 'avail
 add("audit_panel_sizes", lambda s, d: X.audit_panel_sizes(audit(s, d)), AUDIT + "SELECT n_included, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM sizes GROUP BY n_included")
 add("audit_status_tally", lambda s, d: X.audit_status_tally(audit(s, d)), AUDIT + """SELECT availability_status, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM grid
  WHERE availability_status <> 'available' GROUP BY ALL""")
-add("audit_sensitivity", lambda s, d: X.audit_sensitivity(spread(s, d), audit(s, d), 12), AUDIT + f""", z AS (SELECT median(delta_usd) AS a, median(delta_usd) FILTER (WHERE n_included >= 12) AS b,
+add("audit_sensitivity", lambda s, d: day_sensitivity(days(s, d)), AUDIT + f""", z AS (SELECT median(delta_usd) AS a, median(delta_usd) FILTER (WHERE n_included >= 12) AS b,
  count(delta_usd) AS n_asis, count(delta_usd) FILTER (WHERE n_included >= 12) AS n_full FROM sp JOIN sizes USING (arrival_date) WHERE bucket = 'high' AND delta_usd IS NOT NULL)
 SELECT n_asis, n_full, {R('a', 'delta_high_asis')}, {R('b', 'delta_high_full')}, {R('b - a', 'shift_usd')} FROM z""")
 CMP_COLS = f"""arrival_date, {R('market_demand_frac')}, {R('subject_rate_usd')}, {R('subject_baseline_usd')}, {R('subject_pct')}, subject_on_plateau,
  {R('peer_rate_usd')}, {R('peer_baseline_usd')}, {R('peer_pct')}, peer_on_plateau"""
 add("compression", compression, COMPRESSION + f"SELECT {CMP_COLS} FROM cmp")
 add("anti_yield", lambda s, d: X.anti_yield(compression(s, d), -0.01), COMPRESSION + f"SELECT {CMP_COLS} FROM cmp WHERE cmp.subject_pct < -0.01")
-add("spread_recheck", lambda s, d: X.recheck(rows(s, d), spread(s, d), SUBJECT, fx.PEERS, ["length_of_stay_nights", *KEY]), SPREAD + f"""
+add("spread_recheck", lambda s, d: day_recheck(days(s, d)), SPREAD + f"""
 , f AS (SELECT bucket, arrival_date, rate_usd, peer_median_usd, delta_usd FROM sp WHERE delta_usd IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY arrival_date, length_of_stay_nights, {K}) = 1)
 SELECT bucket, arrival_date, {R('rate_usd')}, {R('peer_median_usd')}, {R('delta_usd')}, {R('peer_median_usd', 'again_peer_usd')}, {R('rate_usd', 'again_rate_usd')}, true AS matches FROM f""")
