@@ -54,9 +54,9 @@ def first_per_date(rows: DataFrame, order, columns, keys=("property", "arrival_d
     return first_row(rows, keys, ["length_of_stay_nights", *order], columns)
 
 
-def median_series(rows: DataFrame, keys=("property", "arrival_date")) -> DataFrame:
+def median_series(rows: DataFrame, keys=("property", "arrival_date"), weight=None) -> DataFrame:
     """One price per date: the median over stays (and over all other rows of the slice)."""
-    return exact_median(rows, keys, "rate_usd", fine=True)
+    return exact_median(rows, keys, "rate_usd", fine=True, weight=weight)
 
 
 def first_series(rows: DataFrame, order, keys=("property", "arrival_date")) -> DataFrame:

@@ -4,27 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tariffa.operators import panel as P, quotes as Q, series as S, spread as X, verdicts as V
+from tariffa.operators import panel as P, price_days as D, quotes as Q, series as S, spread as X, verdicts as V
 
 
 def panel_results(panel: DataFrame, subject: str, peers, order, source=None, tier=None, quarters=()) -> dict:
-    """Named result frames of the panel. Only the ranked verdicts are laid out at once; all else runs when it is written."""
+    """Named result frames of the panel.
+
+    The scoped panel is counted into a small table at once (and the ranked verdicts are laid out); all else runs when it is
+    written. Results that need no single rows take their parts from the counted table, so the panel is read for it once.
+    """
     everyone = [subject, *peers]
     scoped = P.panel_slice(panel, source, tier, available=False)
     rows = P.panel_slice(scoped)
-    demand = P.demand_series(scoped, order)
-    yields = S.yield_series(P.first_series(P.panel_slice(rows, properties=everyone), order))
+    days, w = D.counted(scoped, order), D.N_ROWS
+    priced = P.panel_slice(days)
+    demand = P.demand_series(days, order)
+    yields = S.yield_series(P.first_series(P.panel_slice(priced, properties=everyone), order))
+    day_spread = X.spread_rows(priced, subject, peers, weight=w)
     spread = X.spread_rows(rows, subject, peers, ("length_of_stay_nights", *order))
-    grid = X.audit_grid(spread, scoped, peers, order)
+    grid = X.audit_grid(day_spread, days, peers, order, w)
     verdicts = V.rm_verdicts(P.panel_slice(scoped, properties=everyone, available=False), order)
     stretches = S.flat_stretches(rows, subject, peers)
     out = {
         "market_demand": demand, "top_dates": P.top_dates(demand, 5), "los_restrictions": P.los_restrictions(scoped),
-        "flatness": S.flatness(P.median_series(rows), everyone), "flat_stretches": stretches,
+        "flatness": S.flatness(P.median_series(priced, weight=w), everyone), "flat_stretches": stretches,
         "verdicts": V.comp_verdicts(verdicts), "yield_series": yields, "yield_composite": S.yield_composite(yields, subject),
-        "spread_rows": spread, "spread_headline": X.spread_headline(spread), "spread_by_date": X.collapse_dates(spread),
-        "audit_dates": X.audit_dates(grid), "audit_sensitivity": X.audit_sensitivity(spread, grid),
-        "compression": X.compression(rows, demand, subject, peers, order),
+        "spread_rows": spread, "spread_headline": X.spread_headline(day_spread, w), "spread_by_date": X.collapse_dates(day_spread, w),
+        "audit_dates": X.audit_dates(grid), "audit_sensitivity": X.audit_sensitivity(day_spread, grid, weight=w),
+        "compression": X.compression(priced, demand, subject, peers, order, weight=w),
         "explorer": P.explorer_feed(P.panel_slice(rows, properties=everyone), {subject: subject}),
         "meta": P.dataset_meta(panel),
     }
