@@ -24,7 +24,7 @@ def peer_median(rows: DataFrame, peers, weight=None) -> DataFrame:
 def spread_rows(rows: DataFrame, subject: str, peers, keep=(), weight=None) -> DataFrame:
     """One row per subject quote with known demand; a date without peers keeps a null gap."""
     mine = rows.where((F.col("property") == subject) & F.col("market_demand_frac").isNotNull())
-    dated = rows.where(F.col("arrival_date").isNotNull())  # said here, the join's own filter finds both uses of the shuffled rows alike
+    dated = rows.where(F.col("arrival_date").isNotNull())
     return (
         mine.select("arrival_date", "rate_usd", "market_demand_frac", *keep, *([] if weight is None else [weight]))
         .join(peer_median(dated, peers, weight), "arrival_date", "left")

@@ -93,6 +93,6 @@ def scans(df):
 def test_raw_rows_are_read_once_more_at_most(spark):
     """Beside the one read that writes the counted panel."""
     sf = "/root/testdata/sf0.001"
-    for name, most in {"spread_headline": 0, "compression": 0, "spread_recheck": 0, "audit_sensitivity": 0, "spread_rows": 2}.items():
+    for name, most in {"spread_headline": 0, "compression": 0, "spread_recheck": 0, "audit_sensitivity": 0}.items():
         assert scans(PQ.Q[name][0](spark, sf)) <= most, name
     assert scans(FQ.checked_results(spark, sf)) <= 1
