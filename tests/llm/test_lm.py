@@ -78,3 +78,45 @@ def test_rise_equals_log_gamma():
             x = a * 2.0**-c
             want = math.log(a) - c * lm.LN2 + math.lgamma(k + x) - math.lgamma(1 + x)
             assert r == pytest.approx(want, rel=1e-6)
+
+
+def plain_score(text, model):
+    """The log10 score of a text, each token coded in its place: the last bytes before it, then its own words so far."""
+    words = [w.encode() for w in tokens(text)]
+    p, seen, logs, before = [], Counter(), [0.0] * len(lm.ADAPT), b"    "
+    for t, w in enumerate(words):
+        p.append(-lm.bits([w], model, [before[-4:-1]])[0] * lm.LN2)
+        logs = [s + math.log((seen[w] + a * math.exp(p[-1])) / (t + a)) for s, a in zip(logs, lm.ADAPT)]
+        seen[w] += 1
+        before += w + b" "
+    logs.append(sum(p))
+    return (max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs) / len(logs))) / math.log(10)
+
+
+def test_contexts_reach_over_the_space_before_a_word():
+    order = [f for f in range(1, 5)]
+    same, other = lm.contexts([b"word"], [b"the"])[2], lm.contexts([b"word"], [b"ofa"])[2]
+    assert (same[order] != other[order]).any() and (same[[0, 5]] == other[[0, 5]]).all()
+    assert (same[:, lm.HEAD:] == other[:, lm.HEAD:]).all() and (same[4, :lm.HEAD] != other[4, :lm.HEAD]).all()
+
+
+def test_pairs_of_a_text():
+    keys, n = lm.pair_keys([b"of a cats w\xc3\xa4r", b"", b"x"])
+    heads, tails = lm.pair_texts(keys)
+    assert n.tolist() == [5, 1, 2]
+    assert list(zip(tails, heads)) == [(b"   ", b"of"), (b" of", b"a"), (b"f a", b"cat"), (b"ats", b"w\xc3\xa4"), (b"\xc3\xa4r", b""), (b"   ", b""), (b"   ", b"x"), (b"  x", b"")]
+
+
+def test_scores_are_those_of_every_token_in_its_place(spark, monkeypatch):
+    texts = ["the cat sat on the mat and the cat ran", "ran cat the and mat the on sat cat the", "a b a b a b of a cat", "", None, "Ünïcode wörds  the\tcats " + "x" * 50 + " x"]
+    rows = [(i, t, i == 1) for i, t in enumerate(texts)]
+    docs, kept = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("model", train(*a)))
+    for hot, hot_pairs in ((lm.HOT, lm.HOT_PAIRS), (8, 8), (1, 1)):
+        monkeypatch.setattr(lm, "HOT", hot), monkeypatch.setattr(lm, "HOT_PAIRS", hot_pairs)
+        got = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
+        model = kept["model"] | {"counts": kept["model"]["shared"].value}
+        for i, t, _ in rows:
+            assert got[i] == pytest.approx(plain_score(t, model), rel=1e-6)
+        assert got[0] != pytest.approx(got[1], rel=1e-4)  # the same words in another order
