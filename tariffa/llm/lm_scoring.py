@@ -39,7 +39,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SIZES = (8, 16, 20, 20, 20, 21)
 OFFSETS = np.cumsum([0, *(1 << b for b in SIZES)])
 BLOCKS, INPUTS, HOT = 256, len(SIZES) + 1, 1 << 18
-LEVELS = np.array([0.5, 1.5, 3.5, 15.5, 255.5])
+LEVELS = (0.5, 1.5, 3.5, 15.5, 255.5)
 GATES, STEPS, PRIOR, RATE, REFINE = 6 * 6 * 3 + 64, 24, 0.4, 0.05, 20.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PART, COUNTED, SLICE, SLICE_BYTES = 8192, 400_000, 500, 4 << 20
@@ -176,6 +176,11 @@ def paired(counts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(counts.T).view(np.float64).ravel()
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """How many LEVELS a count is over."""
+    return sum((n > x).view(np.int8) for x in LEVELS).astype(np.int64)
+
+
 def _inputs(counts: np.ndarray, h: np.ndarray, node: np.ndarray, k: int, at: np.ndarray, seen: np.ndarray | None):
     """Stretched probabilities of all contexts (and a constant), and two gates. seen: bits that don't count themselves."""
     # both counts of a place lie side by side, so one look-up fetches them
@@ -188,7 +193,7 @@ def _inputs(counts: np.ndarray, h: np.ndarray, node: np.ndarray, k: int, at: np.
     x[:-1] = np.clip(np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR))), -12, 12)
     x[-1] = 0.3
     one_way = np.where(n0[5] == 0, 1, np.where(n1[5] == 0, 2, 0))
-    first = (np.searchsorted(LEVELS, n0[5] + n1[5]) * 6 + np.searchsorted(LEVELS, n0[3] + n1[3])) * 3 + one_way
+    first = (_level(n0[5] + n1[5]) * 6 + _level(n0[3] + n1[3])) * 3 + one_way
     return x, (first, 6 * 6 * 3 + np.minimum(at, 7) * 8 + k)
 
 
@@ -219,8 +224,7 @@ def _learn(shared):
                 sq += g * g
                 w += RATE * g / np.sqrt(sq)
                 place = node.astype(np.int64) * STEPS + _step(z)
-                for v in (0, 1):
-                    refine[v] += np.bincount(place, own * (bit == v), refine.shape[1])
+                refine += np.bincount(bit * refine.shape[1] + place, own, refine.size).reshape(refine.shape)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w, refine)] + [pa.array([seen])], ["w", "refine", "seen"])
     return run
@@ -385,8 +389,7 @@ def _packed(batches):
 
 def _seen(ids: np.ndarray) -> np.ndarray:
     """How often each value stood earlier."""
-    order = np.argsort(ids, kind="stable")
-    own = ids[order]
+    own, order = np.divmod(np.sort(ids * len(ids) + np.arange(len(ids))), max(len(ids), 1))  # place within value
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     out = np.empty(len(ids), np.int64)
     out[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
