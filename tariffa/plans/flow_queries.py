@@ -21,7 +21,10 @@ C4 = ", ".join(CELL)
 
 
 def sheet(s, d):
-    return fx.load(s, d, "sheet_wide")
+    """The wide sheet, one row a date, written once: rules on its cells and dates would else be pushed down to every row it is made of."""
+    wide, path = fx.load(s, d, "sheet_wide"), work_folder(s, "wide-sheet")
+    wide.write.parquet(path)
+    return s.read.schema(wide.schema).parquet(path)
 
 
 def csv_files(s, d):
@@ -42,7 +45,10 @@ def csv_files(s, d):
 
 
 def csv_panel(s, d):
-    return I.sheet_rows_panel(I.sheet_rows(csv_files(s, d)), SLUGS, "booking")
+    """The sheets are written once: the header checks and the panel read the files, not the tables they were made of."""
+    files, path = csv_files(s, d), work_folder(s, "sheets")
+    files.write.parquet(path)
+    return I.sheet_rows_panel(I.sheet_rows(s.read.schema(files.schema).parquet(path)), SLUGS, "booking")
 
 
 def melted(s, d):

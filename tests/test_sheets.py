@@ -107,3 +107,11 @@ def test_counts_observed_while_writing_equal_those_of_the_panel(spark, tmp_path)
     assert counts[("sold_out_by_property", "b")] == 1 and counts[("not_loaded_by_property", "a")] == 1 and counts[("length_of_stay", "3")] == 6
     plan = P.ingest_counts(stored)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_sheet_queries_read_the_tables_once(spark):
+    """Rules on dates and cells run on the written sheet, header checks and panel on the written files."""
+    from tariffa.plans import flow_queries as FQ
+    sf = "/root/testdata/sf0.001"
+    for df, folder in ((FQ.I.sheet_panel(FQ.text_sheet(spark, sf), FQ.SLUGS, "booking"), "/wide-sheet-"), (FQ.csv_panel(spark, sf), "/sheets-")):
+        assert df.inputFiles() and all(folder in f for f in df.inputFiles())
