@@ -34,8 +34,12 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, batch: DataFrame) -> None:
-        """Add the entries whose digest the index lacks. Run again for the same batch, it adds nothing."""
+        """Add the entries whose digest the index lacks. Run again for the same batch, it adds nothing.
+
+        Each bucket is gathered before it is written, so a batch adds one file a bucket, however many tasks the join had.
+        """
         new = batch.repartition(self.buckets, "digest").hint("merge").join(self.entries(), "digest", "left_anti")
+        new = new.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
         (new.select(*self.entries().columns).write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
          .option("path", self.path).mode("append").saveAsTable(self.name))
 

@@ -1,5 +1,6 @@
 import hashlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -42,6 +43,18 @@ def test_index_persists_and_appends_by_merge_anti_join(spark):
     assert "SortMergeJoin" in text and "Bucketed: true" in text
 
 
+def test_a_batch_adds_one_file_a_bucket_however_many_tasks_the_join_has(spark, monkeypatch):
+    frame = type(spark.range(0))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *c: dealt(self, max(40, n), *c))  # as on a cluster with more parts than buckets
+    path = shared_folder(spark, "index")
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    index.append(exact_dedup.grouped(exact_dedup.digests(docs)))
+    assert index.entries().count() == 500
+    assert len(list(Path(path.removeprefix("file:")).glob("*.parquet"))) <= 4
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     urls = ["http://A.example.org/es/1", "https://example.org/en/17?x=1", "https://blog.example.org/en/2", "x://notexample.org", "https://b.com/de/", "https://B.COM:8080/fr/x#y", None, "no scheme",

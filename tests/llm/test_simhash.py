@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from tariffa.llm import simhash_dedup as sh
+from tariffa.llm import components as components_module, simhash_dedup as sh
 from tariffa.llm.components import components
 
 SF = "/root/testdata/sf0.01"
@@ -91,6 +91,26 @@ def test_links_near_the_distance_and_long_runs(spark, monkeypatch):
         assert {(i, label[f]) for i, f in enumerate(fps)} == want
 
 
+def test_rounds_of_few_links_are_few_files(spark, monkeypatch):
+    """Many shuffle partitions must not make as many files and tasks a round."""
+    rounds = []
+    stored = components_module.stored
+    monkeypatch.setattr(components_module, "stored", lambda df, name: rounds.append((name, out := stored(df, name))) or out)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components(spark.range(300).selectExpr("id + 1 AS a", "id - id % 10 AS b"))
+        assert {(r["node"], r["root"]) for r in got.collect()} == {(i, 0) for i in range(301)}
+        monkeypatch.setattr(components_module, "BROADCAST", 0)  # the join of many links gives the same
+        assert {(r["node"], r["root"]) for r in components(spark.range(300).selectExpr("id + 1 AS a", "id - id % 10 AS b")).collect()} == {(i, 0) for i in range(301)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    stars = [len(df.inputFiles()) for name, df in rounds if name.endswith("-star")]
+    assert stars and max(stars) <= components_module.LEAST_PARTS
+
+
 def test_components_of_chain_and_star(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1300)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
