@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tariffa.functions.text import any_of
-from tariffa.session import work_folder
+from tariffa.session import stored
 
 BUCKETS_PER_E = 1024  # relative bucket width of about 0.1%
 PARTS = 1024  # parts of a wanted bucket
@@ -71,14 +71,15 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False,
     as many groups as rows) the input is shuffled once, by group and bucket; counts, ranks
     and values stay on that partitioning and only the histogram moves.
 
-    `merged` (fine keys and one value only) maps a name to (column, "min", "max" or "sum"): plain aggregates of the same groups
+    `merged` (one value, and fine keys or a weight) maps a name to (column, "min", "max" or "sum"): plain aggregates of the same groups
     in the same pass, over all their rows. Then groups without a value are there too, with null ranks.
 
-    `weight` names a column of positive whole numbers: a row then counts as that many equal rows.
+    `weight` names a column of positive whole numbers: a row then counts as that many equal rows. Such a table is stored and cheap
+    to read twice; for coarse keys the wanted buckets are stored too, so that Spark knows how few they are before it plans the join.
     """
     merged = merged or {}
-    if merged and not (fine and len(values) == 1):
-        raise ValueError("merged aggregates need fine keys and one value")
+    if merged and not ((fine or weight is not None) and len(values) == 1):
+        raise ValueError("merged aggregates need fine keys (or a weight) and one value")
     keys = list(keys)
     cols = {name: F.col(c) if isinstance(c, str) else c for name, c in values.items()}
     key = F.struct(*[F.col(k) for k in keys])
@@ -98,21 +99,23 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False,
     many = (F.count("_v") if weight is None else F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_times"))), F.lit(0))).alias("_w")
     total = F.sum("_n").over(Window.partitionBy("_k")).alias("_total")
     put = [MERGE[how](f"_m_{n}").alias(f"_m_{n}") for n, (_, how) in merged.items()]
+    whole = [MERGE[how](f"_m_{n}").over(Window.partitionBy("_k")).alias(f"_all_{n}") for n, (_, how) in merged.items()]
+    alls, unvalued = [f"_all_{n}" for n in merged], F.col("_total") == 0 if merged else None
     if fine:
         counted = rows.repartition("_k", "_bucket").groupBy("_k", "_bucket", "_v").agg(many, *put)
-        whole = [MERGE[how](f"_m_{n}").over(Window.partitionBy("_k")).alias(f"_all_{n}") for n, (_, how) in merged.items()]
         histogram = counted.groupBy("_k", "_bucket").agg(F.sum("_w").alias("_n"), *put).select("_k", "_bucket", "_n", total, *whole)
-        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks, F.col("_total") == 0 if merged else None).select(
-            "_k", "_bucket", F.col("_start").alias("_before"), "_total", *[f"_all_{n}" for n in merged])
+        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks, unvalued).select("_k", "_bucket", F.col("_start").alias("_before"), "_total", *alls)
         near, inside = counted.join(wanted, ["_k", "_bucket"]), ["_k", "_bucket"]
     else:
-        histogram = rows.groupBy("_k", "_bucket").agg(many.alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")).select("*", total)
-        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks).select("_k", "_bucket", F.col("_start").alias("_base"), "_total", "_min", "_max")
-        counted = rows.join(wanted, ["_k", "_bucket"]).groupBy("_k", "_bucket", "_base", "_total", "_min", "_max", "_v").agg(many)
+        histogram = rows.groupBy("_k", "_bucket").agg(many.alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *put).select("*", total, *whole)
+        wanted = _holding(histogram, ["_k"], "_bucket", F.lit(0), ranks, unvalued).select("_k", "_bucket", F.col("_start").alias("_base"), "_total", "_min", "_max", *alls)
+        if weight is not None:
+            wanted = stored(wanted, "wanted-buckets")
+        counted = rows.join(wanted, ["_k", "_bucket"]).groupBy("_k", "_bucket", "_base", "_total", "_min", "_max", *alls, "_v").agg(many)
         part = F.coalesce(F.least(F.floor(F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min")) * PARTS), F.lit(PARTS - 1).cast("long")), F.lit(0).cast("long"))
         counted = counted.withColumn("_part", part)
         parts = counted.groupBy("_k", "_bucket", "_base", "_total", "_part").agg(F.sum("_w").alias("_n"))
-        chosen = _holding(parts, ["_k", "_bucket"], "_part", F.col("_base"), ranks).select("_k", "_bucket", "_part", F.col("_start").alias("_before"))
+        chosen = _holding(parts, ["_k", "_bucket"], "_part", F.col("_base"), ranks, unvalued).select("_k", "_bucket", "_part", F.col("_start").alias("_before"))
         near, inside = counted.join(chosen, ["_k", "_bucket", "_part"]), ["_k", "_bucket", "_part"]
     counted = near.withColumn("_upto", F.col("_before") + F.sum("_w").over(Window.partitionBy(*inside).orderBy("_v")))
     out = [
@@ -121,7 +124,7 @@ def order_statistics(df: DataFrame, keys, values: dict, ranks: dict, fine=False,
         for name in cols for suffix, fn in ranks.items()
     ]
     # the parts are named too (they are null where the whole is), so that both uses of `counted` read one shuffle of all columns
-    out += [F.coalesce(F.first(f"_all_{n}"), F.max(f"_m_{n}")).alias(n) for n in merged]
+    out += [(F.coalesce(F.first(f"_all_{n}"), F.max(f"_m_{n}")) if fine else F.first(f"_all_{n}")).alias(n) for n in merged]
     return counted.groupBy(F.col("_k.k").alias("_g")).agg(*out).select(*[F.col(f"_g.{k}").alias(k) for k in keys], *[n + s for n in cols for s in ranks], *merged)
 
 
@@ -147,6 +150,15 @@ def describe(df: DataFrame, keys, aggs, medians: dict, fine=False, weight=None)
     return join_on(plain, exact_median(df, keys, medians, fine, weight=weight), keys, "left")
 
 
+def date_led(keys) -> list[str]:
+    """The keys with the date in front.
+
+    Aggregates of structs are sorted by their groups, and such a sort compares the first 8 bytes of the first key, only where
+    these are equal the rows themselves. Names often agree in them. Tables that are stored in this order are sorted already.
+    """
+    return sorted(keys, key=lambda k: k != "arrival_date")
+
+
 def first_row(df: DataFrame, keys, order, columns) -> DataFrame:
     """The columns of the first row of each group under a total order.
 
@@ -156,7 +168,7 @@ def first_row(df: DataFrame, keys, order, columns) -> DataFrame:
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     ranked = F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)],
                       F.struct(*columns).alias("_row"))
-    return df.groupBy(*keys).agg(F.min(ranked).alias("_first")).select(*keys, "_first._row.*")
+    return df.groupBy(*date_led(keys)).agg(F.min(ranked).alias("_first")).select(*keys, "_first._row.*")
 
 
 def running_total(df: DataFrame, position: str, amount, name: str, block: int = 1_000_000) -> DataFrame:
@@ -193,9 +205,7 @@ def laid_out(df: DataFrame, order, parts: int | None = None) -> DataFrame:
     laid = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
     laid = laid.withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)})
-    path = work_folder(df.sparkSession, "laid-out")
-    laid.write.parquet(path)
-    return df.sparkSession.read.schema(laid.schema).parquet(path)
+    return stored(laid, "laid-out")
 
 
 def ranked(df: DataFrame, keys, score, tie, name="rank", parts: int | None = None) -> DataFrame:

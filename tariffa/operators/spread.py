@@ -16,8 +16,8 @@ from tariffa.operators.series import dual_baseline
 
 
 def peer_median(rows: DataFrame, peers, weight=None) -> DataFrame:
-    """Per date: median and number of the peers' quoted rows (all stays pooled)."""
-    return exact_median(rows.where(F.col("property").isin(*peers)), ["arrival_date"], {"peer_median_usd": "rate_usd"}, fine=True,
+    """Per date: median and number of the peers' quoted rows (all stays pooled). A counted table is read twice and not shuffled."""
+    return exact_median(rows.where(F.col("property").isin(*peers)), ["arrival_date"], {"peer_median_usd": "rate_usd"}, fine=weight is None,
                         merged={"n_peers": (weight_of(weight), "sum")}, weight=weight)
 
 

@@ -7,32 +7,64 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tariffa import fixed_values as fv
 from tariffa.functions import cells, stats
 from tariffa.functions.text import case
-from tariffa.operators.rank import describe, ranked
+from tariffa.operators.price_days import last_row
+from tariffa.operators.rank import date_led, describe, join_on, ranked, weight_of, weighted
 from tariffa.operators.series import KEYS, quoted, rolling
+from tariffa.session import stored
 
 
 METRICS = {"demand": "market_demand_frac", "otb": "market_otb_frac"}
 
 
-def date_moments(panel: DataFrame, order, keys=KEYS) -> DataFrame:
-    """One row per property and date with all that the rules need, from one read of the panel.
+def _known(m: str) -> Column:
+    return quoted() & F.col(METRICS[m]).isNotNull()
+
+
+def _moments(m: str, x: Column, y: Column, weight) -> list[Column]:
+    """Means, squared deviations and products of a group. Weighted rows are summed up around the centres of `_centred`."""
+    if weight is None:
+        n = F.count_if(_known(m))
+        return [F.avg(x).alias("x"), F.avg(y).alias("y"), (F.var_pop(x) * n).alias("xx"), (F.var_pop(y) * n).alias("yy"), (F.covar_pop(x, y) * n).alias("xy")]
+    n, w = weighted(weight, _known(m)), F.col(weight)
+    off = {"x": x - F.col(f"_{m}_x"), "y": y - F.col(f"_{m}_y")}
+    mean = {a: F.try_divide(F.sum(w * off[a]), n) for a in "xy"}
+    around = lambda a, b: F.sum(w * off[a] * off[b]) - n * mean[a] * mean[b]
+    return [*[(F.max(f"_{m}_{a}") + mean[a]).alias(a) for a in "xy"], around("x", "x").alias("xx"), around("y", "y").alias("yy"), around("x", "y").alias("xy")]
+
+
+def _centred(panel: DataFrame, keys, weight) -> DataFrame:
+    """The rows with the means of their property (one small stored table), from which the deviations are taken."""
+    mean = lambda m, c: F.try_divide(F.sum(F.when(_known(m), F.col(c) * F.col(weight))), weighted(weight, _known(m)))
+    centres = panel.groupBy(*keys).agg(*[mean(m, c).alias(f"_{m}_{a}") for m in METRICS for a, c in (("x", "rate_usd"), ("y", METRICS[m]))])
+    return panel.join(stored(centres, "centres"), list(keys))
+
+
+def date_moments(panel: DataFrame, order, keys=KEYS, weight=None) -> DataFrame:
+    """One row per property and date with all that the rules need, from one read of the panel (or three of the counted one).
 
     Counts, means, squared deviations and products of price and each metric, the first and
     last row of the day in (stay, order) sequence, and count, range and mean of the price.
     """
-    rate, sequence = F.col("rate_usd"), ["length_of_stay_nights", *order]
-    out = [F.count(F.lit(1)).alias("n_total"), F.count_if(quoted()).alias("n"), F.max(F.when(quoted(), rate)).alias("hi"),
-           F.min(F.when(quoted(), rate)).alias("lo"), F.avg(F.when(quoted(), rate)).alias("mean")]
+    panel = panel.where(F.col("property").isNotNull())
+    if weight is not None:
+        panel = _centred(panel, keys, weight)
+    rate, last = F.col("rate_usd"), last_row(panel, order)
+    quotes = weighted(weight, quoted())
+    out = [weighted(weight).alias("n_total"), quotes.alias("n"), F.max(F.when(quoted(), rate)).alias("hi"), F.min(F.when(quoted(), rate)).alias("lo"),
+           F.try_divide(F.sum(F.when(quoted(), rate * weight_of(weight))), quotes).alias("mean")]
     for m, metric in METRICS.items():
-        ok = quoted() & F.col(metric).isNotNull()
+        ok, of_row = _known(m), [rate.alias("rate"), F.col(metric).cast("double").alias("metric")]
         x, y = F.when(ok, rate), F.when(ok, F.col(metric).cast("double"))
-        row = F.when(ok, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(sequence)], rate.alias("rate"), F.col(metric).cast("double").alias("metric")))
-        n = F.count_if(ok)
-        out += [n.alias(f"n_{m}"), F.struct(F.avg(x).alias("x"), F.avg(y).alias("y"), (F.var_pop(x) * n).alias("xx"), (F.var_pop(y) * n).alias("yy"),
-                (F.covar_pop(x, y) * n).alias("xy"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).alias(m)]
+        out += [weighted(weight, ok).alias(f"n_{m}"), F.struct(
+            *_moments(m, x, y, weight), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).alias(m)]
         if m == "otb":
-            out += [F.min(row).alias("head"), F.max(row).alias("tail")]
-    return panel.where(F.col("property").isNotNull()).groupBy(*keys, "arrival_date").agg(*out)
+            head = F.struct("length_of_stay_nights", *order)
+            ends = [fn(F.when(ok, F.struct(at.alias("at"), *of_row))).alias(name) for fn, at, name in ((F.min, head, "head"), (F.max, last, "tail"))]
+    by = date_led([*keys, "arrival_date"])
+    if weight is None:
+        return panel.groupBy(*by).agg(*out, *ends)
+    # numbers alone are kept in place by a hash aggregate; only the ends need sorted groups
+    return join_on(panel.groupBy(*by).agg(*out), panel.where(_known("otb")).groupBy(*by).agg(*ends), by, "left")
 
 
 def _r(m: str) -> Column:
@@ -41,7 +73,7 @@ def _r(m: str) -> Column:
     return F.when(varies, F.try_divide(F.sum(f"{m}_xy"), F.sqrt(F.sum(f"{m}_xx")) * F.sqrt(F.sum(f"{m}_yy"))))
 
 
-def rule_inputs(panel: DataFrame, order, keys=KEYS) -> DataFrame:
+def rule_inputs(panel: DataFrame, order, keys=KEYS, weight=None) -> DataFrame:
     """r values, weekly range and their counts per property, from one read of the panel.
 
     The moments per date are merged around the means over all dates, so no large sums of
@@ -50,7 +82,7 @@ def rule_inputs(panel: DataFrame, order, keys=KEYS) -> DataFrame:
     """
     whole, by_date = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("arrival_date")
     so_far = by_date.rowsBetween(Window.unboundedPreceding, -1)
-    dates = date_moments(panel, order, keys)
+    dates = date_moments(panel, order, keys, weight)
     centre = {f"{m}_{a}": F.try_divide(F.sum(F.col(f"n_{m}") * F.col(f"{m}.{a}")).over(whole), F.sum(f"n_{m}").over(whole)) for m in METRICS for a in "xy"}
     before, day = F.last("tail", True).over(so_far), F.last(F.when(F.col("tail").isNotNull(), F.col("arrival_date")), True).over(so_far)
     dates = dates.withColumns({**centre, "before": before, "day": day})
@@ -90,13 +122,13 @@ def _responses(inputs: DataFrame) -> DataFrame:
     return out.withColumn("rule1_pass", F.col("pass_1a") & F.col("pass_1b"))
 
 
-def rm_verdicts(panel: DataFrame, order) -> DataFrame:
+def rm_verdicts(panel: DataFrame, order, weight=None) -> DataFrame:
     """STATIC, PARTIALLY_DYNAMIC or DYNAMIC for every property.
 
     Three rules count. The lead-time rule cannot be measured on one panel and stays
-    null, which keeps the verdict from reaching DYNAMIC.
+    null, which keeps the verdict from reaching DYNAMIC. `weight` names the count column of a counted panel.
     """
-    rules = _responses(rule_inputs(panel, order)).withColumns({
+    rules = _responses(rule_inputs(panel, order, weight=weight)).withColumns({
         "rule2_pass": stats.over(F.col("dow_range"), fv.WEEK_RANGE_MIN),
         "low_power_dow": F.col("dow_range").isNull() | (F.col("n_full_weeks") < fv.WEEK_RANGE_LOW_N),
         "rule3_pass": F.lit(None).cast("boolean")}).drop("n_full_weeks")

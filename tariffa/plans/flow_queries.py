@@ -10,7 +10,7 @@ from tariffa.functions import cells
 from tariffa.operators import captures as C, gates as G, ingest as I, panel as P, price_days as D, quotes as Q_, reports as RP_, series as S, upsert as U, verify as Y
 from tariffa.plans import panel_queries as PQ, quote_queries as QQ
 from tariffa.plans.common import R, rounded
-from tariffa.session import work_folder
+from tariffa.session import stored, work_folder
 from tariffa.sources import fixtures as fx
 from tariffa.sources.keyed_store import KeyedStore
 from tariffa.schemas import upgrade_quotes
@@ -324,11 +324,11 @@ INVARIANTS = [
 
 
 def checked_results(spark, d):
-    """The pass table: all but the verdicts (moments over the raw rows) from the counted panel."""
+    """The pass table, all of it from the counted panel; the yield series, which three checks read, is stored."""
     days = PQ.days(spark, d)
     rows = PQ.day_rows(days)
-    yields = S.yield_series(P.first_series(rows, PQ.KEY))
-    return RP_.invariants(days, PQ.verdicts(spark, d), PQ.day_compression(days), S.series_profile(yields), P.explorer_profile(rows, D.N_ROWS),
+    yields = stored(S.yield_series(P.first_series(rows, PQ.KEY)), "yields")
+    return RP_.invariants(days, PQ.day_verdicts(days), PQ.day_compression(days), S.series_profile(yields), P.explorer_profile(rows, D.N_ROWS),
                           S.yield_composite(yields, fx.SUBJECT), fx.SUBJECT, weight=D.N_ROWS)
 
 

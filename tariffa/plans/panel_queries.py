@@ -55,6 +55,10 @@ def day_rows(days):
     return P.panel_slice(days)
 
 
+def day_verdicts(days):
+    return V.rm_verdicts(days, KEY, D.N_ROWS)
+
+
 def day_spread(days):
     return X.spread_rows(day_rows(days), SUBJECT, fx.PEERS, ("length_of_stay_nights", *KEY), D.N_ROWS)
 

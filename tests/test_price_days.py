@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tariffa.operators import panel as P, price_days as D, rank, reports, series as S, spread as X
+from tariffa.operators import panel as P, price_days as D, rank, reports, series as S, spread as X, verdicts as V
 from tariffa.plans import panel_queries as PQ, flow_queries as FQ
 
 DDL = ("as_of_date date, arrival_date date, property string, source string, room_tier string, length_of_stay_nights int, availability_status string, "
@@ -67,6 +67,30 @@ def test_stored_days_are_refreshed_one_by_one(spark, tmp_path):
     same(X.spread_by_bucket(X.spread_rows(P.panel_slice(D.read(spark, path)), "me", PEERS, weight=D.N_ROWS), D.N_ROWS), X.spread_by_bucket(X.spread_rows(P.panel_slice(now), "me", PEERS)))
 
 
+def test_verdicts_of_counted_rows(spark):
+    raw = panel(spark, n=6000)
+    off = F.when(F.col("seq") % 3 == 0, 1e-3).otherwise(0.0)  # unlike prices too, far from their spread
+    rows = raw.withColumn("rate_usd", F.col("rate_usd") + 1e6 + off)
+    days = D.counted(rows, ORDER)
+    assert days.where(F.col(D.LAST).isNotNull()).count() > 100
+    want, got = ({r.property: r for r in v.collect()} for v in (V.rm_verdicts(rows, ORDER), V.rm_verdicts(days, ORDER, D.N_ROWS)))
+    assert set(want) == set(got) == {"me", *PEERS}
+    for p, r in want.items():
+        for c, x in r.asDict().items():
+            assert got[p][c] == (pytest.approx(x, rel=1e-6, abs=1e-9) if isinstance(x, float) else x), (p, c)
+
+
+def test_weighted_medians_with_merged_aggregates(spark):
+    data = [("p", 1.0, 2), ("p", 4.0, 1), ("p", None, 5), ("q", None, 3), ("r", 7.0, 4), ("r", 7.0, 4), (None, -2.0, 1)]
+    df = spark.createDataFrame(data, "k string, v double, n int")
+    got = [{r.k: (r.m, r.all) for r in rank.exact_median(df, ["k"], {"m": "v"}, fine, {"all": (F.col("n"), "sum")}, weight="n").collect()} for fine in (False, True)]
+    assert got[0] == got[1] == {"p": (1.0, 8), "q": (None, 3), "r": (7.0, 8), None: (-2.0, 1)}
+
+
+def test_pass_table_reads_raw_rows_for_the_counted_panel_alone(spark):
+    assert scans(FQ.checked_results(spark, "/root/testdata/sf0.001")) == 0
+
+
 def test_empty_panel(spark):
     days = D.counted(panel(spark).limit(0), ORDER)
     assert days.count() == 0
